@@ -1,4 +1,9 @@
 """All registered queries; importing a module registers its queries."""
 
-from panelwright.catalog import asof_queries  # noqa: F401
+from panelwright.catalog import (  # noqa: F401
+    asof_queries,
+    quality_queries,
+    source_queries,
+    view_queries,
+)
 from panelwright.catalog.registry import ORACLE, QUERIES  # noqa: F401

@@ -12,18 +12,27 @@ from panelwright.catalog.fixtures import FIXTURE_SQL, Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-# Column kinds of a result: date, float, integer, string.
+# Column kinds of a result: date, float (6 or 3 digits), integer, string.
+# Floats are cut on a grid shifted off the decimal halves, with the same IEEE
+# steps in both engines, so exact ties (a price over 32 shares) fall alike.
+_SHIFT = 0.4142
+
+
+def _cut(scale: float):
+    return lambda c: F.floor(F.col(c).cast("double") * scale + _SHIFT).cast("double") / scale
+
+
 _SPARK_CAST = {
     "d": lambda c: F.col(c).cast("date").cast("string"),
-    "f": lambda c: F.round(F.col(c).cast("double"), 6),
-    "g": lambda c: F.round(F.col(c).cast("double"), 3),
+    "f": _cut(1e6),
+    "g": _cut(1e3),
     "i": lambda c: F.col(c).cast("long"),
     "s": lambda c: F.col(c).cast("string"),
 }
 _SQL_CAST = {
     "d": "CAST(CAST({c} AS DATE) AS VARCHAR)",
-    "f": "ROUND(CAST({c} AS DOUBLE), 6)",
-    "g": "ROUND(CAST({c} AS DOUBLE), 3)",
+    "f": "CAST(floor(CAST({c} AS DOUBLE) * 1e6 + 0.4142) AS DOUBLE) / 1e6",
+    "g": "CAST(floor(CAST({c} AS DOUBLE) * 1e3 + 0.4142) AS DOUBLE) / 1e3",
     "i": "CAST({c} AS BIGINT)",
     "s": "CAST({c} AS VARCHAR)",
 }

@@ -235,9 +235,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame
                 c = -c
         sort_key += [F.col(name).isNull().alias(f"n{i}"), c.alias(f"o{i}")]
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(
-        F.min(F.struct(F.struct(*sort_key).alias("k"), F.struct(*rest).alias("v"))).alias("__m")
-    )
+    if not rest:
+        return df.dropDuplicates(list(keys))
+    value = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("v")
+    ranked = F.struct(F.struct(*sort_key).alias("k"), value) if sort_key else F.struct(value)
+    picked = df.groupBy(*keys).agg(F.min(ranked).alias("__m"))
     return picked.select(*keys, *[F.col(f"__m.v.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 
