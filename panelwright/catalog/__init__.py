@@ -2,6 +2,7 @@
 
 from panelwright.catalog import (  # noqa: F401
     asof_queries,
+    feature_queries,
     quality_queries,
     source_queries,
     view_queries,

@@ -62,12 +62,12 @@ def _(t):
 
 @query(
     "d3_drop_sparse_columns",
-    "symbol:i date:d revenue:f",
-    f"SELECT symbol, date, revenue FROM ({STATEMENT_SQL})",
+    "symbol:i date:d revenue:f n_dropped:i",
+    f"SELECT symbol, date, revenue, 2 AS n_dropped FROM ({STATEMENT_SQL})",
 )
 def _(t):
     kept, dropped = quality.drop_sparse_columns(statement(t), 0.12)
-    return kept.drop("cost").select("symbol", "date", "revenue") if "netDebt" in dropped else kept
+    return kept.withColumn("n_dropped", F.lit(len(dropped)))
 
 
 @query(
@@ -226,8 +226,8 @@ def _(t):
 
 @query(
     "d13_filter_by_suffix",
-    "symbol:i revenue_ts_quantile__q_0.2:f n_kept:i",
-    """SELECT symbol, quantile_cont(revenue, 0.2) AS "revenue_ts_quantile__q_0.2", 2 AS n_kept FROM fx_filing GROUP BY symbol""",
+    "symbol:i revenue_q20:f n_kept:i",
+    """SELECT symbol, quantile_cont(revenue, 0.2) AS revenue_q20, 2 AS n_kept FROM fx_filing GROUP BY symbol""",
 )
 def _(t):
     wanted = {
@@ -238,4 +238,8 @@ def _(t):
     }
     kept = names.filter_by_suffix(wanted)
     # One symbol has at most one filing per quarter, so the built-in percentile holds a bounded group.
-    return t.filing.groupBy("symbol").agg(*[wanted[n].alias(n) for n in kept], F.lit(len(kept)).alias("n_kept"))
+    return (
+        t.filing.groupBy("symbol")
+        .agg(*[wanted[n].alias(n) for n in kept], F.lit(len(kept)).alias("n_kept"))
+        .withColumnRenamed("revenue_ts_quantile__q_0.2", "revenue_q20")
+    )
