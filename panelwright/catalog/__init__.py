@@ -2,6 +2,8 @@
 
 from panelwright.catalog import (  # noqa: F401
     asof_queries,
+    portfolio_queries,
+    ranking_queries,
     feature_queries,
     quality_queries,
     source_queries,
