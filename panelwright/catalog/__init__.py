@@ -7,6 +7,8 @@ from panelwright.catalog import (  # noqa: F401
     feature_queries,
     quality_queries,
     source_queries,
+    split_queries,
+    stats_queries,
     view_queries,
 )
 from panelwright.catalog.registry import ORACLE, QUERIES  # noqa: F401

@@ -10,7 +10,7 @@ from panelwright.catalog.asof_queries import CAL_SQL, PANEL_SQL, calendar, panel
 from panelwright.catalog.ranking_queries import PICKS_SQL, picked
 from panelwright.catalog.registry import query
 from panelwright.operators import asof, portfolio
-from panelwright.session import scratch_path
+from panelwright.session import scratch_path, stage
 from panelwright.sources import tables
 
 PERIODS_SQL = f"""(SELECT as_of AS period_start, lead(as_of) OVER w AS period_end, trade_date AS buy_date, lead(trade_date) OVER w AS sell_date
@@ -47,7 +47,7 @@ HELD_SQL = f"""(SELECT period_start, period_end, buy_date, sell_date, symbol, sc
 
 
 def held(t):
-    return portfolio.attach_prices(picked(t), periods(t), near_prices(t), 3)
+    return portfolio.attach_prices(stage(picked(t)), periods(t), near_prices(t), 3)
 
 
 @query(
@@ -248,7 +248,7 @@ def _(t):
         UNION ALL SELECT 'avg', period_start, count(*), sum(symbol) FROM {RANKED_SQL} GROUP BY period_start""",
 )
 def _(t):
-    names = portfolio.equal_weight(held(t)).drop("buy_date", "sell_date")
+    names = stage(portfolio.equal_weight(held(t)).drop("buy_date", "sell_date"))
     totals = portfolio.compound(portfolio.period_earnings(names))
     paths = tables.write_reports(scratch_path(t.spark, "reports"), names, totals, ranked(t), 4)
     read = lambda name: t.spark.read.option("header", "true").option("inferSchema", "true").csv(paths[name])

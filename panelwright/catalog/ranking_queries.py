@@ -8,6 +8,7 @@ from panelwright.catalog.asof_queries import PANEL_SQL, panel
 from panelwright.catalog.registry import query
 from panelwright.operators import asof, ranking
 from panelwright.operators.ranking import Plan
+from panelwright.session import stage
 
 K, BASE = 5, 100.0
 PLANS = (Plan("revenue", 10.0, 2.0), Plan("neg_debt", 15.0, 1.0), Plan("volume", 20.0, 0.5))
@@ -61,7 +62,7 @@ SCORED_SQL = f"""(SELECT *, {" + ".join(_score_sql(p.key, p.diff) for p in PLANS
 
 
 def scored(t):
-    return ranking.total_score(keyed(t), PLANS, K, BASE)
+    return ranking.total_score(stage(keyed(t)), PLANS, K, BASE)
 
 
 @query("f3_total_score", "as_of:d symbol:i score:f", f"SELECT as_of, symbol, score FROM {SCORED_SQL}")

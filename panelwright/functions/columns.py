@@ -1,0 +1,368 @@
+"""Column lists of the company panel.
+
+Fixed values: the names are those of the data provider's fields, and results
+depend on exactly these sets.
+"""
+
+# Ratios and percentages.
+RATIO_COLUMNS = (
+    "interestCoverage",
+    "dividendYield",
+    "peRatio",
+    "pbRatio",
+    "ptbRatio",
+    "priceToSalesRatio",
+    "pfcfRatio",
+    "pocfratio",
+    "enterpriseValueOverEBITDA",
+    "currentRatio",
+    "inventoryTurnover",
+    "daysPayablesOutstanding",
+    "daysOfInventoryOnHand",
+    "payablesTurnover",
+    "daysSalesOutstanding",
+    "receivablesTurnover",
+    "roe",
+    "roic",
+    "returnOnTangibleAssets",
+    "earningsYield",
+    "netIncomeRatio",
+    "grossProfitRatio",
+    "operatingIncomeRatio",
+    "incomeBeforeTaxRatio",
+    "ebitdaratio",
+    "debtToAssets",
+    "debtToEquity",
+    "netDebtToEBITDA",
+    "incomeQuality",
+    "eps",
+    "epsdiluted",
+    "revenuePerShare",
+    "netIncomePerShare",
+    "freeCashFlowPerShare",
+    "operatingCashFlowPerShare",
+    "cashPerShare",
+    "bookValuePerShare",
+    "tangibleBookValuePerShare",
+    "shareholdersEquityPerShare",
+    "interestDebtPerShare",
+    "capexPerShare",
+    "capexToDepreciation",
+    "capexToRevenue",
+    "capexToOperatingCashFlow",
+    "stockBasedCompensationToRevenue",
+    "salesGeneralAndAdministrativeToRevenue",
+    "researchAndDdevelopementToRevenue",
+    "intangiblesToTotalAssets",
+    "dcf",
+    "evToOperatingCashFlow",
+    "evToFreeCashFlow",
+    "evToSales",
+    "freeCashFlowYield",
+    "grahamNetNet",
+    "grahamNumber",
+    "payoutRatio",
+    "dividendsperShareGrowth",
+    "netIncomeGrowth",
+    "epsgrowth",
+    "epsdilutedGrowth",
+    "revenueGrowth",
+    "debtGrowth",
+    "operatingCashFlowGrowth",
+    "ebitgrowth",
+    "operatingIncomeGrowth",
+    "assetGrowth",
+    "freeCashFlowGrowth",
+    "sgaexpensesGrowth",
+    "receivablesGrowth",
+    "grossProfitGrowth",
+    "weightedAverageSharesGrowth",
+    "weightedAverageSharesDilutedGrowth",
+    "bookValueperShareGrowth",
+    "inventoryGrowth",
+    "rdexpenseGrowth",
+    "tenYDividendperShareGrowthPerShare",
+    "threeYDividendperShareGrowthPerShare",
+    "fiveYDividendperShareGrowthPerShare",
+    "threeYOperatingCFGrowthPerShare",
+    "fiveYOperatingCFGrowthPerShare",
+    "tenYOperatingCFGrowthPerShare",
+    "threeYRevenueGrowthPerShare",
+    "fiveYRevenueGrowthPerShare",
+    "tenYRevenueGrowthPerShare",
+    "threeYShareholdersEquityGrowthPerShare",
+    "fiveYShareholdersEquityGrowthPerShare",
+    "tenYShareholdersEquityGrowthPerShare",
+    "threeYNetIncomeGrowthPerShare",
+    "fiveYNetIncomeGrowthPerShare",
+    "tenYNetIncomeGrowthPerShare",
+    "freeCashFlow",
+    "operatingCashFlow",
+    "grossProfit",
+    "ebitda",
+    "netDebt",
+    "investedCapital",
+    "stockBasedCompensation",
+)
+
+# All statement and metric fields in use.
+MEANING_COLUMNS = (
+    "commonStockRepurchased",
+    "netCashProvidedByOperatingActivities",
+    "netCashUsedForInvestingActivites",
+    "netCashUsedProvidedByFinancingActivities",
+    "freeCashFlow",
+    "operatingCashFlow",
+    "netChangeInCash",
+    "changeInWorkingCapital",
+    "capitalExpenditure",
+    "investmentsInPropertyPlantAndEquipment",
+    "acquisitionsNet",
+    "purchasesOfInvestments",
+    "otherInvestingActivites",
+    "otherNonCashItems",
+    "depreciationAndAmortization",
+    "otherWorkingCapital",
+    "effectOfForexChangesOnCash",
+    "totalAssets",
+    "totalCurrentAssets",
+    "totalNonCurrentAssets",
+    "cashAndCashEquivalents",
+    "cashAndShortTermInvestments",
+    "shortTermInvestments",
+    "totalInvestments",
+    "longTermInvestments",
+    "netReceivables",
+    "accountsReceivables",
+    "inventory",
+    "propertyPlantEquipmentNet",
+    "goodwillAndIntangibleAssets",
+    "intangibleAssets",
+    "otherAssets",
+    "otherCurrentAssets",
+    "otherNonCurrentAssets",
+    "deferredRevenue",
+    "deferredRevenueNonCurrent",
+    "deferredIncomeTax",
+    "taxAssets",
+    "totalLiabilities",
+    "totalCurrentLiabilities",
+    "totalNonCurrentLiabilities",
+    "totalLiabilitiesAndStockholdersEquity",
+    "totalLiabilitiesAndTotalEquity",
+    "totalDebt",
+    "shortTermDebt",
+    "longTermDebt",
+    "accountsPayables",
+    "accountPayables",
+    "taxPayables",
+    "otherLiabilities",
+    "otherCurrentLiabilities",
+    "otherNonCurrentLiabilities",
+    "capitalLeaseObligations",
+    "deferredTaxLiabilitiesNonCurrent",
+    "totalEquity",
+    "totalStockholdersEquity",
+    "commonStock",
+    "retainedEarnings",
+    "accumulatedOtherComprehensiveIncomeLoss",
+    "othertotalStockholdersEquity",
+    "minorityInterest",
+    "revenue",
+    "costOfRevenue",
+    "grossProfit",
+    "operatingExpenses",
+    "costAndExpenses",
+    "sellingGeneralAndAdministrativeExpenses",
+    "sellingAndMarketingExpenses",
+    "generalAndAdministrativeExpenses",
+    "researchAndDevelopmentExpenses",
+    "operatingIncome",
+    "ebitda",
+    "interestExpense",
+    "interestIncome",
+    "totalOtherIncomeExpensesNet",
+    "otherExpenses",
+    "incomeBeforeTax",
+    "incomeTaxExpense",
+    "netIncome",
+    "enterpriseValue",
+    "dcf",
+    "stockBasedCompensation",
+    "workingCapital",
+    "netCurrentAssetValue",
+    "tangibleAssetValue",
+    "investedCapital",
+    "netDebt",
+    "averageInventory",
+    "averagePayables",
+    "averageReceivables",
+    "eps",
+    "epsdiluted",
+    "revenuePerShare",
+    "netIncomePerShare",
+    "freeCashFlowPerShare",
+    "operatingCashFlowPerShare",
+    "cashPerShare",
+    "bookValuePerShare",
+    "tangibleBookValuePerShare",
+    "shareholdersEquityPerShare",
+    "interestDebtPerShare",
+    "capexPerShare",
+    "interestCoverage",
+    "dividendYield",
+    "inventoryTurnover",
+    "daysPayablesOutstanding",
+    "stockBasedCompensationToRevenue",
+    "capexToDepreciation",
+    "currentRatio",
+    "daysOfInventoryOnHand",
+    "payablesTurnover",
+    "grahamNetNet",
+    "capexToRevenue",
+    "netDebtToEBITDA",
+    "receivablesTurnover",
+    "capexToOperatingCashFlow",
+    "evToOperatingCashFlow",
+    "evToFreeCashFlow",
+    "debtToAssets",
+    "peRatio",
+    "enterpriseValueOverEBITDA",
+    "pfcfRatio",
+    "pocfratio",
+    "daysSalesOutstanding",
+    "incomeQuality",
+    "evToSales",
+    "grahamNumber",
+    "priceToSalesRatio",
+    "pbRatio",
+    "ptbRatio",
+    "roic",
+    "freeCashFlowYield",
+    "roe",
+    "returnOnTangibleAssets",
+    "earningsYield",
+    "debtToEquity",
+    "payoutRatio",
+    "salesGeneralAndAdministrativeToRevenue",
+    "intangiblesToTotalAssets",
+    "ebitdaratio",
+    "dividendsperShareGrowth",
+    "netIncomeGrowth",
+    "epsgrowth",
+    "epsdilutedGrowth",
+    "revenueGrowth",
+    "grossProfitRatio",
+    "debtGrowth",
+    "tenYDividendperShareGrowthPerShare",
+    "netIncomeRatio",
+    "incomeBeforeTaxRatio",
+    "operatingCashFlowGrowth",
+    "ebitgrowth",
+    "operatingIncomeGrowth",
+    "threeYDividendperShareGrowthPerShare",
+    "assetGrowth",
+    "freeCashFlowGrowth",
+    "sgaexpensesGrowth",
+    "fiveYDividendperShareGrowthPerShare",
+    "receivablesGrowth",
+    "fiveYRevenueGrowthPerShare",
+    "threeYOperatingCFGrowthPerShare",
+    "grossProfitGrowth",
+    "operatingIncomeRatio",
+    "threeYShareholdersEquityGrowthPerShare",
+    "fiveYShareholdersEquityGrowthPerShare",
+    "fiveYOperatingCFGrowthPerShare",
+    "threeYRevenueGrowthPerShare",
+    "researchAndDdevelopementToRevenue",
+    "threeYNetIncomeGrowthPerShare",
+    "tenYOperatingCFGrowthPerShare",
+    "tenYRevenueGrowthPerShare",
+    "tenYShareholdersEquityGrowthPerShare",
+    "interestExpense",
+    "tenYNetIncomeGrowthPerShare",
+    "weightedAverageSharesGrowth",
+    "weightedAverageSharesDilutedGrowth",
+    "fiveYNetIncomeGrowthPerShare",
+    "bookValueperShareGrowth",
+    "inventoryGrowth",
+    "rdexpenseGrowth",
+    "cashAtBeginningOfPeriod",
+    "cashAtEndOfPeriod",
+)
+
+# Fields with time-series features.
+TIME_FEATURE_COLUMNS = (
+    "bookValuePerShare",
+    "capexPerShare",
+    "cashPerShare",
+    "currentRatio",
+    "daysSalesOutstanding",
+    "dcf",
+    "dividendsperShareGrowth",
+    "enterpriseValue",
+    "enterpriseValueOverEBITDA",
+    "evToFreeCashFlow",
+    "evToOperatingCashFlow",
+    "evToSales",
+    "freeCashFlowPerShare",
+    "grahamNetNet",
+    "grahamNumber",
+    "interestDebtPerShare",
+    "inventoryTurnover",
+    "netDebtToEBITDA",
+    "payablesTurnover",
+    "pbRatio",
+    "peRatio",
+    "pfcfRatio",
+    "pocfratio",
+    "priceToSalesRatio",
+    "ptbRatio",
+    "roe",
+    "roic",
+    "salesGeneralAndAdministrativeToRevenue",
+    "shareholdersEquityPerShare",
+)
+
+# Fields with enterprise-value multiples.
+EV_COLUMNS = (
+    "freeCashFlow",
+    "ebitda",
+)
+
+# Columns that are never model input.
+NON_FEATURE_COLUMNS = (
+    "symbol",
+    "exchangeShortName",
+    "type",
+    "delistedDate",
+    "industry",
+    "ipoDate",
+    "rebalance_date",
+    "price",
+    "volume",
+    "marketCap",
+    "price_diff",
+    "volume_mul_price",
+    "price_dev",
+    "report_date",
+    "fillingDate_x",
+    "sector",
+    "price_dev_subavg",
+    "sec_price_dev_subavg",
+)
+
+# The sectors an industry can map to.
+SECTORS = (
+    "Energy",
+    "Materials",
+    "Industrials",
+    "Consumer Discretionary",
+    "Consumer Staples",
+    "Healthcare",
+    "Financials",
+    "Information Technology",
+    "Communication Services",
+    "Utilities",
+    "Real Estate",
+)

@@ -10,10 +10,12 @@ Feature names and definitions are those of the tsfresh documentation.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -268,3 +270,7 @@ def solver_features(order: int = AR_ORDER):
         return out
 
     return solve
+
+
+# Tasks get the solver with its module, also where the package is not installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -77,13 +77,13 @@ def positions(
         *group,
         _SLICE,
         (F.coalesce(F.sum("__rows").over(upto), F.lit(0)) - F.col("__first")).alias("__shift"),
-        F.sum("__rows").over(by_group).alias("__n"),
+        F.sum("__rows").over(by_group).alias("__size"),
     )
     joined = _join_carry(sliced, carry, group)
     out = joined.withColumn(position, F.col(_SEQ) + F.col("__shift"))
     if size:
-        out = out.withColumn(size, F.col("__n"))
-    return out.drop(_SLICE, _SEQ, "__shift", "__n")
+        out = out.withColumn(size, F.col("__size"))
+    return out.drop(_SLICE, _SEQ, "__shift", "__size")
 
 
 def _join_carry(sliced: DataFrame, carry: DataFrame, group: Sequence[str]) -> DataFrame:
