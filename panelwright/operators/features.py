@@ -144,14 +144,15 @@ def features_wide(
 def robust_scale(df: DataFrame, columns: Sequence[str], cohort: Sequence[str]) -> DataFrame:
     """(x - median) / (q75 - q25) inside each cohort; a zero spread counts as 1."""
     cohort, columns = list(cohort), list(columns)
-    long = df.select(*cohort, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot(
-        cohort, columns, "__column", "__value"
-    )
+    # Feature names may hold dots, which unpivot would read as field access.
+    plain = [f"__c{i}" for i in range(len(columns))]
+    numbered = [F.col(f"`{c}`").cast("double").alias(p) for c, p in zip(columns, plain, strict=True)]
+    long = df.select(*cohort, *numbered).unpivot(cohort, plain, "__column", "__value")
     stats = exact_percentiles(long, [*cohort, "__column"], "__value", {"lo": 0.25, "mid": 0.5, "hi": 0.75})
     wide = stats.groupBy(*cohort).agg(
         *[
-            F.max(F.when(F.col("__column") == c, F.struct("lo", "mid", "hi"))).alias(f"__s{i}")
-            for i, c in enumerate(columns)
+            F.max(F.when(F.col("__column") == p, F.struct("lo", "mid", "hi"))).alias(f"__s{i}")
+            for i, p in enumerate(plain)
         ]
     )
     joined = join_stats(df, wide, cohort, "left")
