@@ -12,7 +12,7 @@ CAL_SQL = """(SELECT CAST(d AS DATE) AS as_of FROM (SELECT unnest(generate_serie
 
 
 def calendar(t, months: int = 3):
-    return asof.rebalance_calendar(t.spark, 1999, 2001, months, t.price)
+    return asof.rebalance_calendar(t.spark, 1999, 2001, months, t.days)
 
 
 @query("c1_rebalance_calendar", "as_of:d", f"SELECT * FROM {CAL_SQL}")
@@ -27,7 +27,7 @@ def _(t):
         ON date BETWEEN as_of - 10 AND as_of GROUP BY as_of""",
 )
 def _(t):
-    return asof.trade_dates(calendar(t), t.price)
+    return asof.trade_dates(calendar(t), t.days)
 
 
 @query(
@@ -138,7 +138,8 @@ PANEL_SQL = f"""(SELECT d.as_of, p.symbol, d.trade_date, p.close, p.volume, s.in
 
 
 def panel(t):
-    return asof.panel_asof(calendar(t), t.symbol, t.filing, t.price)
+    quotes = asof.rebalance_quotes(asof.trade_dates(calendar(t), t.days), t.price)
+    return asof.panel_asof(calendar(t), t.symbol, t.filing, t.price, quotes=quotes)
 
 
 @query(

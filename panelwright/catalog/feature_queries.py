@@ -19,7 +19,7 @@ RETURN_SQL = f"""(SELECT symbol, as_of, date AS trade_date, close, volume,
 
 
 def rebalance_prices(t):
-    dates = asof.trade_dates(calendar(t), t.price).withColumnRenamed("trade_date", "date")
+    dates = asof.trade_dates(calendar(t), t.days).withColumnRenamed("trade_date", "date")
     return t.price.join(dates, "date")
 
 

@@ -11,11 +11,14 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.operators.asof import trading_days
+
 MONEY = "decimal(18,2)"
 
 
-def _money(name: str) -> Column:
-    return F.col(name).cast(MONEY)
+def _cents(name: str) -> Column:
+    """Money as whole cents: exact sums on long arithmetic."""
+    return F.round(F.col(name) * 100).cast("long")
 
 
 class Tables:
@@ -58,11 +61,15 @@ class Tables:
             self.raw("lineitem")
             .groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date"))
             .agg(
-                (F.sum(_money("l_extendedprice")).cast("double") / F.sum("l_quantity")).alias("close"),
+                (F.sum(_cents("l_extendedprice")) / 100 / F.sum("l_quantity")).alias("close"),
                 F.sum("l_quantity").cast("long").alias("volume"),
             )
         )
 
+    @cached_property
+    def days(self) -> DataFrame:
+        return trading_days(self.price)
+
     @cached_property
     def marketcap(self) -> DataFrame:
         days = (
@@ -78,8 +85,7 @@ class Tables:
 
     @cached_property
     def filing(self) -> DataFrame:
-        price = _money("l_extendedprice")
-        flag = F.col("l_returnflag")
+        cents, flag = _cents("l_extendedprice"), F.col("l_returnflag")
         percent = (100 - F.round(F.col("l_discount") * 100)).cast("decimal(3,0)")
         return (
             self.raw("lineitem")
@@ -89,12 +95,10 @@ class Tables:
                 F.quarter("l_shipdate").cast("long").alias("q"),
             )
             .agg(
-                (F.sum(price * percent).cast("double") / 100).alias("revenue"),
-                (F.sum(price).cast("double") * 0.6).alias("cost"),
-                F.sum(F.when(flag == "N", price).otherwise(-price)).cast("double").alias("freeCashFlow"),
-                F.sum(
-                    F.when(flag == "R", price).when(flag == "A", -price).otherwise(F.lit(0).cast(MONEY))
-                ).cast("double").alias("netDebt"),
+                (F.sum(F.col("l_extendedprice").cast(MONEY) * percent).cast("double") / 100).alias("revenue"),
+                (F.sum(cents) / 100 * 0.6).alias("cost"),
+                (F.sum(F.when(flag == "N", cents).otherwise(-cents)) / 100).alias("freeCashFlow"),
+                (F.sum(F.when(flag == "R", cents).when(flag == "A", -cents).otherwise(0)) / 100).alias("netDebt"),
             )
             .withColumn("date", F.last_day(F.make_date(F.col("calendarYear").cast("int"), (F.col("q") * 3).cast("int"), F.lit(1))))
             .select(

@@ -249,10 +249,11 @@ _SETTINGS = replay.ReplaySettings(1996, 2001, 3, 0, top_k=8, members=4, liquid=0
 def run_replay(t):
     """The whole replay on the panel, with a market cap of price times a share count."""
     prices = t.price.withColumn("marketCap", F.col("close") * (1000 + F.col("symbol") % 7 * 500))
-    table = replay.date_table(
+    table, quotes = replay.date_table(
         t.symbol, prices, t.filing, _SETTINGS, ["revenue"], {"revenue": "high", "netDebt": "low"}
-    ).withColumn("OverMC_revenue_sorted", F.col("OverMC_revenue"))
-    return replay.replay(table, prices, _PLANS, _SETTINGS)
+    )
+    table = table.withColumn("OverMC_revenue_sorted", F.col("OverMC_revenue"))
+    return replay.replay(table, quotes, _PLANS, _SETTINGS)
 
 
 _UNIVERSE_SQL = """(SELECT d.as_of, p.symbol, d.trade_date, p.close, f.revenue, f.netDebt,

@@ -28,12 +28,12 @@ NEAR_SQL = f"""(SELECT k.symbol, k.trade_date AS date, p.close FROM
 
 
 def periods(t):
-    return portfolio.holding_periods(asof.trade_dates(calendar(t), t.price))
+    return portfolio.holding_periods(asof.trade_dates(calendar(t), t.days))
 
 
 def near_prices(t):
     """Prices seen from each trade date: the newest within ten days."""
-    dates = asof.trade_dates(calendar(t), t.price).select(F.col("trade_date").alias("as_of"))
+    dates = asof.trade_dates(calendar(t), t.days).select(F.col("trade_date").alias("as_of"))
     near = asof.trade_dates_by_symbol(dates, t.price)
     return near.select("symbol", F.col("as_of").alias("date"), "close")
 

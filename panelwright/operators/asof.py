@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators.ordered import first_per_key, top_per_group, with_group_stats
+from panelwright.session import stage
 
 
 def rebalance_calendar(
@@ -36,13 +37,30 @@ def rebalance_calendar(
     return in_order.select(F.explode(F.sequence("a", "b", step)).alias("as_of"))
 
 
+def trading_days(prices: DataFrame) -> DataFrame:
+    """The distinct trading days, staged: one row per day, so at most the calendar's length.
+
+    Calendars and trade dates need days only; from here on they do not scan prices again.
+    """
+    return stage(prices.select("date").distinct())
+
+
+def rebalance_quotes(dates: DataFrame, prices: DataFrame) -> DataFrame:
+    """Price rows on the trade dates, with ``as_of`` and ``trade_date``; staged, a small share of all prices."""
+    on_date = dates.select(F.col("trade_date").alias("date"), "as_of")
+    return stage(prices.join(on_date, "date").withColumnRenamed("date", "trade_date"))
+
+
 def covered_days(calendar: DataFrame, first: Column, last: Column) -> DataFrame:
     """One row per calendar row and day in ``[first, last]``, as column ``day``."""
     return calendar.where(first <= last).withColumn("day", F.explode(F.sequence(first, last)))
 
 
 def trade_dates(calendar: DataFrame, prices: DataFrame, tolerance: int = 10) -> DataFrame:
-    """The latest trading day in ``[as_of - tolerance, as_of]``; dates with none are dropped."""
+    """The latest trading day in ``[as_of - tolerance, as_of]``; dates with none are dropped.
+
+    ``prices`` is any frame with a ``date`` column, such as ``trading_days``.
+    """
     days = covered_days(calendar, F.date_sub("as_of", tolerance), F.col("as_of"))
     return (
         prices.select(F.col("date").alias("day"))
@@ -184,16 +202,19 @@ def panel_asof(
     prices: DataFrame,
     months: int = 6,
     tolerance: int = 10,
+    quotes: DataFrame | None = None,
 ) -> DataFrame:
     """Universe, trade-date price and newest filing for all dates in one plan.
 
     One row per (as_of, symbol) that was listed, traded on the date's trade day
-    and filed within ``months``.
+    and filed within ``months``.  ``quotes`` (see ``rebalance_quotes``) replaces
+    the price scan when the caller has them already.
     """
-    dates = trade_dates(calendar, prices, tolerance)
+    if quotes is None:
+        dates = stage(trade_dates(calendar, trading_days(prices), tolerance))
+        quotes = prices.join(dates.withColumnRenamed("trade_date", "date"), "date").withColumnRenamed("date", "trade_date")
+    else:
+        dates = quotes.select("as_of", "trade_date").distinct()
     universe = active_at_dates(symbols, dates)
-    at_trade = prices.join(
-        dates.select(F.col("trade_date").alias("date"), "as_of"), "date"
-    ).withColumnRenamed("date", "trade_date")
     newest = latest_filing(filings, dates.select("as_of"), months).withColumnRenamed("date", "report_date")
-    return universe.join(at_trade, ["as_of", "symbol"]).join(newest, ["as_of", "symbol"])
+    return universe.join(quotes, ["as_of", "symbol"]).join(newest, ["as_of", "symbol"])

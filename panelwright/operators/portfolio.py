@@ -12,8 +12,9 @@ from datetime import date as Date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators.asof import rebalance_calendar, trade_dates
-from panelwright.operators.ordered import join_stats, top_per_group, with_group_stats
+from panelwright.operators.asof import rebalance_calendar, trade_dates, trading_days
+from panelwright.operators.ordered import top_per_group, with_group_stats
+from panelwright.session import stage
 
 TOTAL_ASSET = 100_000_000.0
 DEAD_PRICE = 0.000001
@@ -101,10 +102,11 @@ def benchmark_return(prices: DataFrame, symbols: DataFrame, start: Date, end: Da
     """
     spark = prices.sparkSession
     ends = spark.range(2).select(F.when(F.col("id") == 0, F.lit(start)).otherwise(F.lit(end)).alias("as_of"))
-    found = trade_dates(ends, prices)
+    days = trading_days(prices)
+    found = trade_dates(ends, days)
     first = found.where(F.col("as_of") == F.lit(start)).agg(F.max("trade_date")).scalar()
     last = F.coalesce(
-        found.where(F.col("as_of") == F.lit(end)).agg(F.max("trade_date")).scalar(), prices.agg(F.max("date")).scalar()
+        found.where(F.col("as_of") == F.lit(end)).agg(F.max("trade_date")).scalar(), days.agg(F.max("date")).scalar()
     )
     two = prices.where((F.col("date") == first) | (F.col("date") == last)).groupBy("symbol").agg(
         F.max(F.when(F.col("date") == first, F.col("close"))).alias("start_price"),
@@ -213,11 +215,12 @@ def sweep_rebalance(
     equal weight and sells at the next date; names without a sell price are left out.
     """
     spark = prices.sparkSession
-    monthly = rebalance_calendar(spark, start_year, end_year, 1, prices, 0)
+    days = trading_days(prices)
+    monthly = rebalance_calendar(spark, start_year, end_year, 1, days, 0)
     origin = F.lit(Date(start_year, 1, 1))
     gap = (F.year("as_of") - F.year(origin)) * 12 + F.month("as_of") - F.month(origin)
     on_step = F.filter(F.array(*[F.lit(m) for m in months]), lambda m: gap % m == 0)
-    dates = trade_dates(monthly, prices).withColumn("period_months", F.explode(on_step))
+    dates = stage(trade_dates(monthly, days)).withColumn("period_months", F.explode(on_step))
     periods = holding_periods(dates, ["period_months"])
     bought = prices.join(periods, prices["date"] == periods["buy_date"]).withColumn(
         "score", score if score is not None else F.col("close") * F.col("volume")

@@ -85,9 +85,13 @@ def ml_dataset(
     filing.
     """
     spark = prices.sparkSession
-    calendar = asof.rebalance_calendar(spark, first_year, last_year, months, prices)
-    dates = asof.trade_dates(calendar, prices).select(F.col("trade_date").alias("date"), F.col("trade_date").alias("as_of"))
-    at_dates = prices.join(dates.distinct(), "date")
+    days = asof.trading_days(prices)
+    calendar = asof.rebalance_calendar(spark, first_year, last_year, months, days)
+    # The trade dates are a handful of rows and the prices on them a small share of
+    # all prices; both are read more than once, so each is computed once.
+    found = asof.trade_dates(calendar, days).select(F.col("trade_date").alias("date"), F.col("trade_date").alias("as_of"))
+    dates = stage(found.distinct())
+    at_dates = stage(prices.join(dates, "date").select("symbol", "as_of", "close", "volume"))
     rebalance = features.price_return(features.price_change(at_dates, "as_of"), "as_of")
     if horizon == "forward":
         ahead = F.lead("price_dev").over(Window.partitionBy("symbol").orderBy("as_of"))
@@ -95,7 +99,7 @@ def ml_dataset(
     rebalance = rebalance.withColumn("volume_mul_price", features.turnover())
     liquid = liquid_by_year(rebalance, first_year, last_year, fraction)
 
-    ordered = asof.fiscal_ordinal(asof.next_rebalance(filings, dates.select("as_of").distinct()))
+    ordered = asof.fiscal_ordinal(asof.next_rebalance(filings, dates.select("as_of")))
     amounts = [c for c in amount_columns if c in filings.columns]
     ratios = features.ev_multiples(
         features.over_marketcap(ordered, amounts), [c for c in ev_columns if c in filings.columns]

@@ -35,33 +35,39 @@ def date_table(
     settings: ReplaySettings,
     ratio_columns: Sequence[str],
     directions: Mapping[str, str],
-) -> DataFrame:
-    """Per date and liquid symbol the newest filing, its ratios to market cap and the oriented metrics."""
+) -> tuple[DataFrame, DataFrame]:
+    """(date table, quotes): per date and liquid symbol the newest filing, its ratios to market cap and the oriented metrics.
+
+    Prices are scanned twice in the whole replay: once for the trading days,
+    once for the rows on them, which are the quotes the picks are priced with.
+    """
+    days = asof.trading_days(prices)
     calendar = asof.rebalance_calendar(
-        prices.sparkSession, settings.start_year, settings.end_year, settings.months, prices, settings.lookback_years
+        prices.sparkSession, settings.start_year, settings.end_year, settings.months, days, settings.lookback_years
     )
-    panel = asof.panel_asof(calendar, symbols, filings, prices)
+    quotes = asof.rebalance_quotes(asof.trade_dates(calendar, days), prices)
+    panel = asof.panel_asof(calendar, symbols, filings, prices, quotes=quotes)
     if settings.liquid is not None:
         valued = panel.withColumn("volume_mul_price", features.turnover())
         panel = quality.liquid_top_fraction(stage(valued), "volume_mul_price", settings.liquid, ["as_of"])
     with_ratios = features.over_marketcap(panel, ratio_columns)
-    return features.orient_high_good(with_ratios, directions, ["as_of"])
+    return features.orient_high_good(with_ratios, directions, ["as_of"]), quotes
 
 
 def replay(
-    table: DataFrame, prices: DataFrame, plans: Sequence[Plan], settings: ReplaySettings
+    table: DataFrame, quotes: DataFrame, plans: Sequence[Plan], settings: ReplaySettings
 ) -> tuple[DataFrame, DataFrame]:
     """(picks with prices and earnings, periods with return and compounded value).
 
-    ``table`` is the date table; it is staged once because scores, picks and
-    periods all read it.
+    ``table`` and ``quotes`` come from ``date_table``; the table is staged once
+    because scores, picks and periods all read it.
     """
     table = stage(table)
     scored = ranking.total_score(table, plans, settings.top_k, settings.base_score)
     picked = ranking.picks(scored, settings.members).select("as_of", "symbol", "score", "rn")
     dates = table.select("as_of", "trade_date").distinct()
     periods = portfolio.holding_periods(dates)
-    held = portfolio.attach_prices(picked, periods, prices, settings.members)
+    held = portfolio.attach_prices(picked, periods, quotes.withColumnRenamed("trade_date", "date"), settings.members)
     weighted = stage(portfolio.equal_weight(held, settings.asset))
     earned = portfolio.period_earnings(weighted, settings.asset)
     return weighted, portfolio.compound(earned)
