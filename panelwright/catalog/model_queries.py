@@ -226,16 +226,57 @@ def build_dataset(t, horizon="forward"):
     )
 
 
+def _robust(c: str) -> str:
+    q = f"quantile_cont({c}, {{}}) OVER (PARTITION BY ordinal)"
+    spread = f"({q.format(0.75)} - {q.format(0.25)})"
+    return f"({c} - {q.format(0.5)}) / CASE WHEN {spread} = 0 THEN 1 ELSE {spread} END AS {c}"
+
+
+_SCALED = ("margin", "OverMC_revenue", "adaptiveMC_ev", "revenue_ts_mean", "margin_ts_maximum", "revenue_ts_autocorrelation__lag_5")
+
+_FEATURES_SQL = f"""(WITH d AS (SELECT DISTINCT date AS d FROM (SELECT as_of, max(date) AS date FROM
+        (SELECT CAST(unnest(generate_series(DATE '1995-01-01', least(DATE '2000-12-31', (SELECT max(date) FROM fx_price)), INTERVAL 3 MONTH)) AS DATE) AS as_of)
+        JOIN (SELECT DISTINCT date FROM fx_price) ON date BETWEEN as_of - 10 AND as_of GROUP BY as_of)),
+    liq AS (SELECT y, symbol FROM (SELECT y, symbol, avg(close * volume) AS m FROM fx_price, (VALUES (1998), (1999), (2000)) v(y)
+            WHERE date IN (SELECT d FROM d) AND date BETWEEN make_date(y - 4, 1, 1) AND make_date(y + 1, 3, 1) GROUP BY ALL)
+            QUALIFY row_number() OVER (PARTITION BY y ORDER BY m DESC, symbol) <= floor(count(*) OVER (PARTITION BY y) * 0.5)),
+    fil AS (SELECT f.*, abs(s_acctbal) * 1e4 + 1 AS marketCap, revenue / cost AS margin, calendarYear * 4 + CAST(period[2] AS INTEGER) AS ordinal,
+                   (SELECT min(d) FROM d WHERE d > f.fillingDate) AS rebalance_date FROM fx_filing f JOIN supplier ON s_suppkey = symbol),
+    win AS (SELECT *, revenue / marketCap AS OverMC_revenue, marketCap + netDebt AS adaptiveMC_ev, list(revenue) OVER w AS x, list(margin) OVER w AS g,
+                   min(fillingDate) OVER w AS first_filed, count(*) OVER w AS n
+            FROM fil WINDOW w AS (PARTITION BY symbol ORDER BY ordinal ROWS 11 PRECEDING)),
+    feat AS (SELECT *, list_avg(x) AS revenue_ts_mean, list_max(g) AS margin_ts_maximum,
+                    list_sum(list_transform(range(1, 8), lambda i: (x[i] - list_avg(x)) * (x[i + 5] - list_avg(x)))) / (7 * list_var_pop(x)) AS revenue_ts_autocorrelation__lag_5
+             FROM win WHERE n = 12 AND first_filed >= make_date(calendarYear - 4, 1, 1) AND calendarYear BETWEEN 1998 AND 2000
+               AND (calendarYear, symbol) IN (SELECT (y, symbol) FROM liq))
+    SELECT symbol, calendarYear, period, ordinal, date AS report_date, rebalance_date, s.sector, {", ".join(_robust(c) for c in _SCALED)}
+    FROM feat JOIN (SELECT symbol, sector FROM fx_symbol) s USING (symbol))""".replace("list_var_pop(x)", "list_aggregate(x, 'var_pop')")
+
+_DATASET_SQL = f"""(SELECT *, price_dev - avg(price_dev) OVER (PARTITION BY ordinal) AS price_dev_subavg,
+      price_dev - avg(price_dev) OVER (PARTITION BY ordinal, sector) AS sec_price_dev_subavg
+    FROM {_FEATURES_SQL} f JOIN (SELECT symbol, date AS rebalance_date, lead(close) OVER w / close - 1 AS price_dev FROM fx_price
+      WHERE date IN (SELECT DISTINCT date FROM (SELECT as_of, max(date) AS date FROM
+        (SELECT CAST(unnest(generate_series(DATE '1995-01-01', least(DATE '2000-12-31', (SELECT max(date) FROM fx_price)), INTERVAL 3 MONTH)) AS DATE) AS as_of)
+        JOIN (SELECT DISTINCT date FROM fx_price) ON date BETWEEN as_of - 10 AND as_of GROUP BY as_of))
+      WINDOW w AS (PARTITION BY symbol ORDER BY date)) USING (symbol, rebalance_date))"""
+
+
 @query(
     "e17_ml_dataset",
-    "symbol:i calendarYear:i period:s rebalance_date:d sector:s margin:f OverMC_revenue:f adaptiveMC_ev:f revenue_ts_mean:f "
-    "revenue_ts_autocorrelation__lag_5:f price_dev:f price_dev_subavg:f sec_price_dev_subavg:f",
+    "symbol:i calendarYear:i period:s report_date:d rebalance_date:d sector:s "
+    + " ".join(f"{c}:f" for c in _SCALED)
+    + " price_dev:f price_dev_subavg:f sec_price_dev_subavg:f",
+    f"SELECT * FROM {_DATASET_SQL}",
 )
 def _(t):
     return build_dataset(t)[1]
 
 
-@query("e17_ml_features", "symbol:i calendarYear:i period:s report_date:d sector:s margin:f revenue_ts_median:f margin_ts_maximum:f")
+@query(
+    "e17_ml_features",
+    "symbol:i calendarYear:i period:s report_date:d sector:s margin:f revenue_ts_mean:f margin_ts_maximum:f",
+    f"SELECT * FROM {_FEATURES_SQL}",
+)
 def _(t):
     path = scratch_path(t.spark, "features")
     ml_dataset.write_dataset(build_dataset(t)[0], path)
@@ -287,6 +328,6 @@ _REPLAY_SQL = f"""(WITH cal AS (SELECT CAST(unnest(generate_series(DATE '1996-01
     SELECT period_start, period_end, return, 100 * product(1 + return) OVER (ORDER BY period_start) AS accumulated FROM er)"""
 
 
-@query("flagship_replay", "period_start:d period_end:d return:f accumulated:f", f"SELECT * FROM {_REPLAY_SQL}")
+@query("flagship_replay", "period_start:d period_end:d return:f log_accumulated:f", f"SELECT *, ln(accumulated) AS log_accumulated FROM {_REPLAY_SQL}")
 def flagship(t):
-    return run_replay(t)[1]
+    return run_replay(t)[1].withColumn("log_accumulated", F.ln("accumulated"))

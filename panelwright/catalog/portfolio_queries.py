@@ -118,9 +118,10 @@ COMPOUND_SQL = f"""(SELECT *, 100 * product(1 + return) OVER (ORDER BY period_st
       product(1 + return) OVER (ORDER BY period_start) - 1 AS total_return FROM {EARNED_SQL})"""
 
 
-@query("g4_compound", "period_start:d return:f accumulated:f total_return:f", f"SELECT * FROM {COMPOUND_SQL}")
+# The test market compounds to astronomic totals, so running values are compared as logarithms.
+@query("g4_compound", "period_start:d return:f log_accumulated:f", f"SELECT *, ln(accumulated) AS log_accumulated FROM {COMPOUND_SQL}")
 def _(t):
-    return portfolio.compound(earned(t))
+    return portfolio.compound(earned(t)).withColumn("log_accumulated", F.ln("accumulated"))
 
 
 @query(
@@ -233,7 +234,6 @@ _SWEEP_PATH = f"""(SELECT *, max(v) OVER (PARTITION BY period_months ORDER BY pe
     f"SELECT *, ln(1 + total_return / 100) AS log_growth FROM ({_metrics_sql(_SWEEP_SQL, 'period_months', 'period_months', _SWEEP_PATH)}) WHERE num_trades >= 3",
 )
 def _(t):
-    # The test market compounds to astronomic totals, so the total is compared as a logarithm.
     out = portfolio.sweep_rebalance(t.price, 1996, 2001)
     return out.withColumn("log_growth", F.ln(1 + F.col("total_return") / 100))
 
@@ -242,7 +242,7 @@ def _(t):
     "a14_write_reports",
     "report:s period_start:d n:i total:f",
     f"""SELECT 'eval_picks' AS report, period_start, count(*) AS n, sum(symbol) AS total FROM {WEIGHTED_SQL} GROUP BY period_start
-        UNION ALL SELECT 'eval_periods', period_start, 1, accumulated FROM {COMPOUND_SQL}
+        UNION ALL SELECT 'eval_periods', period_start, 1, ln(accumulated) FROM {COMPOUND_SQL}
         UNION ALL SELECT 'rank', period_start, count(*), sum(symbol) FROM {RANKED_SQL}
           WHERE period_start IN (SELECT period_start FROM {EARNED_SQL} ORDER BY 1 LIMIT 5) GROUP BY period_start
         UNION ALL SELECT 'avg', period_start, count(*), sum(symbol) FROM {RANKED_SQL} GROUP BY period_start""",
@@ -256,7 +256,7 @@ def _(t):
     parts = [read(n).groupBy("period_start").agg(count, total).withColumn("report", F.lit(n)) for n in ("eval_picks", "rank", "avg")]
     parts.append(
         read("eval_periods").select(
-            "period_start", F.lit(1).cast("long").alias("n"), F.col("accumulated").alias("total"), F.lit("eval_periods").alias("report")
+            "period_start", F.lit(1).cast("long").alias("n"), F.ln("accumulated").alias("total"), F.lit("eval_periods").alias("report")
         )
     )
     out = parts[0]

@@ -50,23 +50,26 @@ def _(t):
 @query(
     "h2_expanding_folds",
     _FOLD,
-    f"""{_SUMMARY} FROM (SELECT id, date, fold + 1 AS fold, CASE WHEN pos < 1000 + fold * 300 THEN 'train'
-          WHEN pos < 1000 + fold * 300 + 500 THEN 'test' END AS role
-        FROM {_ROWS}, range(0, 4000) f(fold) WHERE 1000 + fold * 300 + 500 <= n) WHERE role IS NOT NULL GROUP BY fold, role""",
+    f"""{_SUMMARY} FROM (SELECT id, date, fold + 1 AS fold, CASE WHEN pos < n // 5 + fold * (n // 20) THEN 'train'
+          WHEN pos < n // 5 + fold * (n // 20) + n // 10 THEN 'test' END AS role
+        FROM {_ROWS}, range(0, 100) f(fold) WHERE n // 5 + fold * (n // 20) + n // 10 <= n) WHERE role IS NOT NULL GROUP BY fold, role""",
 )
 def _(t):
-    return _summary(splits.expanding_folds(orders(t), 1000, 500, 300, ["date", "id"]), "fold")
+    n = t.raw("orders").count()
+    return _summary(splits.expanding_folds(orders(t), n // 5, n // 10, n // 20, ["date", "id"]), "fold")
 
 
 @query(
     "h3_rolling_folds",
     _FOLD,
-    f"""{_SUMMARY} FROM (SELECT id, date, fold + 1 AS fold, CASE WHEN pos < fold * 400 + 1200 THEN 'train' ELSE 'test' END AS role
-        FROM {_ROWS}, range(0, 4000) f(fold) WHERE fold * 400 + 1200 + 400 <= n AND pos >= fold * 400 AND pos < fold * 400 + 1600)
+    f"""{_SUMMARY} FROM (SELECT id, date, fold + 1 AS fold, CASE WHEN pos < fold * s + n // 4 THEN 'train' ELSE 'test' END AS role
+        FROM (SELECT *, n // 30 AS s FROM {_ROWS}), range(0, 100) f(fold)
+        WHERE fold * s + n // 4 + s <= n AND pos >= fold * s AND pos < fold * s + n // 4 + s)
         GROUP BY fold, role""",
 )
 def _(t):
-    return _summary(splits.rolling_folds(orders(t), 1200, 400, None, ["date", "id"]), "fold")
+    n = t.raw("orders").count()
+    return _summary(splits.rolling_folds(orders(t), n // 4, n // 30, None, ["date", "id"]), "fold")
 
 
 def _windows_sql(anchored: bool) -> str:
