@@ -246,9 +246,14 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame
 def top_per_group(df: DataFrame, group: Sequence[str], order: Order, n: int, rank: str = "rn") -> DataFrame:
     """The first ``n`` rows per group with their 1-based row number.
 
-    The constant limit lets Spark cut every group to ``n`` rows per task before
-    the shuffle, so a hot group does not reach one task whole.
+    A constant limit lets Spark cut every group to ``n`` rows per task before
+    the shuffle, so a hot group does not reach one task whole.  Spark does so up
+    to its own threshold; above it the rows are numbered by a range sort.
     """
+    spark = df.sparkSession
+    if n > int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        placed = positions(df, group, order, "__pos", None)
+        return placed.where(F.col("__pos") < n).withColumn(rank, F.col("__pos") + 1).drop("__pos")
     w = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))).orderBy(
         *_sort_columns([], order)
     )

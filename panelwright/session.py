@@ -17,6 +17,8 @@ def build_session(cpus: str | int = "*", shuffle_partitions: int = 8, **conf: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
+        # Staged tables go away with the frames that read them.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -88,6 +88,15 @@ def test_first_per_key_orders_and_nulls(spark):
     assert down == {1: "z", 2: "q", None: "n"}
 
 
+def test_top_per_group_above_the_limit_threshold(frame, skewed):
+    order = [("v", False), ("id", True)]
+    got = ordered.top_per_group(frame, ["g"], order, 1500).toPandas()
+    assert len(got) == skewed.groupby("g").size().clip(upper=1500).sum()
+    few = ordered.top_per_group(frame, ["g"], order, 4).toPandas()
+    both = few.merge(got, on="id", suffixes=("", "_big"))
+    assert len(both) == len(few) and (both.rn == both.rn_big).all()
+
+
 def test_empty_input(spark):
     empty = spark.createDataFrame([], "g int, v double, id long")
     assert ordered.positions(empty, ["g"], [("v", True)]).count() == 0
