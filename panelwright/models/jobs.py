@@ -62,12 +62,18 @@ def fit(df: DataFrame, features: Sequence[str], estimator: Any, label: str, impu
     return pipeline(features, estimator, label, impute).fit(_numeric(rows.select(*features, label), [*features, label]))
 
 
-def score(model: PipelineModel, df: DataFrame, output: str) -> DataFrame:
-    """Append the probability of class 1 (classifier) or the prediction (regressor) as ``output``."""
+def score(model: PipelineModel, df: DataFrame, output: str, fill: bool = False) -> DataFrame:
+    """Append the probability of class 1 (classifier) or the prediction (regressor) as ``output``.
+
+    Rows with a missing feature are dropped by a model fitted without
+    imputing; ``fill`` keeps them, scored as if the feature were zero.
+    """
     used = [c for c in _inputs(model) if c in df.columns]
     renamed = {c: f"__in_{c}" for c in used}
-    wide = df.select("*", *[F.col(c).alias(n) for c, n in renamed.items()])
-    out = model.transform(_numeric(wide, used))
+    wide = _numeric(df.select("*", *[F.col(c).alias(n) for c, n in renamed.items()]), used)
+    if fill:
+        wide = wide.withColumns({c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)) for c in used})
+    out = model.transform(wide)
     last = model.stages[-1]
     value = F.col(last.getPredictionCol())
     if last.hasParam("probabilityCol"):
@@ -229,16 +235,17 @@ def train_per_sector(df: DataFrame, configs: Mapping[str, SectorConfig], label:
 
 
 def predict_per_sector(df: DataFrame, fitted: SectorModels, sector: str = "sector") -> DataFrame:
-    """Every row once; ``predicted_score`` is null without a model or with a missing feature."""
-    nothing = F.lit(None).cast("double").alias("predicted_score")
-    known = list(fitted.models)
-    parts = [df.where(F.col(sector).isNull() | ~F.col(sector).isin(*known)).select("*", nothing)]
-    for name, model in fitted.models.items():
-        mine = df.where(F.col(sector) == name)
-        whole = quality.complete_cases(mine, fitted.features[name])
+    """Every row once; ``predicted_score`` is null without a model or with a missing feature.
+
+    All sector models run over one pass of the data, and each row takes its
+    own sector's output.
+    """
+    out, own = df, F.lit(None).cast("double")
+    for i, (name, model) in enumerate(fitted.models.items()):
+        out = score(model, out, f"__s{i}", fill=True)
         missing = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in fitted.features[name]])
-        parts += [score(model, whole, "predicted_score"), mine.where(missing).select("*", nothing)]
-    out = reduce(DataFrame.unionByName, parts)
+        own = F.when((F.col(sector) == name) & ~missing, F.col(f"__s{i}")).otherwise(own)
+    out = out.select(*df.columns, own.alias("predicted_score"))
     return out.withColumn("predicted_class", (F.col("predicted_score") > 0.5).cast("int"))
 
 

@@ -215,6 +215,7 @@ def panel_asof(
         quotes = prices.join(dates.withColumnRenamed("trade_date", "date"), "date").withColumnRenamed("date", "trade_date")
     else:
         dates = quotes.select("as_of", "trade_date").distinct()
-    universe = active_at_dates(symbols, dates)
+    # Listed on the date: a filter after the symbol join, so the universe is never multiplied by the calendar.
+    listed = quotes.join(symbols, "symbol").where(F.col("delistedDate").isNull() | (F.col("delistedDate") >= F.col("as_of")))
     newest = latest_filing(filings, dates.select("as_of"), months).withColumnRenamed("date", "report_date")
-    return universe.join(quotes, ["as_of", "symbol"]).join(newest, ["as_of", "symbol"])
+    return listed.join(newest, ["as_of", "symbol"])

@@ -25,16 +25,18 @@ def walk_forward(
 ) -> DataFrame:
     """H6: one row per window with its bounds, row counts and metrics in long form.
 
-    Windows empty on either side are skipped.  Only the window table and one
-    metric row per window reach the driver.
+    Windows empty on either side are skipped; one pass counts all of them.
+    Only the window table, its counts and one metric row per window reach the driver.
     """
     spark = df.sparkSession
+    tagged = splits.assign_windows(df.select(date), windows, date)
+    counts = {(r["window"], r.role): r["count"] for r in tagged.groupBy("window", "role").count().collect()}
     rows = []
     for w in windows.orderBy("window").collect():
-        past, ahead = _slice(df, date, w.train_start, w.train_end), _slice(df, date, w.test_start, w.test_end)
-        n_train, n_test = past.count(), ahead.count()
+        n_train, n_test = counts.get((w["window"], "train")), counts.get((w["window"], "test"))
         if not n_train or not n_test:
             continue
+        past, ahead = _slice(df, date, w.train_start, w.train_end), _slice(df, date, w.test_start, w.test_end)
         metrics = evaluate(train(past), ahead)
         rows += [(*_bounds(w), n_train, n_test, name, float(v)) for name, v in metrics.items() if v is not None]
     return spark.createDataFrame(rows, _RESULT)
