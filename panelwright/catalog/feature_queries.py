@@ -294,6 +294,21 @@ def _(t):
     return _named(features.time_series_features(window_long(t), ["symbol"], solver=True, filtered=False))
 
 
+# Durbin's recursion written out for the first three lags.
+@query(
+    "e10_ts_features_pacf",
+    "symbol:i kind:s lag_0:g lag_1:g lag_2:g lag_3:g",
+    f"""WITH {_WINDOW_ROWS}, a AS (SELECT symbol, kind, sum((v - m) * (l1 - m)) / 11 / var_pop(v) AS r1,
+          sum((v - m) * (l2 - m)) / 10 / var_pop(v) AS r2, sum((v - m) * (l3 - m)) / 9 / var_pop(v) AS r3 FROM r GROUP BY ALL),
+        b AS (SELECT *, (r2 - r1 * r1) / (1 - r1 * r1) AS p2 FROM a)
+        SELECT symbol, kind, 1 AS lag_0, r1 AS lag_1, p2 AS lag_2,
+          (r3 - (r1 - p2 * r1) * r2 - p2 * r1) / (1 - (r1 - p2 * r1) * r1 - p2 * r2) AS lag_3 FROM b""",
+)
+def _(t):
+    out = features.time_series_features(window_long(t), ["symbol"], solver=True, filtered=False, features=[])
+    return out.withColumnsRenamed({f"partial_autocorrelation__lag_{k}": f"lag_{k}" for k in range(4)})
+
+
 @query(
     "e11_features_wide",
     "symbol:i revenue_ts_mean:f revenue_ts_maximum:f netDebt_ts_mean:f netDebt_ts_maximum:f",

@@ -8,7 +8,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, Log
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import functions as F
 
-from panelwright.catalog.ranking_queries import EVALUATED, PREDICTED_SQL, VARIANTS, _EVAL, _topk_sql
+from panelwright.catalog.ranking_queries import EVAL_COLUMNS, EVALUATED, PREDICTED_SQL, VARIANTS, topk_sql
 from panelwright.catalog.registry import query
 from panelwright.catalog.stats_queries import MODELS_SQL, models
 from panelwright.models import jobs
@@ -74,6 +74,26 @@ def _(t):
     return jobs.predict_per_sector(test.withColumn("p1", gaps), fitted)
 
 
+@query(
+    "j3_sector_coverage",
+    "sector:s n:i n_scored:i n_classes:i",
+    f"""SELECT sector, count(*) AS n, count(*) FILTER (sector = '2-HIGH' AND id % 7 <> 0 OR sector = '5-LOW') AS n_scored,
+        count(*) FILTER (sector = '2-HIGH' AND id % 7 <> 0 OR sector = '5-LOW') AS n_classes
+        FROM fx_prediction WHERE cohort >= {_SPLIT} GROUP BY sector""",
+)
+def _(t):
+    train, test = _parts(t)
+    tree = DecisionTreeClassifier(maxDepth=2, seed=jobs.SEED)
+    fitted = jobs.train_per_sector(
+        train, {"2-HIGH": jobs.SectorConfig(("p0", "p1"), tree), "5-LOW": jobs.SectorConfig(("p0", "p2"), tree)}, "up"
+    )
+    out = jobs.predict_per_sector(test.withColumn("p1", F.when(F.col("id") % 7 != 0, F.col("p1"))), fitted)
+    inside = F.col("predicted_score").between(0, 1)
+    return out.groupBy("sector").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("n_scored"), F.count("predicted_class").alias("n_classes")
+    )
+
+
 @query("j4_stack", "id:i up:i stacked:f")
 def _(t):
     train, test = _parts(t)
@@ -158,7 +178,7 @@ def _(t):
     return jobs.compare_runs(t.spark, path, "test_accuracy").withColumn("depth", F.col("params.depth"))
 
 
-@query("j11_evaluate_pipeline", f"cohort:i {_EVAL}", _topk_sql("cohort", ranking.TOP_SLICES, EVALUATED, PREDICTED_SQL))
+@query("j11_evaluate_pipeline", f"cohort:i {EVAL_COLUMNS}", topk_sql("cohort", ranking.TOP_SLICES, EVALUATED, PREDICTED_SQL))
 def _(t):
     preds = ["pred0", "pred1"]
     return evaluation.evaluate_pipeline(t.prediction, [f"p{i}" for i in range(4)], preds, "ret", "ret")[2]
@@ -200,6 +220,33 @@ def _(t):
     return validation.walk_forward(learnable(t), windows, train, evaluate)
 
 
+def _mean_model(rows):
+    return rows.agg(F.avg("move")).head()[0]
+
+
+def _mean_error(mean, rows):
+    return rows.agg(F.avg(F.abs(F.col("move") - mean)).alias("mae"), F.avg(F.col("move") - mean).alias("bias")).head().asDict()
+
+
+@query(
+    "h6_walk_forward_custom",
+    "window:i train_start:d train_end:d test_start:d test_end:d train_samples:i test_samples:i metric:s value:f",
+    """WITH w AS (SELECT i + 1 AS "window", CAST(DATE '1995-01-01' + to_months(CAST(12 * i AS INTEGER)) AS DATE) AS train_start,
+            CAST(DATE '1995-01-01' + to_months(CAST(12 * i + 24 AS INTEGER)) AS DATE) AS train_end,
+            CAST(DATE '1995-01-01' + to_months(CAST(12 * i + 30 AS INTEGER)) AS DATE) AS test_end FROM range(0, 50) r(i)),
+        p AS (SELECT *, p0 - p1 / 2 + ret / 10 AS move FROM fx_prediction),
+        m AS (SELECT w.*, avg(move) AS mean, count(*) AS train_samples FROM w JOIN p ON date >= train_start AND date < train_end
+              WHERE test_end <= DATE '2001-07-01' GROUP BY ALL)
+      SELECT "window", train_start, train_end, train_end AS test_start, test_end, train_samples, test_samples,
+             unnest(['mae', 'bias']) AS metric, unnest([mae, bias]) AS value
+      FROM (SELECT "window", train_start, train_end, test_end, train_samples, count(*) AS test_samples, avg(abs(move - mean)) AS mae,
+                   avg(move - mean) AS bias FROM m JOIN p ON date >= train_end AND date < test_end GROUP BY ALL)""",
+)
+def _(t):
+    windows = splits.walk_forward_windows(t.spark, Date(1995, 1, 1), Date(2001, 7, 1), 24, 6, 12)
+    return validation.walk_forward(learnable(t), windows, _mean_model, _mean_error)
+
+
 @query("h7_robust_walk_forward", "window:i metric:s value:f n_features:i n_drifted:i")
 def _(t):
     out = validation.robust_walk_forward(
@@ -272,6 +319,15 @@ def _(t):
     return build_dataset(t)[1]
 
 
+@query(
+    "e17_ml_dataset_trailing",
+    "symbol:i calendarYear:i period:s rebalance_date:d margin:f price_dev:f price_dev_subavg:f sec_price_dev_subavg:f",
+    "SELECT * FROM " + _DATASET_SQL.replace("lead(close) OVER w / close - 1 AS price_dev", "close / lag(close) OVER w - 1 AS price_dev"),
+)
+def _(t):
+    return build_dataset(t, "trailing")[1]
+
+
 @query(
     "e17_ml_features",
     "symbol:i calendarYear:i period:s report_date:d sector:s margin:f revenue_ts_mean:f margin_ts_maximum:f",

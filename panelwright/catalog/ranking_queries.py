@@ -208,7 +208,7 @@ def _(t):
 EVALUATED = [*VARIANTS, "ai_pred_avg"]
 
 
-def _topk_sql(by: str, slices, columns, source: str) -> str:
+def topk_sql(by: str, slices, columns, source: str) -> str:
     names = ", ".join(f"'{c}'" for c in columns)
     return f"""SELECT {by}, model, s || '~' || e AS krange, sum(ret) / (e - s + 1) AS avg_earning_per_stock,
         sum(pred) / (e - s + 1) AS cur_model_pred, abs(sum(pred) / (e - s + 1) - sum(ret) / (e - s + 1)) AS loss_y_and_pred,
@@ -219,18 +219,18 @@ def _topk_sql(by: str, slices, columns, source: str) -> str:
       WHERE rn BETWEEN s AND e GROUP BY {by}, model, s, e"""
 
 
-_EVAL = "model:s krange:s avg_earning_per_stock:f cur_model_pred:f loss_y_and_pred:f cur_model_pred_ispositive:i"
+EVAL_COLUMNS = "model:s krange:s avg_earning_per_stock:f cur_model_pred:f loss_y_and_pred:f cur_model_pred_ispositive:i"
 
 
-@query("f12_topk_eval", f"cohort:i {_EVAL}", _topk_sql("cohort", ranking.TOP_SLICES, EVALUATED, PREDICTED_SQL))
+@query("f12_topk_eval", f"cohort:i {EVAL_COLUMNS}", topk_sql("cohort", ranking.TOP_SLICES, EVALUATED, PREDICTED_SQL))
 def _(t):
     return ranking.topk_eval(predicted(t), EVALUATED, "ret")
 
 
 @query(
     "f13_topk_by_sector",
-    f"cohort:i sector:s {_EVAL}",
-    _topk_sql("cohort, sector", ranking.SECTOR_SLICES, ("pred0", "pred1"), "fx_prediction"),
+    f"cohort:i sector:s {EVAL_COLUMNS}",
+    topk_sql("cohort, sector", ranking.SECTOR_SLICES, ("pred0", "pred1"), "fx_prediction"),
 )
 def _(t):
     return ranking.topk_by_sector(t.prediction, ["pred0", "pred1"], "ret")

@@ -127,6 +127,15 @@ def _(t):
     return landing.stale_symbols(seen, active, F.lit("2001-11-05").cast("date"))
 
 
+@query(
+    "a5_current_year_rows",
+    "symbol:i year:i",
+    "SELECT DISTINCT symbol, 2001 AS year FROM fx_price WHERE year(date) = 2001",
+)
+def _(t):
+    return landing.current_year_rows(t.price, F.lit("2001-11-05").cast("date"))
+
+
 _ERROR_SQL = """CASE WHEN payload LIKE '{"Limit%' THEN 'Limit Reach' WHEN payload LIKE '{"Error%' THEN 'Error Message' END"""
 
 
@@ -218,6 +227,16 @@ def _(t):
     return out.withColumn("has_bytes", (F.col("n_bytes") > 0).cast("int"))
 
 
+@query(
+    "a10_list_tables",
+    "table:s n_files:i",
+    """SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents',
+                      'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS "table", 1 AS n_files""",
+)
+def _(t):
+    return tables.list_tables(t.spark, t.sf_dir)
+
+
 @query(
     "a12_write_by_year",
     "year:i n:i volume:i",

@@ -55,7 +55,7 @@ def _longest(test: str) -> str:
     return f"aggregate(x, named_struct('c', 0, 'b', 0), (a, v) -> {run}, a -> a.b)"
 
 
-def _quantile(q: float) -> str:
+def quantile(q: float) -> str:
     s, at = "array_sort(x)", f"({q}D * (n - 1))"
     lo = f"element_at({s}, CAST(floor({at}) AS INT) + 1)"
     hi = f"element_at({s}, CAST(ceil({at}) AS INT) + 1)"
@@ -76,7 +76,7 @@ def _trend() -> dict[str, str]:
     }
 
 
-def _ricker(points: int, width: float) -> np.ndarray:
+def ricker(points: int, width: float) -> np.ndarray:
     """The Ricker wavelet sampled at ``points``."""
     t = np.arange(points) - (points - 1) / 2
     s = (t / width) ** 2
@@ -88,7 +88,7 @@ def ricker_weights(n: int, width: int, coefficient: int) -> np.ndarray:
 
     The transform is linear in x, so its matrix column is found by transforming unit vectors.
     """
-    wave = _ricker(min(10 * width, n), width)[::-1]
+    wave = ricker(min(10 * width, n), width)[::-1]
     return np.array([np.convolve(e, wave, mode="same")[coefficient] for e in np.eye(n)])
 
 
@@ -133,8 +133,8 @@ def feature_expressions(window: int = 12, fourier: Iterable[int] = (0,)) -> dict
         "skewness": f"CASE WHEN n > 2 AND sd > 0 THEN n / ((n - 1D) * (n - 2D)) * {moment(3)} / pow({s2}, 1.5D) END",
         "kurtosis": f"CASE WHEN n > 3 AND sd > 0 THEN n * (n + 1D) / ((n - 1D) * (n - 2D) * (n - 3D)) * {moment(4)} / pow({s2}, 2)"
         " - 3D * (n - 1D) * (n - 1D) / ((n - 2D) * (n - 3D)) END",
-        "quantile__q_0.2": _quantile(0.2),
-        "quantile__q_0.8": _quantile(0.8),
+        "quantile__q_0.2": quantile(0.2),
+        "quantile__q_0.8": quantile(0.8),
         "cid_ce__normalize_True": f"CASE WHEN sd > 0 THEN {energy} / sd ELSE 0D END",
         "cid_ce__normalize_False": energy,
         **_trend(),

@@ -117,7 +117,7 @@ def array_features(
     spread = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - F.col("m")) * (v - F.col("m"))) / F.col("n"))
     # Values that are all equal have deviation zero, whatever the mean rounds to.
     sd = F.when(F.col("mn") == F.col("mx"), F.lit(0.0)).otherwise(spread)
-    base = base.select("*", sd.alias("sd"), F.expr(tsfeat._quantile(0.5)).alias("md"))
+    base = base.select("*", sd.alias("sd"), F.expr(tsfeat.quantile(0.5)).alias("md"))
     out = [F.expr(e).cast("double").alias(name) for name, e in exprs.items()]
     if not solver:
         return base.select(*ids, *out)

@@ -105,7 +105,7 @@ def test_fourier_and_wavelet(feature_rows):
         for c in range(7):
             assert np.isclose(feature_rows[k][f'fft_coefficient__attr_"real"__coeff_{c}'], spectrum[c].real, atol=1e-9)
             assert np.isclose(feature_rows[k][f'fft_coefficient__attr_"imag"__coeff_{c}'], spectrum[c].imag, atol=1e-9)
-        wave = tsfeat._ricker(12, 5)[::-1]
+        wave = tsfeat.ricker(12, 5)[::-1]
         assert np.isclose(feature_rows[k]["cwt_coefficients__coeff_6__w_5__widths_(2, 5, 10, 20)"], np.convolve(w, wave, mode="same")[6])
 
 
