@@ -246,6 +246,19 @@ def _(t):
     return ranking.latest_sector_picks(t.prediction, "pred0", 4)
 
 
+@query(
+    "f13_latest_sector_report",
+    "k:i sector:s model:s i:i id:i pred:f",
+    """SELECT e - s AS k, sector, model, rn - s AS i, id, pred FROM (
+         SELECT *, row_number() OVER (PARTITION BY sector, model ORDER BY pred DESC, id) - 1 AS rn FROM (
+           SELECT sector, id, unnest(['pred0', 'pred1']) AS model, unnest([pred0, pred1]) AS pred FROM fx_prediction
+           WHERE cohort = (SELECT max(cohort) FROM fx_prediction))), (VALUES (0, 3), (0, 7), (0, 15)) v(s, e)
+       WHERE rn BETWEEN s AND e""",
+)
+def _(t):
+    return ranking.latest_sector_report(t.prediction, ["pred0", "pred1"])
+
+
 @query(
     "f14_latest_per_symbol",
     "symbol:i ordinal:i revenue:f",

@@ -250,6 +250,17 @@ def average_models(df: DataFrame, predictions: Sequence[str], label: str, name:
     return df.withColumn(name, mean).withColumn(f"{name}_loss", F.abs(F.col(label) - F.col(name)))
 
 
+def _in_slices(
+    long: DataFrame, group: Sequence[str], value: str, ids: Sequence[str], slices: Sequence[tuple[int, int]]
+) -> DataFrame:
+    """The best rows of each group, once per slice ``__b`` holding their place."""
+    deepest = max(e for _, e in slices) + 1
+    top = top_per_group(long, group, [(value, False), *[(i, True) for i in ids]], deepest, "__rn")
+    bounds = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in slices])
+    within = F.filter(bounds, lambda b: (F.col("__rn") - 1 >= b["s"]) & (F.col("__rn") - 1 <= b["e"]))
+    return top.withColumn("__b", F.explode(within))
+
+
 def topk_eval(
     df: DataFrame,
     predictions: Sequence[str],
@@ -264,14 +275,10 @@ def topk_eval(
     that size even when the cohort is smaller.
     """
     cohort, ids = list(cohort), list(ids)
-    deepest = max(e for _, e in slices) + 1
     long = df.select(*cohort, *ids, realised, *[F.col(p).cast("double").alias(p) for p in predictions]).unpivot(
         [*cohort, *ids, realised], list(predictions), "model", "__pred"
     )
-    top = top_per_group(long, [*cohort, "model"], [("__pred", False), *[(i, True) for i in ids]], deepest, "__rn")
-    bounds = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in slices])
-    within = F.filter(bounds, lambda b: (F.col("__rn") - 1 >= b["s"]) & (F.col("__rn") - 1 <= b["e"]))
-    cut = top.withColumn("__b", F.explode(within))
+    cut = _in_slices(long, [*cohort, "model"], "__pred", ids, slices)
     size = F.col("__b.e") - F.col("__b.s") + 1
     keyed = cut.withColumn("krange", F.concat(F.col("__b.s"), F.lit("~"), F.col("__b.e"))).withColumn("__size", size)
     sums = keyed.groupBy(*cohort, "model", "krange", "__size").agg(
@@ -310,6 +317,26 @@ def latest_sector_picks(
     return top_n(newest.where(F.col(sector).isNotNull()), k, prediction, [sector], ids)
 
 
+def latest_sector_report(
+    df: DataFrame,
+    predictions: Sequence[str],
+    slices: Sequence[tuple[int, int]] = TOP_SLICES,
+    cohort: str = "cohort",
+    sector: str = "sector",
+    ids: Sequence[str] = ("id",),
+) -> DataFrame:
+    """for the newest cohort one row per sector, prediction column, slice and place ``i``."""
+    ids = list(ids)
+    newest = df.where((F.col(cohort) == df.agg(F.max(cohort)).scalar()) & F.col(sector).isNotNull())
+    long = newest.select(sector, *ids, *[F.col(p).cast("double").alias(p) for p in predictions]).unpivot(
+        [sector, *ids], list(predictions), "model", "pred"
+    )
+    cut = _in_slices(long, [sector, "model"], "pred", ids, slices)
+    return cut.select(
+        (F.col("__b.e") - F.col("__b.s")).alias("k"), sector, "model", (F.col("__rn") - 1 - F.col("__b.s")).alias("i"), *ids, "pred"
+    )
+
+
 def latest_per_symbol(df: DataFrame, order: str = "ordinal") -> DataFrame:
     """the newest fiscal row of each symbol."""
     return first_per_key(df, ["symbol"], [(order, False)])

@@ -20,13 +20,16 @@ from panelwright.operators.ordered import join_stats, positions, running_sums
 LOWER_IS_BETTER = ("rmse", "mae", "loss")
 METRIC_PREFERENCE = ("accuracy", "f1", "rmse")
 # Beyond this many columns the pairwise aggregates give way to one matrix aggregate.
-WIDE_FRAME = 40
+WIDE_FRAME = 20
 # Fixed value: the 95th percentile of chi-square with one degree of freedom.
 CHI2_1_95 = 3.841458820694124
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair ``(left, right, corr)``, one pass over the data."""
+    """Pearson correlation of every column pair ``(left, right, corr)``, one pass over the data.
+
+    Wide frames use one matrix aggregate over the rows without a missing value.
+    """
     columns = list(columns)
     if len(columns) > WIDE_FRAME:
         vectors = VectorAssembler(inputCols=columns, outputCol="__v", handleInvalid="skip").transform(df)

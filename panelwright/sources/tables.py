@@ -155,7 +155,12 @@ def build_missing(
     """
     spark = wanted.sparkSession
     try:
-        have = spark.read.parquet(path).select(F.col(key).cast(wanted.schema[key].dataType).alias(key)).distinct()
+        # The partition values stand in the file paths: a listing, no file is opened.
+        files = (
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+        )
+        value = F.url_decode(F.regexp_extract("path", f"/{key}=([^/]+)/", 1))
+        have = files.select(value.cast(wanted.schema[key].dataType).alias(key)).distinct()
         missing = wanted.join(have, key, "left_anti")
     except AnalysisException:
         missing = wanted
