@@ -179,39 +179,70 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> Data
     return join_stats(df, stats, keys)
 
 
-def exact_percentiles(
-    df: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float]
+def order_statistics(
+    df: DataFrame, group: Sequence[str], value: str, targets: Mapping[str, Column]
 ) -> DataFrame:
-    """Linear-interpolated percentiles, one row per group.
+    """The values at given 0-based ascending positions of each group, and its size ``__n``.
 
-    The built-in ``percentile`` keeps every distinct value of a group in one
-    buffer; here the ordered positions are found by a range sort, and at most
-    two rows per percentile leave it.
+    A target is an expression of ``__n``; a position outside the group gives
+    null.  Nulls are left out.  Only the ranges that hold a target are looked
+    into, so beyond the range sort itself little data moves.
     """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    run = running_sums(counts, group, [("__v", True)], {"__upto": "__c"})
-    totals = run.groupBy(*group).agg(F.max("__upto").alias("__n"))
-    pos = join_stats(run, totals, group)
-    picks = []
-    for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("__n") - 1)
-        low, high = F.floor(at), F.ceil(at)
-        start, end = F.col("__upto") - F.col("__c"), F.col("__upto") - 1
-        picks += [
-            F.max(F.when((start <= low) & (low <= end), F.col("__v"))).alias(f"__lo_{name}"),
-            F.max(F.when((start <= high) & (high <= end), F.col("__v"))).alias(f"__hi_{name}"),
-        ]
-    wide = pos.groupBy(*group, "__n").agg(*picks)
+    sliced = range_slices(counts, group, [("__v", True)])
+    by_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
+    upto = by_group.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range and group.
+    carry = (
+        sliced.groupBy(*group, _SLICE)
+        .agg(F.sum("__c").alias("__rows"))
+        .select(
+            *group,
+            _SLICE,
+            F.coalesce(F.sum("__rows").over(upto), F.lit(0)).alias("__base"),
+            "__rows",
+            F.sum("__rows").over(by_group).alias("__n"),
+        )
+    )
+    inside = F.lit(False)
+    for at in targets.values():
+        inside = inside | ((at >= F.col("__base")) & (at < F.col("__base") + F.col("__rows")))
+    hit = _join_carry(sliced, carry.where(inside).drop("__rows"), group)
+    local = (
+        Window.partitionBy(_SLICE, *group)
+        .orderBy(_SEQ)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    end = F.col("__base") + F.sum("__c").over(local)
+    placed = hit.withColumn("__end", end)
+    picks = [
+        F.max(F.when((at >= F.col("__end") - F.col("__c")) & (at < F.col("__end")), F.col("__v"))).alias(name)
+        for name, at in targets.items()
+    ]
+    return placed.groupBy(*group, "__n").agg(*picks)
+
+
+def exact_percentiles(
+    df: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float]
+) -> DataFrame:
+    """Linear-interpolated percentiles, one row per group.
+
+    The built-in ``percentile`` keeps every distinct value of a group in one
+    buffer; this one takes the two neighbouring order statistics.
+    """
+    at = {name: F.lit(float(p)) * (F.col("__n") - 1) for name, p in probs.items()}
+    targets = {f"__lo_{name}": F.floor(a) for name, a in at.items()}
+    targets |= {f"__hi_{name}": F.ceil(a) for name, a in at.items()}
+    found = order_statistics(df, group, value, targets)
     out = []
-    for name, p in probs.items():
-        at = F.lit(float(p)) * (F.col("__n") - 1)
+    for name, a in at.items():
         lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return wide.select(*group, *out)
+        out.append((lo + (hi - lo) * (a - F.floor(a))).alias(name))
+    return found.select(*group, *out)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:

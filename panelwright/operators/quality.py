@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from panelwright.operators.ordered import (
     exact_percentiles,
     join_stats,
+    order_statistics,
     positions,
-    value_ranks,
     with_group_stats,
 )
 
@@ -45,15 +45,8 @@ def liquid_top_fraction(
     """Per date the top ``int(fraction * n)`` rows by value, ties at the cut kept."""
     group = list(group)
     have = df.where(F.col(value).isNotNull())
-    ranks = value_ranks(have, group, value)
-    sizes = ranks.groupBy(*group).agg(F.sum("n_equal").alias("__n"))
-    # The cut is the smallest kept value: one row per group instead of a rank per row.
-    cut = (
-        join_stats(ranks, sizes, group)
-        .where(F.col("n_above") < F.floor(F.col("__n") * fraction))
-        .groupBy(*group)
-        .agg(F.min(value).alias("__cut"))
-    )
+    # The smallest kept value is an order statistic: one row per group instead of a rank per row.
+    cut = order_statistics(have, group, value, {"__cut": F.col("__n") - F.floor(F.col("__n") * fraction)}).drop("__n")
     return join_stats(have, cut, group).where(F.col(value) >= F.col("__cut")).drop("__cut")
 
 
