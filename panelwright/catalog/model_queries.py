@@ -178,14 +178,14 @@ def _(t):
     return jobs.compare_runs(t.spark, path, "test_accuracy").withColumn("depth", F.col("params.depth"))
 
 
-@query("j11_evaluate_pipeline", f"cohort:i {EVAL_COLUMNS}", topk_sql("cohort", ranking.TOP_SLICES, EVALUATED, PREDICTED_SQL))
+@query("j11_evaluation", f"cohort:i {EVAL_COLUMNS}", topk_sql("cohort", ranking.TOP_SLICES, EVALUATED, PREDICTED_SQL))
 def _(t):
     preds = ["pred0", "pred1"]
-    return evaluation.evaluate_pipeline(t.prediction, [f"p{i}" for i in range(4)], preds, "ret", "ret")[2]
+    return evaluation.evaluate_models(t.prediction, [f"p{i}" for i in range(4)], preds, "ret", "ret")[2]
 
 
 @query(
-    "j11_evaluate_pipeline_losses",
+    "j11_evaluation_losses",
     "cohort:i model:s loss:f accumulated_loss:f",
     f"""SELECT cohort, model, s / n AS loss, sum(s) OVER w / sum(n) OVER w AS accumulated_loss FROM (
           SELECT cohort, model, sum(abs(ret - v)) AS s, count(*) AS n FROM (
@@ -194,7 +194,7 @@ def _(t):
 )
 def _(t):
     preds = ["pred0", "pred1"]
-    return evaluation.evaluate_pipeline(t.prediction, [f"p{i}" for i in range(4)], preds, "ret", "ret")[1]
+    return evaluation.evaluate_models(t.prediction, [f"p{i}" for i in range(4)], preds, "ret", "ret")[1]
 
 
 _NEWEST_SQL = """(SELECT *, id % 997 AS symbol FROM fx_prediction QUALIFY row_number() OVER (PARTITION BY id % 997 ORDER BY cohort DESC, id DESC) = 1)"""

@@ -16,7 +16,7 @@ from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -46,7 +46,7 @@ def _vector(features: Sequence[str], impute: bool) -> list:
     ]
 
 
-def pipeline(features: Sequence[str], estimator: Any, label: str, impute: bool = False) -> Pipeline:
+def _stages(features: Sequence[str], estimator: Any, label: str, impute: bool) -> Pipeline:
     """Features to vector to estimator, with fixed internal column names."""
     return Pipeline(stages=[*_vector(features, impute), estimator.copy().setFeaturesCol("__features").setLabelCol(label)])
 
@@ -59,7 +59,7 @@ def fit(df: DataFrame, features: Sequence[str], estimator: Any, label: str, impu
     """Fit on the rows with a label (and, without imputing, with all features)."""
     checkpoint_dir(df.sparkSession)
     rows = df.where(F.col(label).isNotNull()) if impute else quality.complete_cases(df, [*features, label])
-    return pipeline(features, estimator, label, impute).fit(_numeric(rows.select(*features, label), [*features, label]))
+    return _stages(features, estimator, label, impute).fit(_numeric(rows.select(*features, label), [*features, label]))
 
 
 def score(model: PipelineModel, df: DataFrame, output: str, fill: bool = False) -> DataFrame:
@@ -329,7 +329,7 @@ def tune(
 ) -> tuple[dict[str, Any], DataFrame]:
     """Random search with cross-validation; best parameters and one row per trial.
 
-    Classes are judged by area under ROC, numbers by RMSE (smaller is better).
+    Classes are judged by accuracy, numbers by mean squared error (smaller is better).
     """
     draws = draw_trials(space, trials)
     maps = [{estimator.getParam(n): v for n, v in draw.items()} for draw in draws]
@@ -337,7 +337,9 @@ def tune(
     ready = _numeric(rows, [*features, label])
     vectors = VectorAssembler(inputCols=list(features), outputCol="__features").transform(ready).select("__features", label)
     judge = (
-        BinaryClassificationEvaluator(labelCol=label) if classification else RegressionEvaluator(labelCol=label, metricName="rmse")
+        MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
+        if classification
+        else RegressionEvaluator(labelCol=label, metricName="mse")
     )
     search = CrossValidator(
         estimator=estimator.setFeaturesCol("__features").setLabelCol(label),

@@ -23,10 +23,12 @@ def symbol_master(
     profile: DataFrame,
     exchanges: Sequence[str] | None = ("NASDAQ", "NYSE"),
     kind: str | None = None,
+    keep: str = "first",
 ) -> DataFrame:
     """B1: listed before delisted, one row per symbol, completed from the profile.
 
-    ``kind`` keeps one instrument type (for example ``stock``) when given.
+    ``keep="last"`` lets the delisted row win.  ``kind`` keeps one instrument
+    type (for example ``stock``) when given.
     """
     both = (
         listed.withColumn("__src", F.lit(0))
@@ -34,7 +36,7 @@ def symbol_master(
     )
     if kind is not None:
         both = both.where(F.col("type").isNull() | (F.col("type") == kind))
-    order = [("__src", True)]
+    order = [("__src", keep == "first")]
     symbols = first_per_key(both, ["symbol"], order).drop("__src")
     extra = first_per_key(profile, ["symbol", "exchangeShortName"], []).withColumnRenamed("ipoDate", "__ipo")
     out = symbols.join(extra, ["symbol", "exchangeShortName"], "left")

@@ -31,7 +31,7 @@ def variant_columns(predictions: Sequence[str]) -> list[str]:
     return [*predictions, *[f"{p}_{r}" for p in predictions for r in rules], "ai_pred_avg"]
 
 
-def evaluate_pipeline(
+def evaluate_models(
     df: DataFrame,
     probabilities: Sequence[str],
     predictions: Sequence[str],

@@ -136,3 +136,13 @@ def test_validation_of_wrong_types(spark):
     assert checks == {"required", "date_type"}
     report = quality.validation_report(quality.validate_table(df, "price")).head()
     assert report.status == "failed" and report.n_passed == 0
+
+
+def test_symbol_master_variants(spark):
+    listed = spark.createDataFrame([("a", "NYSE", "stock"), ("b", "NYSE", "etf")], "symbol string, exchangeShortName string, type string")
+    gone = spark.createDataFrame([("a", "NYSE", None, "2020-01-01")], "symbol string, exchangeShortName string, ipoDate string, delistedDate string")
+    profile = spark.createDataFrame([("a", "NYSE", "1999-01-01", "Steel")], "symbol string, exchangeShortName string, ipoDate string, industry string")
+    first = {r.symbol: r.delistedDate for r in views.symbol_master(listed, gone, profile).collect()}
+    last = {r.symbol: str(r.delistedDate) for r in views.symbol_master(listed, gone, profile, kind="stock", keep="last").collect()}
+    assert first == {"a": None, "b": None}
+    assert last == {"a": "2020-01-01"}
