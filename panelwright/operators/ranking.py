@@ -35,8 +35,22 @@ class Plan:
     base_dir: str = "0"
 
 
-def _top_value_ranks(counts: DataFrame, group: Sequence[str], value: str, k: int) -> DataFrame:
+def _leading_rows(rows: DataFrame, group: Sequence[str], value: str, k: int) -> DataFrame:
+    """Rows whose best-tie rank can be <= k: those not below the group's k-th largest value.
+
+    The k-th row is found with a per-task cut before the shuffle, so the rest of
+    the rows is filtered where it lies.  Nulls rank last.
+    """
+    kth = top_per_group(rows.select(*group, value), group, [(value, False)], k, "__rn").where(F.col("__rn") == k)
+    edge = kth.select(*group, F.col(value).alias("__kth"), F.lit(True).alias("__full"))
+    near = join_stats(rows, edge, group, "left")
+    keep = F.col("__full").isNull() | F.col("__kth").isNull() | (F.col(value) >= F.col("__kth"))
+    return near.where(keep).drop("__kth", "__full")
+
+
+def _top_value_ranks(leading: DataFrame, group: Sequence[str], value: str, k: int) -> DataFrame:
     """Best-rank of the leading values: at most k distinct values can have rank <= k."""
+    counts = leading.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
     top = top_per_group(counts, group, [(value, False)], k, "__rn")
     before = Window.partitionBy(*group).orderBy("__rn").rowsBetween(Window.unboundedPreceding, -1)
     rank = F.coalesce(F.sum("__c").over(before), F.lit(0)) + 1
@@ -65,8 +79,8 @@ def plan_score(
         out = join_stats(join_stats(df, ranks, [*group, key], "left"), known, group)
         out = out.withColumn("__rank", F.coalesce("__rank", F.col("__known") + 1)).drop("__known")
     else:
-        counts = df.groupBy(*group, key).agg(F.count(F.lit(1)).alias("__c"))
-        out = join_stats(df, _top_value_ranks(counts, group, key, k), [*group, key], "left")
+        leading = _leading_rows(df.select(*group, key), group, key, k)
+        out = join_stats(df, _top_value_ranks(leading, group, key, k), [*group, key], "left")
     score = F.when(F.col("__rank") <= k, F.lit(float(base_score)) - (F.col("__rank") - 1) * diff).otherwise(0.0)
     return out.withColumn(f"{key}_score", score).withColumnRenamed("__rank", f"{key}_rank")
 
@@ -111,10 +125,10 @@ def total_score(
     long = df.select(*group, *ids, *[F.col(c).cast("double").alias(c) for c in keys]).unpivot(
         [*group, *ids], keys, "__key", "__value"
     )
-    counts = long.groupBy(*group, "__key", "__value").agg(F.count(F.lit(1)).alias("__c"))
-    ranks = _top_value_ranks(counts, [*group, "__key"], "__value", k)
+    leading = _leading_rows(long, [*group, "__key"], "__value", k)
+    ranks = _top_value_ranks(leading, [*group, "__key"], "__value", k)
     points = F.lit(float(base_score)) - (F.col("__rank") - 1) * diffs[F.col("__key")]
-    scored = join_stats(long, ranks.withColumn("__points", points), [*group, "__key", "__value"])
+    scored = join_stats(leading, ranks.withColumn("__points", points), [*group, "__key", "__value"])
     sums = scored.groupBy(*group, *ids).agg(F.sum("__points").alias("score"))
     out = join_stats(df.drop("score"), sums, [*group, *ids], "left")
     return out.withColumn("score", F.coalesce("score", F.lit(0.0)))
