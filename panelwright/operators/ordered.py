@@ -179,51 +179,103 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> Data
     return join_stats(df, stats, keys)
 
 
+# A group above this size is narrowed by a quantile sketch before it is sorted.
+LARGE_GROUP = 200_000
+# Relative rank error of the sketch is 1/accuracy; brackets are this many errors wide on each side.
+SKETCH_ACCURACY = 10_000
+BRACKET_ERRORS = 5
+
+
+def _brackets(values: DataFrame, group: Sequence[str], fractions: Sequence[float]) -> DataFrame:
+    """Per group its size and, when large, the value bounds around each fraction; staged, as sketches vary with merge order."""
+    width = BRACKET_ERRORS / SKETCH_ACCURACY
+    low = [max(p - width, 0.0) for p in fractions]
+    high = [min(p + width, 1.0) for p in fractions]
+    sketch = values.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.percentile_approx("__v", low + high, SKETCH_ACCURACY).alias("__q"),
+    )
+    large = F.col("__n") >= LARGE_GROUP
+    bounds = []
+    for j, (a, b) in enumerate(zip(low, high, strict=True)):
+        # An open side stands for the end of the group.
+        bounds += [
+            F.when(large & F.lit(a > 0), F.col("__q")[j]).alias(f"__lo{j}"),
+            F.when(large & F.lit(b < 1), F.col("__q")[len(low) + j]).alias(f"__hi{j}"),
+        ]
+    return stage(sketch.select(*group, "__n", large.alias("__large"), *bounds))
+
+
 def order_statistics(
-    df: DataFrame, group: Sequence[str], value: str, targets: Mapping[str, Column]
+    df: DataFrame, group: Sequence[str], value: str, targets: Mapping[str, Column], fractions: Sequence[float]
 ) -> DataFrame:
     """The values at given 0-based ascending positions of each group, and its size ``__n``.
 
     A target is an expression of ``__n``; a position outside the group gives
-    null.  Nulls are left out.  Only the ranges that hold a target are looked
-    into, so beyond the range sort itself little data moves.
+    null.  Nulls are left out.  ``fractions`` says where in a group the targets
+    lie.  A large group is first narrowed to the values around them by a
+    quantile sketch, whose counts below keep positions exact, so a fraction of
+    a percent of it is sorted; a bracket that missed its target fails the job.
+    Of the sorted ranges only those that hold a target are looked into.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"))
+    values = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("__v"))
+    fractions = sorted(set(fractions))
+    info = _brackets(values, group, fractions)
+    v = F.col("__v")
+    above = [F.col(f"__lo{j}").isNull() | (v >= F.col(f"__lo{j}")) for j in range(len(fractions))]
+    below = [F.col(f"__hi{j}").isNull() | (v <= F.col(f"__hi{j}")) for j in range(len(fractions))]
+    inside = ~F.col("__large")
+    for a, b in zip(above, below, strict=True):
+        inside = inside | (a & b)
+    # One pass: values inside a bracket are counted each, all others fall into one row per group.
+    placed = join_stats(values, info, group).select("*", inside.alias("__in"))
+    counts = placed.groupBy(*group, F.when(F.col("__in"), v).alias("__v")).agg(
+        F.count(F.lit(1)).alias("__c"),
+        *[F.count_if(~F.col("__in") & ~a).alias(f"__o{j}") for j, a in enumerate(above)],
     )
-    sliced = range_slices(counts, group, [("__v", True)])
+    ranges = range_slices(counts, group, [("__v", True)])
+    skips = [f"__o{j}" for j in range(len(fractions))]
+    left_out = ranges.where(F.col("__v").isNull()).select(*group, *skips)
+    if not group:
+        left_out = left_out.agg(*[F.max(c).alias(c) for c in skips])
+    known = join_stats(info, left_out, group, "left").na.fill(0, skips)
+    sliced = ranges.where(F.col("__v").isNotNull()).drop(*skips)
     by_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
     upto = by_group.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     # One row per range and group.
-    carry = (
-        sliced.groupBy(*group, _SLICE)
-        .agg(F.sum("__c").alias("__rows"))
-        .select(
-            *group,
-            _SLICE,
-            F.coalesce(F.sum("__rows").over(upto), F.lit(0)).alias("__base"),
-            "__rows",
-            F.sum("__rows").over(by_group).alias("__n"),
-        )
+    carry = sliced.groupBy(*group, _SLICE).agg(F.sum("__c").alias("__rows")).select(
+        *group, _SLICE, F.coalesce(F.sum("__rows").over(upto), F.lit(0)).alias("__base"), "__rows"
     )
-    inside = F.lit(False)
+    carry = join_stats(carry, known, group)
+    needed = F.col("__large")
     for at in targets.values():
-        inside = inside | ((at >= F.col("__base")) & (at < F.col("__base") + F.col("__rows")))
-    hit = _join_carry(sliced, carry.where(inside).drop("__rows"), group)
+        needed = needed | ((at >= F.col("__base")) & (at < F.col("__base") + F.col("__rows")))
+    hit = _join_carry(sliced, carry.where(needed).drop("__rows"), group)
     local = (
         Window.partitionBy(_SLICE, *group)
         .orderBy(_SEQ)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    end = F.col("__base") + F.sum("__c").over(local)
-    placed = hit.withColumn("__end", end)
+    # Rows left out below a value: those below the last bracket that starts at or under it.
+    skipped = F.lit(0)
+    for j in range(len(fractions)):
+        skipped = F.when(above[j], F.col(f"__o{j}")).otherwise(skipped)
+    end = F.col("__base") + F.sum("__c").over(local) + F.when(F.col("__large"), skipped).otherwise(0)
+    located = hit.withColumn("__end", end)
     picks = [
-        F.max(F.when((at >= F.col("__end") - F.col("__c")) & (at < F.col("__end")), F.col("__v"))).alias(name)
+        F.max(F.when((at >= F.col("__end") - F.col("__c")) & (at < F.col("__end")), v)).alias(name)
         for name, at in targets.items()
     ]
-    return placed.groupBy(*group, "__n").agg(*picks)
+    found = located.groupBy(*group, "__n").agg(*picks)
+    missed = F.raise_error(F.lit("a quantile bracket missed its target"))
+    return found.select(
+        *group,
+        "__n",
+        *[
+            F.when(F.col(name).isNull() & (at >= 0) & (at < F.col("__n")), missed).otherwise(F.col(name)).alias(name)
+            for name, at in targets.items()
+        ],
+    )
 
 
 def exact_percentiles(
@@ -237,7 +289,7 @@ def exact_percentiles(
     at = {name: F.lit(float(p)) * (F.col("__n") - 1) for name, p in probs.items()}
     targets = {f"__lo_{name}": F.floor(a) for name, a in at.items()}
     targets |= {f"__hi_{name}": F.ceil(a) for name, a in at.items()}
-    found = order_statistics(df, group, value, targets)
+    found = order_statistics(df, group, value, targets, list(probs.values()))
     out = []
     for name, a in at.items():
         lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")

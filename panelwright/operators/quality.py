@@ -46,7 +46,8 @@ def liquid_top_fraction(
     group = list(group)
     have = df.where(F.col(value).isNotNull())
     # The smallest kept value is an order statistic: one row per group instead of a rank per row.
-    cut = order_statistics(have, group, value, {"__cut": F.col("__n") - F.floor(F.col("__n") * fraction)}).drop("__n")
+    at = {"__cut": F.col("__n") - F.floor(F.col("__n") * fraction)}
+    cut = order_statistics(have, group, value, at, [1 - fraction]).drop("__n")
     return join_stats(have, cut, group).where(F.col(value) >= F.col("__cut")).drop("__cut")
 
 

@@ -78,6 +78,20 @@ def test_exact_percentiles(frame, skewed):
     assert np.allclose(got[["a", "b", "c"]], want)
 
 
+@pytest.mark.parametrize("errors", [2, 5])
+def test_sketch_brackets_keep_large_groups_exact(frame, skewed, monkeypatch, errors):
+    monkeypatch.setattr(ordered, "LARGE_GROUP", 100)
+    monkeypatch.setattr(ordered, "SKETCH_ACCURACY", 200)
+    monkeypatch.setattr(ordered, "BRACKET_ERRORS", errors)
+    probs = {"z": 0.0, "a": 0.25, "b": 0.27, "c": 0.92, "d": 1.0}
+    got = ordered.exact_percentiles(frame, ["g"], "v", probs).toPandas().set_index("g").sort_index()
+    want = skewed.dropna().groupby("g")["v"].quantile(list(probs.values())).unstack()
+    assert np.allclose(got[list(probs)], want)
+    whole = ordered.exact_percentiles(frame.withColumn("v", F.col("v") * 1000 + F.col("id") / 7), [], "v", probs).head()
+    flat = (skewed.v * 1000 + skewed.id / 7).dropna().quantile(list(probs.values()))
+    assert np.allclose(list(whole), flat)
+
+
 def test_first_per_key_orders_and_nulls(spark):
     df = spark.createDataFrame(
         [(1, 5, "x"), (1, None, "y"), (1, 7, "z"), (2, None, "q"), (None, 1, "n")], "k int, o int, v string"
