@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelwright.catalog.asof_queries import CAL_SQL, calendar
 from panelwright.catalog.registry import query
 from panelwright.operators import asof, features
+from panelwright.session import stage
 
 RETURN_SQL = f"""(SELECT symbol, as_of, date AS trade_date, close, volume,
       close - lag(close) OVER w AS price_diff, (close - lag(close) OVER w) / lag(close) OVER w AS price_dev
@@ -333,7 +334,7 @@ def _scaled_sql(c: str) -> str:
     f"SELECT symbol, date, {_scaled_sql('revenue')}, {_scaled_sql('netDebt')}, 0 AS flat FROM fx_filing",
 )
 def _(t):
-    return features.robust_scale(t.filing.withColumn("flat", F.lit(7.0)), ["revenue", "netDebt", "flat"], ["date"])
+    return features.robust_scale(stage(t.filing.withColumn("flat", F.lit(7.0))), ["revenue", "netDebt", "flat"], ["date"])
 
 
 @query(

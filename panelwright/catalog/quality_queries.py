@@ -9,6 +9,7 @@ from panelwright.catalog.registry import query
 from panelwright.catalog.view_queries import STATEMENT_SQL, statement
 from panelwright.functions import names
 from panelwright.operators import quality
+from panelwright.session import stage
 
 _STATEMENT_COLUMNS = ("symbol", "date", "fillingDate", "calendarYear", "period", "revenue", "cost", "netDebt", "freeCashFlow")
 _AMOUNTS = ("revenue", "cost", "netDebt", "freeCashFlow")
@@ -42,7 +43,8 @@ def _(t):
        QUALIFY rank() OVER (PARTITION BY date ORDER BY volume DESC) <= floor(count(*) OVER (PARTITION BY date) * 0.10)""",
 )
 def _(t):
-    return quality.liquid_top_fraction(t.price, "volume", 0.10, ["date"])
+    # The price view is derived from line items; it is computed once for the operator's passes.
+    return quality.liquid_top_fraction(stage(t.price), "volume", 0.10, ["date"])
 
 
 def _per_column(select: str, columns, source: str) -> str:

@@ -191,11 +191,13 @@ def _brackets(values: DataFrame, group: Sequence[str], fractions: Sequence[float
     width = BRACKET_ERRORS / SKETCH_ACCURACY
     low = [max(p - width, 0.0) for p in fractions]
     high = [min(p + width, 1.0) for p in fractions]
-    sketch = values.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", low + high, SKETCH_ACCURACY).alias("__q"),
-    )
+    sizes = values.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
     large = F.col("__n") >= LARGE_GROUP
+    # Without a large group the adaptive planner drops the second pass over the values.
+    big = sizes.where(large).select(*group, large.alias("__big"))
+    sketched = join_stats(values, big, group).where("__big")
+    quantiles = sketched.groupBy(*group).agg(F.percentile_approx("__v", low + high, SKETCH_ACCURACY).alias("__q"))
+    sketch = join_stats(sizes, quantiles, group, "left")
     bounds = []
     for j, (a, b) in enumerate(zip(low, high, strict=True)):
         # An open side stands for the end of the group.
