@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import decontaminate, lines, mixing, quality, simhash
+from panelwright.llm import archive, chat, decontaminate, language, lines, mixing, pii, quality, secret_scan, simhash
 from panelwright.llm.common import table
 
 # The production mix: domains by source, weights by domain and language; unnamed sources have weight 1.
@@ -24,10 +24,15 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": lambda spark, sf_dir: secret_scan.result(_docs(spark, sf_dir)),
     "op2_mixing": lambda spark, sf_dir: mixing.mixed(_docs(spark, sf_dir), MIX, ["doc_id", "lang", "source"]),
     "op3_decontaminate": lambda spark, sf_dir: decontaminate.contaminated(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark")),
+    "op4_language": lambda spark, sf_dir: language.result(_docs(spark, sf_dir)),
     "op5_quality": lambda spark, sf_dir: quality.verdicts(_docs(spark, sf_dir)),
     "op6_line_dedup": lambda spark, sf_dir: lines.report(_docs(spark, sf_dir)),
+    "op7_archive": lambda spark, sf_dir: archive.result(table(spark, sf_dir, "pages")),
+    "op8_chat": lambda spark, sf_dir: chat.result(table(spark, sf_dir, "conversations")),
+    "op9_pii": lambda spark, sf_dir: pii.result(_docs(spark, sf_dir)),
     "op10_simhash": lambda spark, sf_dir: simhash.result(_docs(spark, sf_dir)),
 }
 
@@ -35,4 +40,6 @@ ORACLE: dict[str, str] = {
     "op2_mixing": mixing.oracle_sql(MIX),
     "op5_quality": quality.ORACLE_SQL,
     "op6_line_dedup": lines.ORACLE_SQL,
+    "op7_archive": archive.ORACLE_SQL,
+    "op8_chat": chat.oracle_sql(),
 }
