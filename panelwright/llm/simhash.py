@@ -38,7 +38,7 @@ SEED = 42
 RADIUS = 4
 BANDS = ((0, 22), (22, 43), (43, 64))
 BAND_RADIUS = RADIUS // len(BANDS)
-# The trees are fitted on at most SAMPLE of the fingerprints with the smallest hashes, one in SAMPLE_ONE_IN.
+# The trees are fitted on a sample by hash: one fingerprint in SAMPLE_ONE_IN, or about SAMPLE of them if that is fewer; never more than twice SAMPLE.
 SAMPLE = 16_384
 SAMPLE_ONE_IN = 8
 # Splitting goes on while a leaf would hold more rows than this, as far as the sample tells.
@@ -162,9 +162,8 @@ def components_within(x: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray,
 def links(unique: DataFrame) -> DataFrame:
     """Links ``(u, v)``, ``u > v``, between distinct fingerprints ``fp`` that span each shard's components."""
     n = unique.count()
-    sample = (
-        unique.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLE_ONE_IN)) == 0).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()
-    )
+    one_in = max(SAMPLE_ONE_IN, n // SAMPLE)
+    sample = unique.where(F.pmod(F.xxhash64("fp"), F.lit(one_in)) == 0).orderBy(F.xxhash64("fp"), "fp").limit(2 * SAMPLE).select("fp").collect()
     drawn = np.array([r[0] for r in sample], np.int64).view(np.uint64)
     trees = []
     for band in BANDS:
