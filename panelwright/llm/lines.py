@@ -135,7 +135,8 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES, lost: DataFrame |
         lost, _ = deletions(docs, min_lines)
     per_doc = written(_per_doc(lost), "line-deletions")
     keyed = docs.withColumns(dict(zip(("__d", "__t"), doc_key(docs), strict=True)))
-    joined = keyed.join(per_doc, ["__d", "__t"], "left")
+    # The deletions grow with the documents: one plan at every size, in which hot keys can be split.
+    joined = keyed.join(per_doc.hint("merge"), ["__d", "__t"], "left")
     new = {"text": F.transform(F.array(F.struct("text", F.col("__gone").alias("gone"))), lambda x: _without(x["text"], x["gone"]))[0]}
     out = joined.withColumns(new)
     if "n_chars" in docs.columns:
@@ -152,7 +153,7 @@ def report(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """
     lost, _ = deletions(docs, min_lines)
     per_doc = written(_per_doc(lost), "line-deletions")
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *doc_key(docs)).join(per_doc, ["__d", "__t"], "left")
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *doc_key(docs)).join(per_doc.hint("merge"), ["__d", "__t"], "left")
     full = F.size(F.filter(F.split("text", "\n", -1), lambda line: line.rlike(WORD_CHAR)))
     left = F.transform(F.array(F.struct("text", F.col("__gone").alias("gone"))), lambda x: _without(x["text"], x["gone"]))[0]
     return keyed.select(
