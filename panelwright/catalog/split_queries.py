@@ -72,12 +72,24 @@ def _(t):
     return _summary(splits.rolling_folds(orders(t), n // 4, n // 30, None, ["date", "id"]), "fold")
 
 
-def _windows_sql(anchored: bool) -> str:
-    back = "DATE '1995-01-01'" if anchored else "DATE '1995-01-01' + to_months(CAST(3 * i AS INTEGER))"
-    at = "DATE '1995-01-01' + to_months(CAST(24 + 3 * i AS INTEGER))"
+def _windows_sql(anchored: bool, start: str = "DATE '1995-01-01'", end: str = "DATE '2001-08-15'") -> str:
+    back = start if anchored else f"{start} + to_months(CAST(3 * i AS INTEGER))"
+    at = f"{start} + to_months(CAST(24 + 3 * i AS INTEGER))"
     return f"""(SELECT i + 1 AS "window", CAST({back} AS DATE) AS train_start, CAST({at} AS DATE) AS train_end,
         CAST({at} AS DATE) AS test_start, CAST({at} + INTERVAL 6 MONTH AS DATE) AS test_end
-      FROM range(0, 100) r(i) WHERE {at} + INTERVAL 6 MONTH <= DATE '2001-08-15')"""
+      FROM range(0, 400) r(i) WHERE {at} + INTERVAL 6 MONTH <= {end})"""
+
+
+def order_windows(t, anchored=False):
+    """Windows over the span of the orders."""
+    day = F.col("o_orderdate").cast("date")
+    start, end = t.raw("orders").agg(F.min(day), F.max(day)).first()
+    return splits.walk_forward_windows(t.spark, start, end, 24, 6, 3, anchored)
+
+
+def _order_windows_sql(anchored: bool) -> str:
+    start, end = [f"(SELECT CAST({f}(o_orderdate) AS DATE) FROM orders)" for f in ("min", "max")]
+    return _windows_sql(anchored, start, end)
 
 
 def windows(t, anchored=False):
@@ -87,14 +99,14 @@ def windows(t, anchored=False):
 _WINDOW = "window:i train_start:d train_end:d test_start:d test_end:d"
 
 
-@query("h4_walk_forward_windows", _WINDOW, f"SELECT * FROM {_windows_sql(False)}")
+@query("h4_walk_forward_windows", _WINDOW, f"SELECT * FROM {_order_windows_sql(False)}")
 def _(t):
-    return windows(t)
+    return order_windows(t)
 
 
-@query("h4_walk_forward_windows_anchored", _WINDOW, f"SELECT * FROM {_windows_sql(True)}")
+@query("h4_walk_forward_windows_anchored", _WINDOW, f"SELECT * FROM {_order_windows_sql(True)}")
 def _(t):
-    return windows(t, True)
+    return order_windows(t, True)
 
 
 @query(

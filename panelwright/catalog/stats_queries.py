@@ -41,6 +41,32 @@ def _(t):
     return stats.correlated_columns(sample(t), _COLUMNS)
 
 
+# A wide frame with gaps of its own in every column, and a near copy of every fifth.
+_WIDE = tuple(f"w{k}" for k in range(28))
+_WIDE_EXPR = {
+    f"w{k}": f"CASE WHEN id % {k + 3} <> 0 THEN p{k % 3} * {k % 5 + 1} + pred0 * {k // 5} + amount / {1000 * (k + 1)} END" for k in range(28)
+}
+_WIDE_SQL = f"(SELECT {', '.join(f'{e} AS {c}' for c, e in _WIDE_EXPR.items())} FROM {SAMPLE_SQL})"
+
+
+def wide(t):
+    return sample(t).select(*[F.expr(e).alias(c) for c, e in _WIDE_EXPR.items()])
+
+
+@query("i1_correlations_wide", "left:s right:s corr:f", _pairs_sql(_WIDE, _WIDE_SQL))
+def _(t):
+    return stats.correlations(wide(t), _WIDE)
+
+
+@query(
+    "i1_prune_correlated_wide",
+    "column:s because_of:s",
+    f'SELECT "right" AS "column", arg_min("left", i) AS because_of FROM ({_pairs_sql(_WIDE, _WIDE_SQL)}) WHERE abs(corr) > 0.95 GROUP BY "right"',
+)
+def _(t):
+    return stats.correlated_columns(wide(t), _WIDE)
+
+
 _MI = ("p0", "p1", "p2", "pred0")
 
 
@@ -105,6 +131,20 @@ def _(t):
     return stats.rank_by_f_test(sample(t), _MI, "near", 3, continuous=True)
 
 
+@query(
+    "i3_rank_by_f_test_gaps",
+    "feature:s score:g",
+    "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, corr({c}, w0) ** 2 / (1 - corr({c}, w0) ** 2) * (count(*) FILTER ({c} IS NOT NULL AND w0 IS NOT NULL) - 2) AS score FROM {_WIDE_SQL}"
+        for c in _WIDE[1:9]
+    )
+    + ") ORDER BY score DESC LIMIT 5",
+)
+def _(t):
+    return stats.rank_by_f_test(wide(t), _WIDE[1:9], "w0", 5, continuous=True)
+
+
 _CLASS_SQL = """SELECT {by} avg(((p0 > 0.5) = (ret > 0))::INT) AS accuracy,
       coalesce(count(*) FILTER (p0 > 0.5 AND ret > 0) / nullif(count(*) FILTER (p0 > 0.5), 0), 0) AS precision,
       coalesce(count(*) FILTER (p0 > 0.5 AND ret > 0) / nullif(count(*) FILTER (ret > 0), 0), 0) AS recall,

@@ -181,44 +181,6 @@ class SectorModels:
     features: dict[str, list[str]] = field(default_factory=dict)
 
 
-# Per sector the features, forest size, depth and selection method.
-DEFAULT_SECTOR_FEATURES = {
-    "Information Technology": (
-        ("revenue", "netIncome", "researchAndDevelopmentExpenses", "operatingCashFlow", "freeCashFlow",
-         "OverMC_researchAndDevelopmentExpenses", "OverMC_revenue", "OverMC_netIncome", "priceToBookRatio", "priceToSalesRatio"),
-        100, 6, "tree_importance",
-    ),
-    "Financials": (
-        ("totalAssets", "totalLiabilities", "totalEquity", "netIncome", "operatingIncome", "debtToEquity",
-         "returnOnEquity", "returnOnAssets", "priceToBookRatio", "dividendYield"),
-        100, 5, "mutual_info",
-    ),
-    "Healthcare": (
-        ("revenue", "grossProfit", "netIncome", "researchAndDevelopmentExpenses", "operatingCashFlow", "freeCashFlow",
-         "OverMC_researchAndDevelopmentExpenses", "grossProfitRatio", "operatingIncomeRatio", "priceToSalesRatio"),
-        100, 6, "tree_importance",
-    ),
-    "Consumer Discretionary": (
-        ("revenue", "grossProfit", "netIncome", "inventoryTurnover", "operatingCashFlow", "freeCashFlow",
-         "OverMC_revenue", "OverMC_netIncome", "returnOnEquity", "priceToEarningsRatio"),
-        100, 5, "mutual_info",
-    ),
-    "Industrials": (
-        ("revenue", "grossProfit", "operatingIncome", "totalAssets", "propertyPlantEquipmentNet", "operatingCashFlow",
-         "capitalExpenditure", "OverMC_revenue", "assetTurnover", "returnOnAssets"),
-        100, 5, "tree_importance",
-    ),
-}
-
-
-def default_sector_configs() -> dict[str, SectorConfig]:
-    """The default sectors under the names of the sector map, on boosted classifiers."""
-    return {
-        s: SectorConfig(f, GBTClassifier(maxIter=n, maxDepth=d, seed=SEED), how)
-        for s, (f, n, d, how) in DEFAULT_SECTOR_FEATURES.items()
-    }
-
-
 def train_per_sector(df: DataFrame, configs: Mapping[str, SectorConfig], label: str, sector: str = "sector", ids: Sequence[str] = ("id",)) -> SectorModels:
     """One fit per configured sector on its own features; sectors without complete rows are skipped."""
     out = SectorModels()

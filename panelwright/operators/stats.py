@@ -7,10 +7,10 @@ import sys
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,38 +19,45 @@ from panelwright.operators.ordered import join_stats, positions, running_sums
 
 LOWER_IS_BETTER = ("rmse", "mae", "loss")
 METRIC_PREFERENCE = ("accuracy", "f1", "rmse")
-# Beyond this many columns the pairwise aggregates give way to one matrix aggregate.
-WIDE_FRAME = 20
+# Sums of one pair of columns over the rows where both are present.
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 # Fixed value: the 95th percentile of chi-square with one degree of freedom.
 CHI2_1_95 = 3.841458820694124
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair ``(left, right, corr)``, one pass over the data.
+    """Pearson correlation of every column pair ``(i, j, left, right, corr)`` over the rows where both are present.
 
-    Wide frames use one matrix aggregate over the rows without a missing value.
+    Each task adds up the pair sums of its rows, centred on the column means,
+    as matrix products; the tasks' sums are added by pair.  One path for any width.
+    A pair with fewer than two common rows or a constant side has no correlation.
     """
     columns = list(columns)
-    if len(columns) > WIDE_FRAME:
-        vectors = VectorAssembler(inputCols=columns, outputCol="__v", handleInvalid="skip").transform(df)
-        matrix = Correlation.corr(vectors, "__v").head()[0].toArray()
-        rows = [(i, j, columns[i], columns[j], float(matrix[i][j])) for i, j in combinations(range(len(columns)), 2)]
-        return df.sparkSession.createDataFrame(rows, "i int, j int, left string, right string, corr double")
-    pairs = list(combinations(range(len(columns)), 2))
-    wide = df.agg(*[F.corr(columns[i], columns[j]).alias(f"c{k}") for k, (i, j) in enumerate(pairs)])
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                F.lit(columns[i]).alias("left"),
-                F.lit(columns[j]).alias("right"),
-                F.col(f"c{k}").alias("corr"),
-            )
-            for k, (i, j) in enumerate(pairs)
-        ]
-    )
-    return wide.select(F.inline(rows))
+    k = len(columns)
+    numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(columns)])
+    means = [m or 0.0 for m in numbers.agg(*[F.avg(f"c{i}") for i in range(k)]).first()] if k else []
+
+    def pair_sums(batches):
+        left, right = np.triu_indices(k, 1)
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), float) for c in batch.columns])
+            there = ~np.isnan(x)
+            z, m = np.where(there, x - np.asarray(means), 0.0), there.astype(float)
+            zm, z2m = z.T @ m, (z * z).T @ m
+            total += np.stack([m.T @ m, zm, zm.T, z2m, z2m.T, z.T @ z])
+        arrays = [pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), *[pa.array(t[left, right]) for t in total]]
+        yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", *_SUMS])
+
+    parts = numbers.mapInArrow(pair_sums, "i int, j int, " + ", ".join(f"{c} double" for c in _SUMS))
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    n, sx, sy, sxx, syy, sxy = [F.col(c) for c in _SUMS]
+    spread = F.greatest(n * sxx - sx * sx, F.lit(0.0)) * F.greatest(n * syy - sy * sy, F.lit(0.0))
+    names = F.array(*[F.lit(c) for c in columns]) if columns else F.array().cast("array<string>")
+    return sums.select(
+        "i", "j", F.get(names, F.col("i")).alias("left"), F.get(names, F.col("j")).alias("right"),
+        F.try_divide(n * sxy - sx * sy, F.sqrt(spread)).alias("corr"),
+    )
 
 
 def correlated_columns(df: DataFrame, columns: Sequence[str], limit: float = 0.95) -> DataFrame:
@@ -105,8 +112,10 @@ def rank_by_f_test(df: DataFrame, columns: Sequence[str], target: str, k: int, c
     """ANOVA F for classes, regression F (from r squared) for numbers, best k."""
     columns = list(columns)
     if continuous:
-        wide = df.agg(F.count(F.lit(1)).alias("n"), *[F.corr(c, target).alias(c) for c in columns])
-        long = wide.unpivot(["n"], columns, "feature", "r")
+        # Each feature counts the rows that its own correlation is taken over.
+        both = lambda c: F.count_if(F.col(c).isNotNull() & F.col(target).isNotNull())
+        wide = df.agg(*[F.struct(F.corr(c, target).alias("r"), both(c).alias("n")).alias(c) for c in columns])
+        long = wide.unpivot([], columns, "feature", "s").select("feature", "s.*")
         r2 = F.col("r") * F.col("r")
         scores = long.select("feature", (F.try_divide(r2, 1 - r2) * (F.col("n") - 2)).alias("score"))
     else:

@@ -1,6 +1,7 @@
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.sql import functions as F
@@ -73,12 +74,20 @@ def test_ks_against_brute_force(spark):
     assert same.ks_statistic == 0 and same.p_value == 1 and not same.drifted
 
 
-def test_wide_correlations_agree(spark, monkeypatch):
-    df = spark.range(50).select(F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("c"))
-    pairs = {(r.left, r.right): r["corr"] for r in stats.correlations(df, ["a", "b", "c"]).collect()}
-    monkeypatch.setattr(stats, "WIDE_FRAME", 1)
-    for r in stats.correlations(df, ["a", "b", "c"]).collect():
-        assert r["corr"] == pytest.approx(pairs[(r.left, r.right)])
+@pytest.mark.parametrize("width", [3, 30])
+def test_correlations_with_gaps_are_pairwise_at_any_width(spark, width):
+    rng = np.random.default_rng(3)
+    x = rng.normal(1e6, 1.0, (400, width)) + rng.normal(size=(400, 1))
+    gone = rng.random((400, width)) < 0.1
+    gone[np.arange(400), np.arange(400) % width] = True  # every row has a gap
+    names = [f"c{i}" for i in range(width)]
+    frame = pd.DataFrame(np.where(gone, np.nan, x), columns=names)
+    df = spark.createDataFrame(frame)
+    want = frame.corr()
+    rows = stats.correlations(df, names).collect()
+    assert len(rows) == width * (width - 1) // 2
+    for r in rows:
+        assert r["corr"] == pytest.approx(want.loc[r.left, r.right], abs=1e-9)
 
 
 def test_retrain_directions(spark):
