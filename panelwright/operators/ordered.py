@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.session import stage
+from panelwright.session import stage, stage_table
 
 # monotonically_increasing_id keeps the partition id above bit 33.
 _ROW_BITS = 33
@@ -179,33 +179,43 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> Data
     return join_stats(df, stats, keys)
 
 
-# A group above this size is narrowed by a quantile sketch before it is sorted.
-LARGE_GROUP = 200_000
 # Relative rank error of the sketch is 1/accuracy; brackets are this many errors wide on each side.
 SKETCH_ACCURACY = 10_000
 BRACKET_ERRORS = 5
 
 
-def _brackets(values: DataFrame, group: Sequence[str], fractions: Sequence[float]) -> DataFrame:
-    """Per group its size and, when large, the value bounds around each fraction; staged, as sketches vary with merge order."""
+def _brackets(values: DataFrame, group: Sequence[str], targets: Sequence[Column], fractions: Sequence[float]) -> DataFrame:
+    """Per group its size, the value bounds around each fraction, and whether they had to be opened.
+
+    The rows below and up to the bounds are counted.  A group with a target
+    outside all of its brackets has them opened, so all its values are sorted:
+    small groups, whose positions lie between two ranks of the sketch, and any
+    group in which the sketch was off.  Staged, as sketches vary with merge order.
+    """
     width = BRACKET_ERRORS / SKETCH_ACCURACY
     low = [max(p - width, 0.0) for p in fractions]
     high = [min(p + width, 1.0) for p in fractions]
-    sizes = values.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    large = F.col("__n") >= LARGE_GROUP
-    # Without a large group the adaptive planner drops the second pass over the values.
-    big = sizes.where(large).select(*group, large.alias("__big"))
-    sketched = join_stats(values, big, group).where("__big")
-    quantiles = sketched.groupBy(*group).agg(F.percentile_approx("__v", low + high, SKETCH_ACCURACY).alias("__q"))
-    sketch = join_stats(sizes, quantiles, group, "left")
-    bounds = []
+    quantiles = F.percentile_approx("__v", low + high, SKETCH_ACCURACY)
+    sketch = values.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), quantiles.alias("__q"))
+    names, bounds = [], []
     for j, (a, b) in enumerate(zip(low, high, strict=True)):
         # An open side stands for the end of the group.
-        bounds += [
-            F.when(large & F.lit(a > 0), F.col("__q")[j]).alias(f"__lo{j}"),
-            F.when(large & F.lit(b < 1), F.col("__q")[len(low) + j]).alias(f"__hi{j}"),
-        ]
-    return stage(sketch.select(*group, "__n", large.alias("__large"), *bounds))
+        names += [f"__lo{j}", f"__hi{j}"]
+        bounds += [F.when(F.lit(a > 0), F.col("__q")[j]), F.when(F.lit(b < 1), F.col("__q")[len(low) + j])]
+    drawn = stage_table(sketch.select(*group, "__n", *[c.alias(n) for n, c in zip(names, bounds, strict=True)]), "brackets")
+    v = F.col("__v")
+    counts = join_stats(values, drawn, group).groupBy(*group).agg(
+        *[F.count_if(v < F.col(f"__lo{j}")).alias(f"__under{j}") for j in range(len(low))],
+        *[F.count_if(F.col(f"__hi{j}").isNull() | (v <= F.col(f"__hi{j}"))).alias(f"__upto{j}") for j in range(len(low))],
+    )
+    missed = F.lit(False)
+    for at in targets:
+        held = F.lit(False)
+        for j in range(len(low)):
+            held = held | ((at >= F.col(f"__under{j}")) & (at < F.col(f"__upto{j}")))
+        missed = missed | ((at >= 0) & (at < F.col("__n")) & ~held)
+    checked = join_stats(drawn, counts, group).withColumn("__open", missed)
+    return stage_table(checked.select(*group, "__n", "__open", *[F.when(~F.col("__open"), F.col(n)).alias(n) for n in names]), "brackets")
 
 
 def order_statistics(
@@ -215,18 +225,18 @@ def order_statistics(
 
     A target is an expression of ``__n``; a position outside the group gives
     null.  Nulls are left out.  ``fractions`` says where in a group the targets
-    lie.  A large group is first narrowed to the values around them by a
-    quantile sketch, whose counts below keep positions exact, so a fraction of
-    a percent of it is sorted; a bracket that missed its target fails the job.
-    Of the sorted ranges only those that hold a target are looked into.
+    lie.  Groups of every size are first narrowed to the values around them by
+    a quantile sketch, whose counts below keep positions exact, so a fraction of
+    a percent of a large group is sorted; where a bracket misses a target, the
+    whole group is.  Of its sorted ranges only those that hold a target are looked into.
     """
     values = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("__v"))
     fractions = sorted(set(fractions))
-    info = _brackets(values, group, fractions)
+    info = _brackets(values, group, list(targets.values()), fractions)
     v = F.col("__v")
     above = [F.col(f"__lo{j}").isNull() | (v >= F.col(f"__lo{j}")) for j in range(len(fractions))]
     below = [F.col(f"__hi{j}").isNull() | (v <= F.col(f"__hi{j}")) for j in range(len(fractions))]
-    inside = ~F.col("__large")
+    inside = F.lit(False)
     for a, b in zip(above, below, strict=True):
         inside = inside | (a & b)
     # One pass: values inside a bracket are counted each, all others fall into one row per group.
@@ -249,7 +259,7 @@ def order_statistics(
         *group, _SLICE, F.coalesce(F.sum("__rows").over(upto), F.lit(0)).alias("__base"), "__rows"
     )
     carry = join_stats(carry, known, group)
-    needed = F.col("__large")
+    needed = ~F.col("__open")
     for at in targets.values():
         needed = needed | ((at >= F.col("__base")) & (at < F.col("__base") + F.col("__rows")))
     hit = _join_carry(sliced, carry.where(needed).drop("__rows"), group)
@@ -262,22 +272,14 @@ def order_statistics(
     skipped = F.lit(0)
     for j in range(len(fractions)):
         skipped = F.when(above[j], F.col(f"__o{j}")).otherwise(skipped)
-    end = F.col("__base") + F.sum("__c").over(local) + F.when(F.col("__large"), skipped).otherwise(0)
+    end = F.col("__base") + F.sum("__c").over(local) + skipped
     located = hit.withColumn("__end", end)
     picks = [
         F.max(F.when((at >= F.col("__end") - F.col("__c")) & (at < F.col("__end")), v)).alias(name)
         for name, at in targets.items()
     ]
-    found = located.groupBy(*group, "__n").agg(*picks)
-    missed = F.raise_error(F.lit("a quantile bracket missed its target"))
-    return found.select(
-        *group,
-        "__n",
-        *[
-            F.when(F.col(name).isNull() & (at >= 0) & (at < F.col("__n")), missed).otherwise(F.col(name)).alias(name)
-            for name, at in targets.items()
-        ],
-    )
+    # One row per group: callers join it to the rows by its real size.
+    return stage_table(located.groupBy(*group, "__n").agg(*picks), "order-statistics")
 
 
 def exact_percentiles(

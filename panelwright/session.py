@@ -59,3 +59,15 @@ def stage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_table(df: DataFrame, label: str) -> DataFrame:
+    """Write a small table once as Parquet to the shared folder and read it back.
+
+    Unlike a checkpoint it comes with its real size, so the planner broadcasts
+    it from the start instead of shuffling the large side of a join first.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

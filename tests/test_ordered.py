@@ -78,10 +78,10 @@ def test_exact_percentiles(frame, skewed):
     assert np.allclose(got[["a", "b", "c"]], want)
 
 
-@pytest.mark.parametrize("errors", [2, 5])
-def test_sketch_brackets_keep_large_groups_exact(frame, skewed, monkeypatch, errors):
-    monkeypatch.setattr(ordered, "LARGE_GROUP", 100)
-    monkeypatch.setattr(ordered, "SKETCH_ACCURACY", 200)
+# Brackets of no width miss most targets: their groups are opened.
+@pytest.mark.parametrize("accuracy, errors", [(200, 2), (200, 5), (20, 0), (10_000, 0)])
+def test_sketch_brackets_keep_positions_exact(frame, skewed, monkeypatch, accuracy, errors):
+    monkeypatch.setattr(ordered, "SKETCH_ACCURACY", accuracy)
     monkeypatch.setattr(ordered, "BRACKET_ERRORS", errors)
     probs = {"z": 0.0, "a": 0.25, "b": 0.27, "c": 0.92, "d": 1.0}
     got = ordered.exact_percentiles(frame, ["g"], "v", probs).toPandas().set_index("g").sort_index()
@@ -92,6 +92,23 @@ def test_sketch_brackets_keep_large_groups_exact(frame, skewed, monkeypatch, err
     assert np.allclose(list(whole), flat)
 
 
+def test_missed_brackets_are_opened(frame, monkeypatch):
+    values = frame.where("v is not null").select("g", F.col("v").alias("__v"))
+    middle = [F.floor(0.5 * (F.col("__n") - 1)), F.ceil(0.5 * (F.col("__n") - 1))]
+    assert not ordered._brackets(values, [], middle, [0.5]).head()["__open"]
+    wrong = ordered._brackets(values, [], middle, [0.01]).head()
+    assert wrong["__open"] and wrong["__lo0"] is None and wrong["__hi0"] is None
+
+
+def test_percentiles_of_one_group_of_many_rows(spark, duck):
+    lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").select("l_extendedprice")
+    probs = {"a": 0.001, "b": 0.25, "c": 0.5, "d": 0.8, "e": 0.999}
+    got = ordered.exact_percentiles(lines, [], "l_extendedprice", probs).head()
+    sql = ", ".join(f"quantile_cont(l_extendedprice::DOUBLE, {p})" for p in probs.values())
+    want = duck.execute(f"SELECT {sql} FROM '/root/testdata/sf0.1/lineitem.parquet'").fetchone()
+    assert np.allclose([float(x) for x in got], want)
+
+
 def test_first_per_key_orders_and_nulls(spark):
     df = spark.createDataFrame(
         [(1, 5, "x"), (1, None, "y"), (1, 7, "z"), (2, None, "q"), (None, 1, "n")], "k int, o int, v string"
