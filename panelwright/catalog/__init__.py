@@ -5,6 +5,7 @@ from panelwright.catalog import (  # noqa: F401
     portfolio_queries,
     ranking_queries,
     feature_queries,
+    model_check_queries,
     model_queries,
     quality_queries,
     source_queries,

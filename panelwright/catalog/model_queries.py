@@ -34,12 +34,12 @@ def _parts(t):
 
 @query("i4_rfe", "feature:s rank:i")
 def _(t):
-    return jobs.rfe(_parts(t)[0], _FEATURES, "up", 2, trees=5)
+    return jobs.rfe(learnable(t), _FEATURES, "up", 2, trees=5)
 
 
 @query("i5_rank_by_tree", "feature:s importance:f")
 def _(t):
-    return jobs.rank_by_tree(_parts(t)[0], _FEATURES, "up", 3, trees=10)
+    return jobs.rank_by_tree(learnable(t), _FEATURES, "up", 3, trees=10)
 
 
 def _classifiers(t):
@@ -128,7 +128,7 @@ def _(t):
 @query("j6_tune", "trial:i params:s score:f is_best:i")
 def _(t):
     space = {"maxDepth": (2, 4), "subsamplingRate": (0.6, 1.0), "numTrees": (3, 6)}
-    return jobs.tune(_parts(t)[0], _FEATURES, "up", RandomForestClassifier(seed=jobs.SEED), space, trials=3, folds=2)[1]
+    return jobs.tune(learnable(t), _FEATURES, "up", RandomForestClassifier(seed=jobs.SEED), space, trials=3, folds=2)[1]
 
 
 @query("j7_cross_validate", "metric:s mean:f std:f")
@@ -139,7 +139,7 @@ def _(t):
 
 @query("j8_feature_importance", "feature:s importance:f")
 def _(t):
-    model = jobs.fit(_parts(t)[0], _FEATURES, GBTClassifier(maxIter=3, maxDepth=3, seed=jobs.SEED), "up")
+    model = jobs.fit(learnable(t), _FEATURES, GBTClassifier(maxIter=3, maxDepth=3, seed=jobs.SEED), "up")
     return jobs.feature_importance(model, t.spark, 3)
 
 

@@ -304,7 +304,7 @@ def tune(
         else RegressionEvaluator(labelCol=label, metricName="mse")
     )
     search = CrossValidator(
-        estimator=estimator.setFeaturesCol("__features").setLabelCol(label),
+        estimator=estimator.copy().setFeaturesCol("__features").setLabelCol(label),
         estimatorParamMaps=maps,
         evaluator=judge,
         numFolds=folds,
