@@ -10,10 +10,11 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
 from panelwright.catalog.model_queries import _SPLIT, learnable
+from panelwright.catalog.ranking_queries import EVAL_COLUMNS, EVALUATED, PREDICTED_SQL, VARIANTS, topk_sql
 from panelwright.catalog.registry import query
 from panelwright.models import jobs
-from panelwright.operators import splits
-from panelwright.plans import validation
+from panelwright.operators import ranking, splits
+from panelwright.plans import evaluation, training, validation
 from panelwright.session import scratch_path
 
 # The labels of ``learnable`` with features of two values, a copy of the label and constants.
@@ -216,3 +217,43 @@ def _(t):
     return validation.robust_walk_forward(
         rows_of(t), ["likely"], "up", _tree(), Date(1995, 1, 1), Date(2001, 7, 1), 24, 6, 18, anchored=True, selection=None, monitor=False
     ).results
+
+
+# Sparse and constant features are pruned, and one tree of each kind on the rest is left for SQL to state.
+_PANEL = ["likely %", "flat0", "gappy"]
+_SCORED_SQL = f"""(SELECT r.* EXCLUDE (p0, p1, p2, p3, pred0, pred1), a.p AS p0, b.p AS p1, a.p AS p2, b.p AS p3, a.m AS pred0, b.m AS pred1 FROM {_ROWS} r
+    JOIN (SELECT likely, avg(up) AS p, avg(ret) AS m FROM {_ROWS} WHERE cohort < {_SPLIT} GROUP BY likely) a USING (likely),
+    (SELECT avg(up) AS p, avg(ret) AS m FROM {_ROWS} WHERE cohort < {_SPLIT}) b)"""
+_TESTED_SQL = f"(SELECT * FROM {_SCORED_SQL} WHERE cohort >= {_SPLIT})"
+_NEWEST_SQL = f"""(SELECT *, id % 997 AS symbol FROM {_SCORED_SQL} QUALIFY row_number() OVER (PARTITION BY id % 997 ORDER BY cohort DESC, id DESC) = 1)"""
+
+
+def _over(rows: str) -> str:
+    return PREDICTED_SQL.replace("FROM fx_prediction", f"FROM {rows}")
+
+
+def _trained(t):
+    df = rows_of(t).withColumnRenamed("likely", "likely %").withColumn("gappy", F.when(F.col("id") % 10 == 0, F.col("p2")))
+    df = df.drop("p0", "p1", "p2", "p3", "pred0", "pred1")
+    models = [_tree(1), _tree(0)] * 2, [_cells(1), _cells(0)]
+    return training.train_models(df.where(F.col("cohort") < _SPLIT), _PANEL, "up", "ret", *models), df
+
+
+@query("j11_trained_evaluation", f"cohort:i {EVAL_COLUMNS}", topk_sql("cohort", ranking.TOP_SLICES, EVALUATED, _over(_TESTED_SQL)))
+def _(t):
+    models, df = _trained(t)
+    test = models.scored(df.where(F.col("cohort") >= _SPLIT))
+    return evaluation.evaluate_models(test, models.probabilities, models.predictions, "ret", "ret")[2]
+
+
+@query(
+    "j12_trained_latest",
+    "symbol:i id:i ai_pred_avg:f " + " ".join(f"{v}:f" for v in VARIANTS),
+    f"SELECT * FROM {_over(_NEWEST_SQL).replace('OVER (PARTITION BY cohort)', 'OVER ()')} ORDER BY ai_pred_avg DESC, symbol LIMIT 20",
+)
+def _(t):
+    models, df = _trained(t)
+    df = df.withColumn("symbol", F.col("id") % 997)
+    return evaluation.latest_prediction(
+        df, models.probabilities, models.predictions, 20, ["cohort", "id"], ["amount"], score=models.scored
+    )

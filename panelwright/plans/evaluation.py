@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,9 +56,15 @@ def latest_prediction(
     features: Sequence[str],
     by: str = "ai_pred_avg",
     sparse: float = 0.6,
+    score: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Newest row per symbol, sparse rows dropped, all variants, the best k by one of them."""
+    """Newest row per symbol, sparse rows dropped, all variants, the best k by one of them.
+
+    ``score`` adds the probability and prediction columns to the newest rows alone.
+    """
     newest = first_per_key(df, ["symbol"], [(c, False) for c in order])
     kept = quality.drop_sparse_rows(newest, sparse, features)
+    if score is not None:
+        kept = score(kept)
     scored = with_variants(kept.withColumn("__all", F.lit(1)), probabilities, predictions, ["__all"]).drop("__all")
     return scored.orderBy(F.col(by).desc_nulls_last(), "symbol").limit(k)
