@@ -199,15 +199,18 @@ def train_per_sector(df: DataFrame, configs: Mapping[str, SectorConfig], label:
 def predict_per_sector(df: DataFrame, fitted: SectorModels, sector: str = "sector") -> DataFrame:
     """Every row once; ``predicted_score`` is null without a model or with a missing feature.
 
-    All sector models run over one pass of the data, and each row takes its
-    own sector's output.
+    A row meets its own sector's model only; the filter on the sector reaches
+    the scan, so the branches together read each row about once where the data
+    lies by sector.
     """
-    out, own = df, F.lit(None).cast("double")
-    for i, (name, model) in enumerate(fitted.models.items()):
-        out = score(model, out, f"__s{i}", fill=True)
+    none = F.lit(None).cast("double")
+    known = F.coalesce(F.col(sector).isin(*fitted.models), F.lit(False))
+    parts = [df.where(~known).select("*", none.alias("predicted_score"))]
+    for name, model in fitted.models.items():
         missing = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in fitted.features[name]])
-        own = F.when((F.col(sector) == name) & ~missing, F.col(f"__s{i}")).otherwise(own)
-    out = out.select(*df.columns, own.alias("predicted_score"))
+        own = score(model, df.where(F.col(sector) == name), "__score", fill=True)
+        parts.append(own.select(*df.columns, F.when(~missing, F.col("__score")).alias("predicted_score")))
+    out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("predicted_class", (F.col("predicted_score") > 0.5).cast("int"))
 
 

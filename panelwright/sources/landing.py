@@ -21,18 +21,38 @@ def read_landing(
     """A1: all Parquet and CSV files under ``path`` as one table; unreadable files are skipped.
 
     The schema is declared, so no pass is spent on inferring it, and only the
-    wanted columns are read.
+    wanted columns are read.  :func:`skipped_files` says what was skipped.
     """
+    both = _landed(spark, path, schema)
+    return both.select(*columns) if columns else both
+
+
+def _landed(spark: SparkSession, path: str, schema: T.StructType, *extra: str) -> DataFrame:
     reader = lambda glob: (
         spark.read.schema(schema)
         .option("recursiveFileLookup", "true")
         .option("ignoreCorruptFiles", "true")
         .option("pathGlobFilter", glob)
     )
-    parquet = reader("*.parquet").parquet(path)
-    csv = reader("*.csv").option("header", "true").csv(path)
-    both = parquet.unionByName(csv, allowMissingColumns=True)
-    return both.select(*columns) if columns else both
+    parquet = reader("*.parquet").parquet(path).select("*", *extra)
+    csv = reader("*.csv").option("header", "true").csv(path).select("*", *extra)
+    return parquet.unionByName(csv)
+
+
+def skipped_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A1: ``(path, bytes)`` of the files under ``path`` that give no row: unreadable, or empty.
+
+    A listing without contents against the files rows came from; one row per file is shuffled.
+    """
+    listed = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.{parquet,csv}")
+        .load(path)
+        .select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"))
+    )
+    read = _landed(spark, path, schema, "_metadata.file_path").select(F.col("file_path").alias("path")).distinct()
+    return listed.join(read, "path", "left_anti")
 
 
 def _spread(df: DataFrame, column: str) -> DataFrame:

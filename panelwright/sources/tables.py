@@ -162,7 +162,9 @@ def build_missing(
         value = F.url_decode(F.regexp_extract("path", f"/{key}=([^/]+)/", 1))
         have = files.select(value.cast(wanted.schema[key].dataType).alias(key)).distinct()
         missing = wanted.join(have, key, "left_anti")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         missing = wanted
     (
         builder(missing)

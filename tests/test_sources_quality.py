@@ -19,6 +19,12 @@ def test_read_landing_mixes_formats_and_skips_broken_files(spark, tmp_path):
         f.write(b"PAR1 this is no parquet file PAR1")
     got = sorted((r.symbol, r.close) for r in landing.read_landing(spark, root, SCHEMA).collect())
     assert got == [("a", 1.0), ("b", 2.0)]
+    lost = {r.path.removeprefix("file:"): r.bytes for r in landing.skipped_files(spark, root, SCHEMA).collect()}
+    assert lost.pop(f"{root}/broken.parquet") == 33
+    # A writer leaves a file without rows for an empty first task; no file with rows is listed.
+    with_rows = {r[0].removeprefix("file:") for r in spark.read.parquet(f"{root}/p").select("_metadata.file_path").collect()}
+    with_rows |= {r[0].removeprefix("file:") for r in spark.read.option("header", "true").csv(f"{root}/c").select("_metadata.file_path").collect()}
+    assert len(with_rows) == 2 and not with_rows & set(lost)
 
 
 def test_incremental_ingest_takes_only_new_files(spark, tmp_path):
