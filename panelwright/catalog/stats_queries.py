@@ -245,16 +245,18 @@ _KS_SQL = "(SELECT *, CASE WHEN cohort < 7992 THEN p1 ELSE p1 + 0.05 END AS shif
 
 @query(
     "i9_ks_drift",
-    "feature:s n_ref:i n_new:i ks_statistic:f drifted:i",
-    " UNION ALL ".join(
-        f"""SELECT '{c}' AS feature, nr AS n_ref, nn AS n_new, max(d) AS ks_statistic,
-              max(d) * sqrt(nr * nn / (nr + nn)) > 1.3581015157406195 AS drifted FROM (
+    "feature:s n_ref:i n_new:i ks_statistic:f p_value:f drifted:i",
+    """SELECT feature, n_ref, n_new, ks_statistic, lam > 1.3581015157406195 AS drifted, CASE WHEN lam < 0.2 THEN 1 ELSE least(1, greatest(0,
+         list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * lam * lam))))) END AS p_value FROM ("""
+    + " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, nr AS n_ref, nn AS n_new, max(d) AS ks_statistic, max(d) * sqrt(nr * nn / (nr + nn)) AS lam FROM (
             SELECT *, abs(sum(r) OVER w / nr - sum(s) OVER w / nn) AS d FROM (
               SELECT {c} AS v, sum((cohort < 7992)::INT) AS r, sum((cohort >= 7992)::INT) AS s FROM {_KS_SQL} GROUP BY 1),
               (SELECT count(*) FILTER (cohort < 7992) AS nr, count(*) FILTER (cohort >= 7992) AS nn FROM {_KS_SQL})
             WINDOW w AS (ORDER BY v)) GROUP BY nr, nn"""
         for c in _KS
-    ),
+    )
+    + ")",
 )
 def _(t):
     df = t.prediction.withColumn("shifted", F.when(F.col("cohort") < 7992, F.col("p1")).otherwise(F.col("p1") + 0.05))
