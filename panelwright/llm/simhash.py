@@ -19,22 +19,21 @@ emits one link per member to its component's root, never all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm import neardup
 from panelwright.llm.common import sent_by_value, written
 
 sent_by_value(__name__)
 
+# Words of a shingle and bits of a link of op10; the pipeline stage has its own rule (neardup).
 SHINGLE = 4
-SEED = 42
 RADIUS = 4
 BANDS = ((0, 22), (22, 43), (43, 64))
 BAND_RADIUS = RADIUS // len(BANDS)
@@ -49,17 +48,10 @@ BRUTE = 256
 
 def fingerprint(text: str | None) -> int:
     """Fingerprint of one text as an unsigned integer; null and empty give zero."""
-    # bytes.lower and bytes.split know exactly A-Z and the six separators.
-    ws = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not ws:
+    hashes = neardup.shingle_hashes(text, SHINGLE)
+    n = len(hashes)
+    if not n:
         return 0
-    joined = b" ".join(ws)
-    width = min(SHINGLE, len(ws))
-    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = len(ws) - width + 1
-    spans = map(slice, starts[:n].tolist(), ends[width - 1 :].tolist())
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, spans), repeat(SEED)), np.uint64, n)
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 4096):
         part = hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -221,8 +213,8 @@ def stars(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def clusters(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` of each row.
+def fingerprint_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, fp, component_id)`` of each row, and ``(fp, component_id, root)`` of each fingerprint.
 
     Null and empty texts have fingerprint zero and are linked like any other.
     A null ``doc_id`` never names a component unless all ids in it are null.
@@ -231,13 +223,32 @@ def clusters(docs: DataFrame) -> DataFrame:
     rows = written(fingerprints(docs), "fingerprints")
     # Exact copies meet here: a group of any size becomes one row per task before the shuffle.
     unique = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints-unique")
-    star = stars(links(unique))
+    named = _named(unique, links(unique))
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id"), named
+
+
+def clusters(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id`` of each row."""
+    return fingerprint_groups(docs)[0]
+
+
+def _named(unique: DataFrame, edges: DataFrame) -> DataFrame:
+    """``fp``, ``component_id`` and ``root`` of each distinct ``fp``."""
+    star = stars(edges)
     rooted = unique.join(star.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = written(rooted.join(smallest, "root").select("fp", "component_id"), "fingerprints-named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return written(rooted.join(smallest, "root").select("fp", "component_id", "root"), "fingerprints-named")
+
+
+def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, fp, component_id)`` of each row by the rule of :mod:`neardup`, and ``(fp, component_id, root)`` of each shingle set."""
+    rows = written(neardup.set_keys(docs), "near-rows")
+    unique = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("t").alias("t"), F.min("size").alias("size"), F.min("bands").alias("bands"))
+    unique = written(unique, "near-unique")
+    named = _named(unique.select("fp", "first_id"), neardup.links(docs, unique))
+    return rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id"), named
 
 
 def result(docs: DataFrame) -> DataFrame:
@@ -245,15 +256,16 @@ def result(docs: DataFrame) -> DataFrame:
     return clusters(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
-    """The document with the smallest id of each group, with all columns of ``docs``.
+def one_per_group(docs: DataFrame, groups: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = fingerprint_groups) -> DataFrame:
+    """The document with the smallest id of each group, with all columns of ``docs``; ``groups`` is the rule of op10 or :func:`near_copies`.
 
     Rows that repeat a ``doc_id`` count as one document; the row with the
     smallest text stays.  Rows without an id stay only where no row of their
     group has one, one row per group.  Texts are not shuffled by group:
     removed ids are few and anti-joined.
     """
-    found = written(clusters(docs), "near-duplicates")
+    found, _ = groups(docs)
+    found = written(found, "near-duplicates")
     ids = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.col("doc_id") != F.col("component_id")).alias("gone")
     )

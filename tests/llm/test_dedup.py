@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from panelwright.llm import lines, simhash
+from panelwright.llm import lines, neardup, simhash
 
 SPACES = "[ \t\n\x0b\f\r]+"
 
@@ -66,6 +66,44 @@ def test_rows_without_ids_keep_one(spark):
     assert simhash.one_per_group(docs).count() == 2
 
 
+def plain_jaccard(a, b):
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def edited_copies(rng, n):
+    """Texts of 60 to 400 words and, of each, a copy with one to eight words replaced."""
+    vocabulary = [f"w{i}" for i in range(3_000)]
+    texts = []
+    for _ in range(n):
+        own = [rng.choice(vocabulary) for _ in range(rng.randint(60, 400))]
+        copy = list(own)
+        for i in rng.sample(range(len(own)), rng.randint(1, 8)):
+            copy[i] = "changed"
+        texts += [" ".join(own), " ".join(copy)]
+    return texts
+
+
+def test_near_copies_match_brute_force(spark):
+    """Pairs at five-word Jaccard 0.8 and more are found, most of which differ in more than four bits; others stay."""
+    texts = edited_copies(random.Random(5), 150)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.one_per_group(docs, simhash.near_copies).collect()}
+    want = {i for i in range(0, 300, 2)} | {i for i in range(1, 300, 2) if plain_jaccard(texts[i - 1], texts[i]) < 0.8}
+    assert kept == want
+    far = [i for i in range(1, 300, 2) if i not in want and (simhash.fingerprint(texts[i - 1]) ^ simhash.fingerprint(texts[i])).bit_count() > 4]
+    assert len(far) >= 10
+
+
+def test_near_links_inside_a_key_are_not_lost(spark, monkeypatch):
+    """One key holds everything: only members that the smallest set does not confirm meet the others."""
+    monkeypatch.setattr(neardup, "band_keys", lambda shingles: [7] if len(shingles) else [])
+    texts = edited_copies(random.Random(6), 12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i for i in range(24) if i % 2 == 0 or plain_jaccard(texts[i - 1], texts[i]) < 0.8}
+    assert {r.doc_id for r in simhash.one_per_group(docs, simhash.near_copies).collect()} == want
+
+
 def test_forest_loses_no_link(spark, monkeypatch):
     """Chains, a dense cluster and random points, with trees that split down to small leaves."""
     monkeypatch.setattr(simhash, "LEAF_ROWS", 40)
