@@ -213,8 +213,16 @@ def stars(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def fingerprint_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, fp, component_id)`` of each row, and ``(fp, component_id, root)`` of each fingerprint.
+def _fingerprint_names(texts: pd.Series) -> pd.Series:
+    return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+
+
+def _set_names(texts: pd.Series) -> pd.Series:
+    return pd.Series(np.array([neardup.set_key(neardup.shingle_set(t)) for t in texts], np.int64))
+
+
+def fingerprint_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, Callable]:
+    """``(doc_id, fp, component_id)`` of each row, and ``(fp, component_id, root)`` of each fingerprint, and what names texts.
 
     Null and empty texts have fingerprint zero and are linked like any other.
     A null ``doc_id`` never names a component unless all ids in it are null.
@@ -224,7 +232,7 @@ def fingerprint_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Exact copies meet here: a group of any size becomes one row per task before the shuffle.
     unique = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints-unique")
     named = _named(unique, links(unique))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id"), named
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id"), named, _fingerprint_names
 
 
 def clusters(docs: DataFrame) -> DataFrame:
@@ -242,13 +250,13 @@ def _named(unique: DataFrame, edges: DataFrame) -> DataFrame:
     return written(rooted.join(smallest, "root").select("fp", "component_id", "root"), "fingerprints-named")
 
 
-def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, fp, component_id)`` of each row by the rule of :mod:`neardup`, and ``(fp, component_id, root)`` of each shingle set."""
+def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, Callable]:
+    """``(doc_id, fp, component_id)`` of each row by the rule of :mod:`neardup`, and ``(fp, component_id, root)`` of each shingle set, and what names texts."""
     rows = written(neardup.set_keys(docs), "near-rows")
     unique = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("t").alias("t"), F.min("size").alias("size"), F.min("bands").alias("bands"))
     unique = written(unique, "near-unique")
     named = _named(unique.select("fp", "first_id"), neardup.links(docs, unique))
-    return rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id"), named
+    return rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id"), named, _set_names
 
 
 def result(docs: DataFrame) -> DataFrame:
@@ -256,7 +264,7 @@ def result(docs: DataFrame) -> DataFrame:
     return clusters(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_per_group(docs: DataFrame, groups: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = fingerprint_groups) -> DataFrame:
+def one_per_group(docs: DataFrame, groups: Callable[[DataFrame], tuple[DataFrame, DataFrame, Callable]] = fingerprint_groups) -> DataFrame:
     """The document with the smallest id of each group, with all columns of ``docs``; ``groups`` is the rule of op10 or :func:`near_copies`.
 
     Rows that repeat a ``doc_id`` count as one document; the row with the
@@ -264,23 +272,21 @@ def one_per_group(docs: DataFrame, groups: Callable[[DataFrame], tuple[DataFrame
     group has one, one row per group.  Texts are not shuffled by group:
     removed ids are few and anti-joined.
     """
-    found, _ = groups(docs)
+    found, named_groups, name = groups(docs)
     found = written(found, "near-duplicates")
     ids = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.col("doc_id") != F.col("component_id")).alias("gone")
     )
     lost = written(ids.where(F.col("gone")).select("doc_id"), "near-duplicates-lost")
     repeated = written(ids.where(~F.col("gone") & (F.col("n") > 1)).select("doc_id"), "near-duplicates-repeated")
-    nameless = found.where(F.col("component_id").isNull()).limit(1).count()
     named = docs.where(F.col("doc_id").isNotNull()).join(lost, "doc_id", "left_anti")
     single = named.join(repeated, "doc_id", "left_anti").select(*docs.columns)
     rest = [named.join(repeated, "doc_id", "left_semi").select(*docs.columns)]
     rest[0] = _first_rows(rest[0], ["doc_id"])
-    if nameless:
-        # Groups in which no row has an id: the fingerprint of a row names it again.
-        bare = docs.where(F.col("doc_id").isNull())
-        keyed = bare.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-        rest.append(_first_rows(keyed, ["__key"]).drop("__key"))
+    # Groups in which no row has an id: rows without an id are named again and follow their group's root.
+    bare = docs.where(F.col("doc_id").isNull()).withColumn("__fp", F.pandas_udf(name, "long")(F.col("text").cast("string")))
+    roots = named_groups.where(F.col("component_id").isNull()).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
+    rest.append(_first_rows(bare.join(roots, "__fp").drop("__fp"), ["__root"]).drop("__root"))
     out = single
     for part in rest:
         out = out.unionByName(part)

@@ -66,6 +66,19 @@ def test_rows_without_ids_keep_one(spark):
     assert simhash.one_per_group(docs).count() == 2
 
 
+@pytest.mark.parametrize("groups", [simhash.fingerprint_groups, simhash.near_copies])
+def test_rows_without_ids_follow_their_group(spark, groups):
+    """Near copies without ids stay once, and not at all beside a named row, whatever other rows there are."""
+    rng = random.Random(9)
+    long = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(600)) for _ in range(3)]
+    near = [t + " end" for t in long]
+    assert all((simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() <= 4 for a, b in zip(long, near, strict=True))
+    rows = [(1, long[0]), (None, near[0]), (None, long[0]), (None, long[1]), (None, near[1]), (None, long[2]), (7, near[2]), (None, "one unrelated row")]
+    kept = simhash.one_per_group(spark.createDataFrame(rows, "doc_id long, text string"), groups).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "7", "None", "None"]
+    assert {r.text for r in kept if r.doc_id is None} == {"one unrelated row", min(long[1], near[1])}
+
+
 def plain_jaccard(a, b):
     sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
