@@ -9,10 +9,18 @@ along their diagonal, and a match counts when enough windows agree and the slots
 are consistent: one value of the item always meets the same value of the document.
 So a question asked anew with other numbers or names is found, and a text that
 merely shares a frame is not.
+
+Beside the templates, windows of the literal case-folded words are matched, so
+capitals and punctuation do not hide a copy.  Windows whose slots hold the item's own
+values count whatever the others say; consistency is asked of reworded ones.
+A few literal windows do not count when the reworded ones around them contradict
+each other; ``MIN_LITERAL_COPY`` of them, or all of the item's, do.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +39,8 @@ MIN_LITERAL = 4
 # A hit has at least half the windows of the item, or this many in a row of template tokens.
 MIN_SHARE = 0.5
 MIN_MATCHED = 6
+# So many identical windows (20 words in a row) are a copy, also where other windows contradict each other.
+MIN_LITERAL_COPY = 13
 # Bits of the presence map of template windows: a fixed size, whatever the size of the benchmark.
 MAP_BITS = 24
 # Units that may follow a number.
@@ -46,6 +56,39 @@ _IS_DIGIT = np.array([48 <= c <= 57 for c in range(256)])
 _IS_UPPER = np.array([65 <= c <= 90 for c in range(256)])
 _ENDS = np.array([chr(c) in ".!?\n|:" for c in range(256)])
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_WORD = re.compile(r"[^\W_]+")
+# Keeps literal windows apart from template windows.
+_LITERAL_SALT = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _rolled(hashes: np.ndarray, width: int, start: np.uint64) -> np.ndarray:
+    """Hash of each window of ``width`` hashes."""
+    n = len(hashes) - width + 1
+    total = np.full(n, start, np.uint64)
+    for j in range(width):
+        total = (total * _FACTOR) ^ hashes[j : j + n]
+        total ^= total >> np.uint64(29)
+    return total
+
+
+class Literal:
+    """Case-folded words of one text, without regard to capitals and punctuation."""
+
+    def __init__(self, text: str | None):
+        ws = _WORD.findall(unicodedata.normalize("NFC", text or "").casefold())
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in ws), np.uint64, len(ws))
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        n = len(self.hashes) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.arange(n), _rolled(self.hashes, width, np.uint64(width) ^ _LITERAL_SALT)
+
+    def slots(self, start: int, width: int) -> None:
+        return None
+
+    def edge(self, start: int, width: int) -> int:
+        return 0
 
 
 class Template:
@@ -86,10 +129,7 @@ class Template:
         n = len(self.hashes) - width + 1
         if n <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        total = np.full(n, width, np.uint64)
-        for j in range(width):
-            total = (total * _FACTOR) ^ self.hashes[j : j + n]
-            total ^= total >> np.uint64(29)
+        total = _rolled(self.hashes, width, np.uint64(width))
         literal = np.concatenate(([0], np.cumsum(self.kinds == 0)))
         good = np.flatnonzero(literal[width:] - literal[:-width] >= min(MIN_LITERAL, (width + 1) // 2))
         return good, total[good]
@@ -103,43 +143,54 @@ class Template:
             if self.kinds[i]
         ]
 
+    def edge(self, start: int, width: int) -> int:
+        """1 if the first token of a window is a slot, 2 if the last one is, 3 for both."""
+        return int(self.kinds[start] > 0) + 2 * int(self.kinds[start + width - 1] > 0)
 
-_SCHEMA = pa.schema([("w", pa.int64()), ("at", pa.int64()), ("slots", pa.list_(pa.string()))])
 
+_COLUMNS = "w long, at long, slots array<string>, edge int, width int, literal boolean"
+_KINDS = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.bool_())
 
-def _window_rows(n_keys: int, widths: tuple[int, ...] | None, present: np.ndarray | None):
+
+def _window_rows(n_keys: int, widths: dict[bool, list[int]] | None, present: np.ndarray | None):
     """Map batches ``(keys..., text)`` to window rows; an item has windows of its own length if it is shorter than ``WINDOW``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, found, at, slots = [], [], [], []
+            index: list[int] = []
+            out: tuple[list, ...] = tuple([] for _ in _KINDS)
             for i, text in enumerate(batch.column(n_keys)):
-                tpl = Template(text.as_py())
-                for width in widths or (min(WINDOW, max(len(tpl.hashes), 1)),):
-                    starts, hashes = tpl.windows(width)
-                    if present is not None:
-                        place = (hashes & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
-                        hit = (present[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                        starts, hashes = starts[hit], hashes[hit]
-                    index += [i] * len(starts)
-                    found += hashes.view(np.int64).tolist()
-                    at += starts.tolist()
-                    slots += [tpl.slots(s, width) for s in starts.tolist()]
+                for literal, form in ((False, Template), (True, Literal)):
+                    if widths is not None and not widths[literal]:
+                        continue
+                    tokens = form(text.as_py())
+                    for width in widths[literal] if widths is not None else (min(WINDOW, max(len(tokens.hashes), 1)),):
+                        starts, hashes = tokens.windows(width)
+                        if present is not None:
+                            place = (hashes & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+                            hit = (present[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                            starts, hashes = starts[hit], hashes[hit]
+                        at = starts.tolist()
+                        index += [i] * len(at)
+                        values = (hashes.view(np.int64).tolist(), at, [tokens.slots(s, width) for s in at], [tokens.edge(s, width) for s in at])
+                        for column, part in zip(out, (*values, [width] * len(at), [literal] * len(at)), strict=True):
+                            column += part
             if index or present is None:
                 keys = [batch.column(k).take(pa.array(index, pa.int64())) for k in range(n_keys)]
-                rows = [pa.array(found, pa.int64()), pa.array(at, pa.int64()), pa.array(slots, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*keys, *rows], names=[*batch.schema.names[:n_keys], *_SCHEMA.names])
+                rows = [pa.array(column, kind) for column, kind in zip(out, _KINDS, strict=True)]
+                names = [c.split()[0] for c in _COLUMNS.split(", ")]
+                yield pa.RecordBatch.from_arrays([*keys, *rows], names=[*batch.schema.names[:n_keys], *names])
 
     return run
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, item_key, n, width, w, at, slots)``: the template windows of every item; ``n`` of them."""
+    """``(item_id, item_key, w, at, slots, edge, width, literal)``: template and literal windows of every item with two tokens or more."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("item_id", text).alias("item_key"), text.alias("text"))
     keyed = keyed.dropDuplicates(["item_key"])
-    rows = keyed.mapInArrow(_window_rows(2, None, None), "item_id long, item_key long, w long, at long, slots array<string>")
-    return written(rows, "benchmark-windows")
+    rows = keyed.mapInArrow(_window_rows(2, None, None), "item_id long, item_key long, " + _COLUMNS)
+    return written(rows.where(F.col("width") > 1), "benchmark-windows")
 
 
 def _presence(windows: DataFrame) -> np.ndarray:
@@ -162,37 +213,56 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     id and text are one document.
     """
     items = benchmark_windows(benchmark)
-    lengths = items.groupBy("item_key").agg(F.max(F.col("at")).alias("last"), F.count(F.lit(1)).alias("n"))
-    items = items.join(lengths, "item_key")
+    lengths = items.groupBy("item_key", "literal").agg(F.max(F.col("at")).alias("last"), F.count(F.lit(1)).alias("n"))
+    items = items.join(lengths, ["item_key", "literal"])
     present = _presence(items)
-    widths = tuple(range(2, WINDOW + 1)) if _has_short(benchmark) else (WINDOW,)
+    widths: dict[bool, list[int]] = {False: [], True: []}
+    for width, literal in items.select("width", "literal").distinct().collect():
+        widths[literal].append(width)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *doc_key(docs), F.col("text").cast("string").alias("text"))
-    found = keyed.mapInArrow(
-        _window_rows(3, widths, present), "doc_id long, __d long, __t long, w long, at long, slots array<string>"
-    )
+    found = keyed.mapInArrow(_window_rows(3, widths, present), "doc_id long, __d long, __t long, " + _COLUMNS).drop("edge", "width")
     found = written(found.dropDuplicates(["__d", "__t", "w", "at"]), "document-windows")
-    other = items.select("item_id", "item_key", "n", "w", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    joined = found.join(other, "w").where(F.size("slots") == F.size("item_slots"))
-    pairs = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
-    key = ["doc_id", "__d", "__t", "item_id", "item_key", "n"]
-    diagonal = joined.select(*key, (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", pairs.alias("pairs"))
-    gathered = diagonal.groupBy(*key, "diagonal").agg(
-        F.count_distinct("item_at").alias("n_matched"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    other = items.select(
+        "item_id", "item_key", "n", "w", "literal", "last", "edge", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")
     )
-    values = F.transform("pairs", lambda p: p["a"])
-    consistent = F.size(F.array_distinct(values)) == F.size("pairs")
-    enough = (F.col("n_matched") >= MIN_SHARE * F.col("n")) | (F.col("n_matched") >= MIN_MATCHED)
-    reworded = F.exists("pairs", lambda p: p["a"] != p["b"])
-    good = gathered.where(consistent & enough).withColumn("reworded", reworded)
-    best = good.groupBy(*key).agg(F.max_by(F.struct("n_matched", "reworded"), F.struct("n_matched", ~F.col("reworded"))).alias("b"))
-    return best.select("doc_id", "__d", "__t", "item_id", F.col("n").alias("n_windows"), F.col("b.n_matched"), F.col("b.reworded"))
+    joined = found.join(other, ["w", "literal"]).where(F.col("literal") | (F.size("slots") == F.size("item_slots")))
+    # A slot at either end of the item ends there: what the document has beyond it is not the item's.
+    opens = (F.col("item_at") == 0) & (F.col("edge").bitwiseAND(F.lit(1)) > 0)
+    closes = (F.col("item_at") == F.col("last")) & (F.col("edge").bitwiseAND(F.lit(2)) > 0)
 
+    def own(a, b, i):
+        ahead = opens & (i == 0) & F.endswith(b, F.concat(F.lit(" "), a))
+        behind = closes & (i == F.size("slots") - 1) & F.startswith(b, F.concat(a, F.lit(" ")))
+        return F.struct(a.alias("a"), F.when(ahead | behind, a).otherwise(b).alias("b"))
 
-def _has_short(benchmark: DataFrame) -> bool:
-    """Is there an item with fewer words than a window (slots can only make it shorter)?"""
-    size = F.size(F.split(F.trim(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"))
-    slots = F.size(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"(\p{N}|\p{Lu})"), F.lit(0)))
-    return not benchmark.where(size - F.coalesce(slots, F.lit(0)) < WINDOW).isEmpty()
+    zipped = F.transform("item_slots", lambda a, i: own(a, F.get("slots", i), i))
+    pairs = F.coalesce(zipped, F.array().cast("array<struct<a:string,b:string>>"))
+    key = ["doc_id", "__d", "__t", "item_id", "item_key"]
+    diagonal = joined.select(*key, "n", "literal", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", pairs.alias("pairs"))
+    changed = F.exists("pairs", lambda p: p["a"] != p["b"])
+    gathered = diagonal.groupBy(*key, "n", "literal", "diagonal").agg(
+        F.count_distinct("item_at").alias("n_matched"),
+        F.count_distinct(F.when(~changed, F.col("item_at"))).alias("n_same"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(changed, F.col("pairs"))))).alias("pairs"),
+    )
+    consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")
+    enough = (F.col("n_matched") >= MIN_SHARE * F.col("n")) | (F.col("n_matched") >= MIN_MATCHED)
+    copied = (F.col("n_same") == F.col("n")) | (F.col("n_same") >= MIN_LITERAL_COPY)
+    judged = gathered.where(enough).select(
+        *key, "n", "literal", "n_matched", "n_same", consistent.alias("consistent"), copied.alias("copied"), changed.alias("reworded")
+    )
+    # Contradicting windows take away what few literal windows alone would say.
+    counted = F.when(F.col("consistent"), F.col("n_matched")).otherwise(F.col("n_same"))
+    hit = F.struct(
+        (~F.col("reworded") | ~F.col("consistent")).alias("same"), counted.alias("n_matched"), F.col("n").alias("n_windows")
+    )
+    best = judged.groupBy(*key).agg(
+        F.max(F.when(F.col("copied") | (F.col("consistent") & ~F.col("literal")), hit)).alias("sure"),
+        F.max(F.when(F.col("literal"), hit)).alias("likely"),
+        F.bool_or(~F.col("consistent")).alias("contradicted"),
+    )
+    best = best.withColumn("b", F.coalesce("sure", F.when(~F.col("contradicted"), F.col("likely")))).where("b IS NOT NULL")
+    return best.select("doc_id", "__d", "__t", "item_id", "b.n_windows", "b.n_matched", (~F.col("b.same")).alias("reworded"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -69,6 +69,26 @@ def test_reparameterised_questions_are_found(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [12, 13, 14]
 
 
+def test_identical_windows_count_beside_contradicting_ones(spark):
+    """A list number before the item, a name before it, and one edit of a repeated name lose no verbatim copy."""
+    birds = "12 birds sat in the old tree and then 12 more came along to sing with them until night"
+    towns = "Boston is far away but people from Boston like to travel over the hills to see the wide river"
+    long = " ".join(f"{'then Rome ' if i % 4 == 0 else ''}has plain{i} and other{i}" for i in range(12))
+    items = spark.createDataFrame([(1, birds), (2, towns), (3, long)], "item_id long, text string")
+    docs = [(1, "3. " + birds), (2, "we met Tom " + towns), (3, "so " + long.replace("Rome", "Oslo", 1)), (4, "12 birds and 12 more")]
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_case_and_short_items_do_not_hide_copies(spark):
+    short = "Every river flows down to the sea"
+    dashed = "one\u2013two \u201cthree\u201d four\u00a0five six seven"
+    items = spark.createDataFrame([(1, ITEM), (2, short), (3, dashed)], "item_id long, text string")
+    docs = [(1, "Intro " + ITEM.upper()), (2, ITEM.title()), (3, ITEM.lower()), (4, "whble Or onorha " + short + " onorha"), (5, "so " + dashed + " so"), (6, "every river")]
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3)}
+
+
 def test_decontamination_matches_search(documents, spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     texts, wanted = documents.select("doc_id", "text").collect(), items.collect()
