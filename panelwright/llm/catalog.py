@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import archive, chat, decontaminate, language, lines, mixing, pii, quality, secret_scan, simhash
+from panelwright.llm import archive, chat, decontaminate, language, lines, manifest, mixing, pii, quality, repair, secret_scan, simhash, stable_ann
 from panelwright.llm.common import table
 
 # The production mix: domains by source, weights by domain and language; unnamed sources have weight 1.
@@ -34,6 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": lambda spark, sf_dir: chat.result(table(spark, sf_dir, "conversations")),
     "op9_pii": lambda spark, sf_dir: pii.result(_docs(spark, sf_dir)),
     "op10_simhash": lambda spark, sf_dir: simhash.result(_docs(spark, sf_dir)),
+    "op11_repair": lambda spark, sf_dir: repair.result(table(spark, sf_dir, "conversations")),
+    "op12_manifest": lambda spark, sf_dir: manifest.result(_docs(spark, sf_dir)),
+    "op13_neighbours": lambda spark, sf_dir: stable_ann.result(table(spark, sf_dir, "embeddings")),
 }
 
 ORACLE: dict[str, str] = {
@@ -42,4 +45,6 @@ ORACLE: dict[str, str] = {
     "op6_line_dedup": lines.ORACLE_SQL,
     "op7_archive": archive.ORACLE_SQL,
     "op8_chat": chat.oracle_sql(),
+    "op11_repair": repair.ORACLE_SQL,
+    "op12_manifest": manifest.ORACLE_SQL,
 }
