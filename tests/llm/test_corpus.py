@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from panelwright.llm import archive, chat, decontaminate, language, mixing, quality, simhash
+from panelwright.llm import archive, chat, decontaminate, language, mixing, neardup, quality
 from panelwright.llm.catalog import MIX, ORACLE, QUERIES
 
 
@@ -237,9 +237,14 @@ def test_pipeline_matches_its_stages_by_hand(spark, sf_dir, documents):
         assert sorted(out.columns) == sorted(documents.columns)
         after = {r.doc_id: r.text for r in out.collect()}
         if name == "near_dedup":
-            fps = {d: simhash.fingerprint(t) for d, t in docs.items()}
-            assert all(any((fps[d] ^ fps[k]).bit_count() <= 4 for k in fps if k != d) for d in docs.keys() - after.keys())
-            assert not any((fps[a] ^ fps[b]).bit_count() <= 4 for a in after for b in after if a < b)
+            sets = {d: set(neardup.shingle_set(t).tolist()) for d, t in docs.items()}
+
+            def near(a, b, sets=sets):
+                common = len(sets[a] & sets[b])
+                return sets[a] == sets[b] or 18 * common >= 8 * (len(sets[a]) + len(sets[b]))
+
+            assert all(any(near(d, k) for k in sets if k != d) for d in docs.keys() - after.keys())
+            assert not any(near(a, b) for a in after for b in after if a < b)
         if name != "line_dedup":
             assert all(docs[d] == t for d, t in after.items())
         assert after.keys() <= docs.keys()

@@ -108,8 +108,60 @@ def test_near_copies_match_brute_force(spark):
     assert len(far) >= 10
 
 
+def one_frame(n, edits, words=120):
+    """Texts that share a frame, with ``edits`` words of their own each."""
+    rng = random.Random(edits)
+    frame = [f"w{rng.randint(0, 9999)}" for _ in range(words)]
+    texts = []
+    for i in range(n):
+        own = list(frame)
+        for at in rng.sample(range(words), edits):
+            own[at] = f"own{i}at{at}"
+        texts.append(" ".join(own))
+    return texts
+
+
+def plain_groups(texts):
+    sets = [set(neardup.shingle_set(t).tolist()) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 18 * len(sets[i] & sets[j]) >= 8 * (len(sets[i]) + len(sets[j])):
+                parent[root(i)] = root(j)
+    return {root(i) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3, 4])
+def test_families_around_the_threshold(spark, monkeypatch, edits):
+    """Five-word similarities of about 0.84, 0.71, 0.60 and 0.52: no link is lost, and pairs of templated pages stay few."""
+    made = []
+    written = neardup.written
+
+    def counted(df, label):
+        out = written(df, label)
+        if label == "near-pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "written", counted)
+    # Several blocks in a key.
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 5_000)
+    texts = one_frame(240, edits)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.one_per_group(docs, simhash.near_copies).count() == len(plain_groups(texts))
+    # Each shingle that is not crowded pairs a set with fewer than that many others.
+    assert made[0] <= 5 * len(texts)
+
+
 def test_near_links_inside_a_key_are_not_lost(spark, monkeypatch):
-    """One key holds everything: only members that the smallest set does not confirm meet the others."""
+    """One key holds everything: whom the smallest sets do not confirm, the others find."""
     monkeypatch.setattr(neardup, "band_keys", lambda shingles: [7] if len(shingles) else [])
     texts = edited_copies(random.Random(6), 12)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
