@@ -8,11 +8,13 @@ from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, Log
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import functions as F
 
+from panelwright.catalog.feature_queries import _SQL_FEATURES, _SQL_FEATURES_2
 from panelwright.catalog.ranking_queries import EVAL_COLUMNS, EVALUATED, PREDICTED_SQL, VARIANTS, topk_sql
 from panelwright.catalog.registry import query
 from panelwright.catalog.stats_queries import MODELS_SQL, models
+from panelwright.functions.names import keep_feature
 from panelwright.models import jobs
-from panelwright.operators import ranking, splits
+from panelwright.operators import features, ranking, splits
 from panelwright.plans import evaluation, ml_dataset, replay, validation
 from panelwright.session import scratch_path
 
@@ -265,11 +267,14 @@ def panel_filings(t):
     return t.filing.join(cap, "symbol").withColumn("margin", F.col("revenue") / F.col("cost"))
 
 
-def build_dataset(t, horizon="forward"):
+_TIME_COLUMNS = ["revenue", "cost", "netDebt", "freeCashFlow", "margin"]
+
+
+def build_dataset(t, horizon="forward", **options):
+    """All features of all time columns."""
     return ml_dataset.ml_dataset(
         t.symbol, t.price, panel_filings(t), 1998, 2000,
-        ["revenue", "freeCashFlow"], ["margin"], ["revenue", "margin"], ["freeCashFlow"], horizon=horizon,
-        feature_names=["mean", "median", "maximum", "quantile__q_0.8", "autocorrelation__lag_5", "standard_deviation"],
+        ["revenue", "freeCashFlow"], ["margin"], _TIME_COLUMNS, ["freeCashFlow"], horizon=horizon, **options,
     )
 
 
@@ -281,7 +286,7 @@ def _robust(c: str) -> str:
 
 _SCALED = ("margin", "OverMC_revenue", "adaptiveMC_ev", "revenue_ts_mean", "margin_ts_maximum", "revenue_ts_autocorrelation__lag_5")
 
-_FEATURES_SQL = f"""(WITH d AS (SELECT DISTINCT date AS d FROM (SELECT as_of, max(date) AS date FROM
+_FEATURES_BASE = f"""WITH d AS (SELECT DISTINCT date AS d FROM (SELECT as_of, max(date) AS date FROM
         (SELECT CAST(unnest(generate_series(DATE '1995-01-01', least(DATE '2000-12-31', (SELECT max(date) FROM fx_price)), INTERVAL 3 MONTH)) AS DATE) AS as_of)
         JOIN (SELECT DISTINCT date FROM fx_price) ON date BETWEEN as_of - 10 AND as_of GROUP BY as_of)),
     liq AS (SELECT y, symbol FROM (SELECT y, symbol, avg(close * volume) AS m FROM fx_price, (VALUES (1998), (1999), (2000)) v(y)
@@ -290,14 +295,18 @@ _FEATURES_SQL = f"""(WITH d AS (SELECT DISTINCT date AS d FROM (SELECT as_of, ma
     fil AS (SELECT f.*, abs(s_acctbal) * 1e4 + 1 AS marketCap, revenue / cost AS margin, calendarYear * 4 + CAST(period[2] AS INTEGER) AS ordinal,
                    (SELECT min(d) FROM d WHERE d > f.fillingDate) AS rebalance_date FROM fx_filing f JOIN supplier ON s_suppkey = symbol),
     win AS (SELECT *, revenue / marketCap AS OverMC_revenue, marketCap + netDebt AS adaptiveMC_ev, list(revenue) OVER w AS x, list(margin) OVER w AS g,
+                   {", ".join(f"list({k}) OVER w AS w_{k}" for k in _TIME_COLUMNS)},
                    min(fillingDate) OVER w AS first_filed, count(*) OVER w AS n
             FROM fil WINDOW w AS (PARTITION BY symbol ORDER BY ordinal ROWS 11 PRECEDING)),
     feat AS (SELECT *, list_avg(x) AS revenue_ts_mean, list_max(g) AS margin_ts_maximum,
                     list_sum(list_transform(range(1, 8), lambda i: (x[i] - list_avg(x)) * (x[i + 5] - list_avg(x)))) / (7 * list_var_pop(x)) AS revenue_ts_autocorrelation__lag_5
              FROM win WHERE n = 12 AND first_filed >= make_date(calendarYear - 4, 1, 1) AND calendarYear BETWEEN 1998 AND 2000
                AND (calendarYear, symbol) IN (SELECT (y, symbol) FROM liq))
+""".replace("list_var_pop(x)", "list_aggregate(x, 'var_pop')")
+
+_FEATURES_SQL = f"""({_FEATURES_BASE}
     SELECT symbol, calendarYear, period, ordinal, date AS report_date, rebalance_date, s.sector, {", ".join(_robust(c) for c in _SCALED)}
-    FROM feat JOIN (SELECT symbol, sector FROM fx_symbol) s USING (symbol))""".replace("list_var_pop(x)", "list_aggregate(x, 'var_pop')")
+    FROM feat JOIN (SELECT symbol, sector FROM fx_symbol) s USING (symbol))"""
 
 _DATASET_SQL = f"""(SELECT *, price_dev - avg(price_dev) OVER (PARTITION BY ordinal) AS price_dev_subavg,
       price_dev - avg(price_dev) OVER (PARTITION BY ordinal, sector) AS sec_price_dev_subavg
@@ -339,6 +348,51 @@ def _(t):
     return t.spark.read.parquet(path).withColumnsRenamed({"year": "calendarYear", "quarter": "period"})
 
 
+# Scaled by a spread of rounding errors: the deviation over itself.
+_NOISE = {"autocorrelation__lag_0"}
+_LONG_FEATURES = {k: v for k, v in (_SQL_FEATURES | _SQL_FEATURES_2).items() if keep_feature(k) and k not in _NOISE}
+_LONG_FEATURES = {k: v for k, v in _LONG_FEATURES.items() if not k.startswith("fft") or k.endswith("__coeff_0")}
+
+_LONG_SQL = f"""WITH rows_ AS ({_FEATURES_BASE} SELECT * FROM feat),
+    vals AS (SELECT symbol, ordinal, unnest([{", ".join(f"'{k}'" for k in _TIME_COLUMNS)}]) AS kind,
+                    unnest([{", ".join(f"w_{k}" for k in _TIME_COLUMNS)}]) AS x FROM rows_),
+    full_windows AS (SELECT symbol, ordinal, kind, unnest(x) AS v, unnest(range(12)) AS i FROM vals
+                     WHERE list_bool_and(list_transform(x, lambda e: isfinite(e)))),
+    r AS (SELECT *, {", ".join(f"lead(v, {k}) OVER w AS l{k}" for k in (1, 2, 3, 4, 5, 6, 9))},
+            {", ".join(f"lag(v, {k}) OVER w AS b{k}" for k in range(1, 6))},
+            avg(v) OVER p AS m, stddev_pop(v) OVER p AS sd, min(v) OVER p AS mn, max(v) OVER p AS mx, median(v) OVER p AS md,
+            sum(abs(v)) OVER w / sum(abs(v)) OVER p AS mass
+          FROM full_windows WINDOW w AS (PARTITION BY symbol, ordinal, kind ORDER BY i), p AS (PARTITION BY symbol, ordinal, kind)),
+    f AS (SELECT symbol, ordinal, kind, {", ".join(f'CAST({e} AS DOUBLE) AS "{n.replace(chr(34), chr(34) * 2)}"' for n, e in _LONG_FEATURES.items())}
+          FROM r GROUP BY ALL),
+    l AS (UNPIVOT f ON COLUMNS(* EXCLUDE (symbol, ordinal, kind)) INTO NAME feature VALUE value),
+    q AS (SELECT ordinal, kind, feature, quantile_cont(value, 0.25) AS lo, quantile_cont(value, 0.5) AS mid, quantile_cont(value, 0.75) AS hi FROM l GROUP BY ALL)
+    SELECT symbol, ordinal, kind || '_ts_' || feature AS name, sign(z) * ln(1 + abs(z)) AS scaled
+    FROM (SELECT *, (value - mid) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS z FROM l JOIN q USING (ordinal, kind, feature))"""
+
+
+@query("e17_ml_dataset_long", "symbol:i ordinal:i name:s scaled:g", _LONG_SQL)
+def _(t):
+    """Every kind and feature of tiers one and two that SQL states, as rows."""
+    out, _, names = build_dataset(t, vectors=True)
+    wanted = {f"{k}_ts_{f}" for k in _TIME_COLUMNS for f in _LONG_FEATURES}
+    long = features.vectors_long(out, ["symbol", "ordinal"], names).where(F.col("name").isin(sorted(wanted)) & F.col("value").isNotNull())
+    return long.withColumn("scaled", F.signum("value") * F.log1p(F.abs("value")))
+
+
+@query(
+    "e17_fresh_names",
+    "symbol:i ordinal:i n:i fresh:i",
+    f"WITH rows_ AS ({_FEATURES_BASE} SELECT * FROM feat) SELECT symbol, ordinal, {len(_TIME_COLUMNS)} AS n, 1 AS fresh FROM rows_",
+)
+def _(t):
+    """The naming of the first generation: one mean per time column and filing."""
+    out = build_dataset(t, feature_names=["mean"], marker="{kind}_fresh_{feature}")[0]
+    fresh = [c for c in out.columns if "_fresh_" in c]
+    have = sum(F.col(c).isNotNull().cast("int") for c in fresh)
+    return out.withColumn("n", have).withColumn("fresh", F.lit(int(fresh == [f"{k}_fresh_mean" for k in _TIME_COLUMNS])))
+
+
 _PLANS = (ranking.Plan("revenue_sorted", 10.0), ranking.Plan("netDebt_sorted", 10.0), ranking.Plan("OverMC_revenue_sorted", 10.0))
 _SETTINGS = replay.ReplaySettings(1996, 2001, 3, 0, top_k=8, members=4, liquid=0.5)
 

@@ -4,6 +4,9 @@ Each feature is a SQL expression over ``x`` (the values in time order) and its
 moments ``n``, ``m`` (mean), ``sd`` (population deviation), ``mn``, ``mx``,
 ``md`` (median); all of it stays in the JVM.  Partial autocorrelation and
 autoregression need a linear solve and run as one vectorised Arrow function.
+Where all features are wanted, :func:`feature_matrix` computes them together
+for a batch of windows: sorted values, moments, differences and absolute sums
+once each, and one vector per window instead of a column per feature.
 Feature names and definitions are those of the tsfresh documentation.
 """
 
@@ -11,10 +14,11 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -272,5 +276,155 @@ def solver_features(order: int = AR_ORDER):
     return solve
 
 
+def _quantile_columns(ordered: np.ndarray, q: float) -> np.ndarray:
+    at = q * (ordered.shape[1] - 1)
+    low, high = ordered[:, math.floor(at)], ordered[:, math.ceil(at)]
+    return low + (high - low) * (at - math.floor(at))
+
+
+def _strike(test: np.ndarray) -> np.ndarray:
+    """Longest run of true values in each row."""
+    run = best = np.zeros(len(test))
+    for column in test.T:
+        run = (run + 1) * column
+        best = np.maximum(best, run)
+    return best
+
+
+def _peaks(x: np.ndarray, support: int) -> np.ndarray:
+    n = x.shape[1]
+    if n <= 2 * support:
+        return np.zeros(len(x))
+    inner = x[:, support : n - support]
+    higher = np.ones(inner.shape, bool)
+    for j in range(1, support + 1):
+        higher &= (inner > x[:, support - j : n - support - j]) & (inner > x[:, support + j : n - support + j])
+    return higher.sum(axis=1)
+
+
+def feature_names(window: int = 12, fourier: Iterable[int] = (0,)) -> list[str]:
+    """Names of all features in the order of the vector: those of the expressions, then those of the solver."""
+    return [*feature_expressions(window, fourier), *solver_feature_names()]
+
+
+def feature_matrix(x: np.ndarray, window: int = 12, fourier: Iterable[int] = (0,)) -> dict[str, np.ndarray]:
+    """All features of a batch of equally long windows (rows, n) by name; NaN stands for none."""
+    rows, n = x.shape
+    none = np.full(rows, np.nan)
+    s = np.sort(x, axis=1)
+    mn, mx, md = s[:, 0], s[:, -1], _quantile_columns(s, 0.5)
+    # Values that are all equal are their mean, whatever a sum rounds to, and have deviation zero.
+    m = np.where(mn == mx, mn, x.mean(axis=1))
+    c = x - m[:, None]
+    square = (c * c).sum(axis=1)
+    sd = np.where(mn == mx, 0.0, np.sqrt(square / n))
+    var, moving = sd * sd, sd > 0
+    d = np.diff(x, axis=1)
+    absolute = np.cumsum(np.abs(x), axis=1)
+    energy, mass = (x * x).sum(axis=1), absolute[:, -1]
+    rough, jumps = np.sqrt((d * d).sum(axis=1)), np.abs(d).sum(axis=1)
+    ramp = np.arange(n) - (n - 1) / 2
+    sxx = n * (n * n - 1) / 12
+    sxy = (c * ramp).sum(axis=1)
+    several = n > 1
+    slope = sxy / sxx if several else none
+    ends = lambda value, last: np.argmax((x == value[:, None])[:, ::-1 if last else 1], axis=1)
+    out = {
+        "sum_values": m * n,
+        "mean": m,
+        "median": md,
+        "variance": var,
+        "standard_deviation": sd,
+        "minimum": mn,
+        "maximum": mx,
+        "root_mean_square": np.sqrt(energy / n),
+        "abs_energy": energy,
+        "mean_change": (x[:, -1] - x[:, 0]) / (n - 1) if several else none,
+        "mean_abs_change": jumps / (n - 1) if several else none,
+        "absolute_sum_of_changes": jumps if several else none,
+        "count_above_mean": (c > 0).sum(axis=1),
+        "count_below_mean": (c < 0).sum(axis=1),
+        "first_location_of_maximum": ends(mx, False) / n,
+        "last_location_of_maximum": 1 - ends(mx, True) / n,
+        "first_location_of_minimum": ends(mn, False) / n,
+        "last_location_of_minimum": 1 - ends(mn, True) / n,
+        "longest_strike_above_mean": _strike(c > 0),
+        "longest_strike_below_mean": _strike(c < 0),
+        "has_duplicate": (np.diff(s, axis=1) == 0).any(axis=1),
+        "has_duplicate_max": (x == mx[:, None]).sum(axis=1) > 1,
+        "has_duplicate_min": (x == mn[:, None]).sum(axis=1) > 1,
+        "variation_coefficient": sd / m,
+        "quantile__q_0.2": _quantile_columns(s, 0.2),
+        "quantile__q_0.8": _quantile_columns(s, 0.8),
+        "cid_ce__normalize_True": (np.where(moving, rough / sd, 0.0)) if several else np.where(moving, np.nan, 0.0),
+        "cid_ce__normalize_False": rough if several else none,
+        'linear_trend__attr_"slope"': slope,
+        'linear_trend__attr_"intercept"': m - slope * (n - 1) / 2,
+        'linear_trend__attr_"rvalue"': np.where(moving, sxy / np.sqrt(sxx * n * var), np.nan) if several else none,
+    }
+    sample = n * var / (n - 1) if several else none
+    skew = n / ((n - 1) * (n - 2)) * (c**3).sum(axis=1) / sample**1.5 if n > 2 else none
+    out["skewness"] = np.where(moving, skew, np.nan)
+    if n > 3:
+        kurt = n * (n + 1) / ((n - 1) * (n - 2) * (n - 3)) * (c**4).sum(axis=1) / sample**2 - 3 * (n - 1) ** 2 / ((n - 2) * (n - 3))
+    out["kurtosis"] = np.where(moving, kurt, np.nan) if n > 3 else none
+    for lag in AUTOCORRELATION_LAGS:
+        total = (c[:, : n - lag] * c[:, lag:]).sum(axis=1) if n > lag else none
+        out[f"autocorrelation__lag_{lag}"] = np.where(moving, total / ((n - lag) * var), np.nan) if n > lag else none
+    for lag in (1, 2, 3):
+        k = n - 2 * lag
+        a, b, e = (x[:, i * lag : i * lag + k] for i in range(3)) if k > 0 else (none[:, None],) * 3
+        out[f"c3__lag_{lag}"] = (e * b * a).mean(axis=1)
+        out[f"time_reversal_asymmetry_statistic__lag_{lag}"] = (e * e * b - b * a * a).mean(axis=1)
+    span = mx - mn
+    for r in SYMMETRY_R:
+        out[f"symmetry_looking__r_{r}"] = np.abs(m - md) < float(r) * span
+    for r in LARGE_STD_R:
+        out[f"large_standard_deviation__r_{r}"] = sd > float(r) * span
+    for r in BEYOND_SIGMA_R:
+        out[f"ratio_beyond_r_sigma__r_{r}"] = (np.abs(c) > float(r) * sd[:, None]).sum(axis=1) / n
+    for q in ("0.2", "0.8"):
+        out[f"index_mass_quantile__q_{q}"] = np.where(mass > 0, ((absolute < float(q) * mass[:, None]).sum(axis=1) + 1) / n, np.nan)
+    for k in PEAK_SUPPORT:
+        out[f"number_peaks__n_{k}"] = _peaks(x, k)
+    for k in fourier:
+        angle = -2 * math.pi * k * np.arange(n) / n
+        real, imag = (x * np.cos(angle)).sum(axis=1), (x * np.sin(angle)).sum(axis=1) if k else np.zeros(rows)
+        parts = {"real": real, "imag": imag, "abs": np.hypot(real, imag), "angle": np.degrees(np.arctan2(imag, real))}
+        for attr, value in parts.items():
+            out[f'fft_coefficient__attr_"{attr}"__coeff_{k}'] = value if k <= n // 2 else none
+    widths = ", ".join(map(str, RICKER_WIDTHS))
+    for w in RICKER_WIDTHS:
+        for k in RICKER_COEFFICIENTS:
+            name = f"cwt_coefficients__coeff_{k}__w_{w}__widths_({widths})"
+            out[name] = x @ ricker_weights(window, w, k) if n == window and k < window else none
+    solved = np.hstack([partial_autocorrelations(x), ar_coefficients(x)])
+    return out | dict(zip(solver_feature_names(), solved.T, strict=True))
+
+
+def feature_vectors(names: list[str], window: int = 12, fourier: Iterable[int] = (0,)):
+    """A function over Arrow batches that puts the vector of the named features in place of the last column."""
+    fourier = list(fourier)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(batch.num_columns - 1)
+            lengths, starts = np.diff(values.offsets.to_numpy()), values.offsets.to_numpy()[:-1]
+            flat = values.values.to_numpy(zero_copy_only=False)
+            out = np.full((batch.num_rows, len(names)), np.nan)
+            for n in np.unique(lengths[lengths > 0]):
+                at = np.flatnonzero(lengths == n)
+                x = flat[starts[at][:, None] + np.arange(n)].astype(float)
+                with np.errstate(all="ignore"):
+                    found = feature_matrix(x, window, fourier)
+                out[at] = np.stack([found[f] for f in names], axis=1)
+            cells = pa.array(out.ravel(), mask=~np.isfinite(out.ravel()))
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(names))
+            vector = pa.ListArray.from_arrays(offsets, cells)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vector], names=batch.schema.names)
+
+    return run
+
+
 # Tasks get the solver with its module, also where the package is not installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.functions import tsfeat
 from panelwright.functions.names import keep_feature
 from panelwright.operators.ordered import exact_percentiles, join_stats, with_group_stats
+from panelwright.session import stage_table
 
 CHANGE_LAGS = (3, 6, 12, 24)
 
@@ -127,6 +133,37 @@ def array_features(
     return solved.select(*ids, *out)
 
 
+def vector_names(window: int = 12, fourier: Sequence[int] = (0,), features: Sequence[str] | None = None, filtered: bool = True) -> list[str]:
+    """The name table of E10's vectors: all kept features (D13), or the given ones."""
+    names = tsfeat.feature_names(window, fourier) if features is None else list(features)
+    return [n for n in names if not filtered or keep_feature(n)]
+
+
+def feature_vectors(
+    df: DataFrame, ids: Sequence[str], values: str, names: Sequence[str], window: int = 12, fourier: Sequence[int] = (0,)
+) -> DataFrame:
+    """E10 as one column ``features``: an array with a value per name, null where a feature has none.
+
+    The plan has one node for any number of features; windows of a batch are computed together.
+    """
+    narrow = df.select(*ids, F.coalesce(F.col(values).cast("array<double>"), F.array().cast("array<double>")).alias("features"))
+    return narrow.mapInArrow(tsfeat.feature_vectors(list(names), window, fourier), narrow.schema)
+
+
+def vectors_wide(df: DataFrame, ids: Sequence[str], kinds: Sequence[str], width: int) -> DataFrame:
+    """E11 on vectors: one row per id with the vectors of all kinds behind each other, nulls for a missing kind."""
+    none = F.array_repeat(F.lit(None).cast("double"), width)
+    own = [F.coalesce(F.max(F.when(F.col("kind") == k, F.col("features"))), none) for k in kinds]
+    return df.groupBy(*ids).agg(F.concat(*own).alias("features"))
+
+
+def vectors_long(df: DataFrame, ids: Sequence[str], names: Sequence[str], vector: str = "features") -> DataFrame:
+    """``(ids, name, value)`` of a vector column."""
+    table = F.array(*[F.lit(n) for n in names])
+    rows = df.select(*ids, F.posexplode(vector).alias("__i", "value"))
+    return rows.select(*ids, F.get(table, F.col("__i")).alias("name"), "value")
+
+
 def features_wide(
     features: DataFrame, ids: Sequence[str], kinds: Sequence[str], marker: str = "{kind}_ts_{feature}"
 ) -> DataFrame:
@@ -165,6 +202,58 @@ def robust_scale(df: DataFrame, columns: Sequence[str], cohort: Sequence[str]) -
     return joined.select(*rest, *scaled)
 
 
+# Cohorts up to this many rows are sorted where their vectors meet, CHUNK columns to a task; larger ones over range slices.
+COHORT_ROWS = 100_000
+CHUNK = 64
+
+
+def _chunk_quartiles(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    values = np.sort(np.stack(part["part"].to_numpy()).astype(float), axis=0)
+    n = (~np.isnan(values)).sum(axis=0)
+    columns, out = np.arange(values.shape[1]), []
+    for p in (0.25, 0.5, 0.75):
+        at = p * np.maximum(n - 1, 0)
+        low, high = values[np.floor(at).astype(int), columns], values[np.ceil(at).astype(int), columns]
+        out.append([None if k == 0 else v for k, v in zip(n, low + (high - low) * (at - np.floor(at)), strict=True)])
+    return pd.DataFrame([(*key, *out)])
+
+
+def vector_quartiles(df: DataFrame, vector: str, width: int, cohort: Sequence[str]) -> DataFrame:
+    """Per cohort ``lo``, ``mid`` and ``hi``: the exact quartiles of each element of a vector column, nulls left out."""
+    cohort = list(cohort)
+    sizes = stage_table(df.groupBy(*cohort).agg(F.count(F.lit(1)).alias("__rows")), "cohort-sizes")
+    sized = join_stats(df.select(*cohort, vector), sizes, cohort)
+    parts = F.array(*[F.slice(vector, low + 1, CHUNK) for low in range(0, width, CHUNK)])
+    chunks = sized.where(F.col("__rows") <= COHORT_ROWS).select(*cohort, F.posexplode(parts).alias("chunk", "part"))
+    schema = T.StructType([*[df.schema[c] for c in cohort], T.StructField("chunk", T.IntegerType())])
+    for name in ("lo", "mid", "hi"):
+        schema = schema.add(name, T.ArrayType(T.DoubleType()))
+    found = chunks.groupBy(*cohort, "chunk").applyInPandas(_chunk_quartiles, schema)
+    if sizes.where(F.col("__rows") > COHORT_ROWS).isEmpty():
+        return _joined_chunks(found, cohort)
+    large = sized.where(F.col("__rows") > COHORT_ROWS).select(*cohort, F.posexplode(vector).alias("chunk", "value"))
+    single = exact_percentiles(large, [*cohort, "chunk"], "value", {"lo": 0.25, "mid": 0.5, "hi": 0.75})
+    # A column without values has no percentile; it keeps its place.
+    every = sizes.where(F.col("__rows") > COHORT_ROWS).select(*cohort, F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("chunk"))
+    single = join_stats(every, single, [*cohort, "chunk"], "left").select(*cohort, "chunk", *[F.array(c).alias(c) for c in ("lo", "mid", "hi")])
+    return _joined_chunks(found, cohort).unionByName(_joined_chunks(single, cohort))
+
+
+def _joined_chunks(found: DataFrame, cohort: list[str]) -> DataFrame:
+    by_chunk = found.groupBy(*cohort).agg(F.sort_array(F.collect_list(F.struct("chunk", "lo", "mid", "hi"))).alias("__p"))
+    return by_chunk.select(*cohort, *[F.flatten(F.col(f"__p.{c}")).alias(c) for c in ("lo", "mid", "hi")])
+
+
+def robust_scale_vectors(df: DataFrame, vector: str, width: int, cohort: Sequence[str]) -> DataFrame:
+    """E12 on every element of a vector column of ``width`` values; ``df`` is read twice."""
+    stats = stage_table(vector_quartiles(df, vector, width, cohort), "quartiles")
+    spread = F.zip_with("hi", "lo", lambda a, b: F.when(a == b, F.lit(1.0)).otherwise(a - b))
+    stats = stats.select(*cohort, F.col("mid").alias("__mid"), spread.alias("__spread"))
+    joined = join_stats(df, stats, list(cohort), "left")
+    scaled = F.zip_with(F.zip_with(vector, "__mid", lambda x, mid: x - mid), "__spread", lambda x, s: x / s)
+    return joined.withColumn(vector, scaled).drop("__mid", "__spread")
+
+
 def orient_high_good(df: DataFrame, directions: Mapping[str, str], cohort: Sequence[str]) -> DataFrame:
     """``{c}_sorted`` columns where high is good; a "low" column maps x >= 0 to -x and x < 0 to x - max."""
     low = [c for c, d in directions.items() if d == "low"]
@@ -197,3 +286,7 @@ def minmax10(df: DataFrame, column: str, name: str, group: Sequence[str] = ()) -
     out = with_group_stats(df, list(group), __lo=F.min(column), __hi=F.max(column))
     scaled = F.try_divide(F.col(column) - F.col("__lo"), F.col("__hi") - F.col("__lo")) * 10
     return out.withColumn(name, scaled).drop("__lo", "__hi")
+
+
+# Tasks get this module's functions also where the package is not installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.session import stage, stage_table
+from panelwright.session import stage_table
 
 # monotonically_increasing_id keeps the partition id above bit 33.
 _ROW_BITS = 33
@@ -48,10 +48,11 @@ def range_slices(df: DataFrame, group: Sequence[str], order: Order) -> DataFrame
         .sortWithinPartitions(*sort)
         .withColumn("__mid", F.monotonically_increasing_id())
     )
-    return stage(
+    return stage_table(
         numbered.withColumn(_SLICE, F.shiftright("__mid", _ROW_BITS).cast("int"))
         .withColumn(_SEQ, F.col("__mid").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
-        .drop("__mid")
+        .drop("__mid"),
+        "slices",
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.names import select_features
 from panelwright.operators import asof, features
 from panelwright.operators.ordered import positions
-from panelwright.session import stage
+from panelwright.session import stage_table
 
 WINDOW = 12
 
@@ -76,13 +76,17 @@ def ml_dataset(
     horizon: str = "forward",
     fraction: float = 0.5,
     feature_names: Sequence[str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
+    marker: str = "{kind}_ts_{feature}",
+    vectors: bool = False,
+) -> tuple[DataFrame, DataFrame] | tuple[DataFrame, DataFrame, list[str]]:
     """(features, dataset): scaled features per symbol and quarter, and the same with returns as labels.
 
     ``filings`` are statements joined with metrics; they carry marketCap and
     netDebt.  ``horizon="forward"`` labels with the return from the rebalance
     date on; ``"trailing"`` with the return up to it, which partly precedes the
-    filing.
+    filing.  All features of all time columns travel as one vector per row; with
+    ``vectors`` they stay one (``features``) and its name table comes third,
+    else each gets a column in the last projection, named by ``marker``.
     """
     spark = prices.sparkSession
     days = asof.trading_days(prices)
@@ -90,8 +94,8 @@ def ml_dataset(
     # The trade dates are a handful of rows and the prices on them a small share of
     # all prices; both are read more than once, so each is computed once.
     found = asof.trade_dates(calendar, days).select(F.col("trade_date").alias("date"), F.col("trade_date").alias("as_of"))
-    dates = stage(found.distinct())
-    at_dates = stage(prices.join(dates, "date").select("symbol", "as_of", "close", "volume"))
+    dates = stage_table(found.distinct(), "trade-dates")
+    at_dates = stage_table(prices.join(dates, "date").select("symbol", "as_of", "close", "volume"), "trade-prices")
     rebalance = features.price_return(features.price_change(at_dates, "as_of"), "as_of")
     if horizon == "forward":
         ahead = F.lead("price_dev").over(Window.partitionBy("symbol").orderBy("as_of"))
@@ -106,18 +110,21 @@ def ml_dataset(
     )
     kinds = [c for c in time_columns if c in filings.columns]
     windows = sliding_windows(ordered, kinds)
-    summary = features.array_features(windows, ["symbol", "ordinal", "kind"], "values", WINDOW, features=feature_names)
-    wide = features.features_wide(summary, ["symbol", "ordinal"], kinds)
+    own = features.vector_names(WINDOW, features=feature_names)
+    summary = features.feature_vectors(windows, ["symbol", "ordinal", "kind"], "values", own, WINDOW)
+    wide = features.vectors_wide(summary, ["symbol", "ordinal"], kinds, len(own))
 
     in_years = ratios.where(F.col("calendarYear").between(first_year, last_year))
     rows = in_years.join(
         liquid.select(F.col("year").cast("long").alias("calendarYear"), "symbol"), ["calendarYear", "symbol"], "left_semi"
     ).join(wide, ["symbol", "ordinal"])
-    kept = select_features(rows.columns, ratio_columns, amounts)
+    plain = select_features(ratios.columns, ratio_columns, amounts)
+    names = [*plain, *[marker.format(kind=k, feature=f) for k in kinds for f in own]]
     keys = ["symbol", "calendarYear", "period", "ordinal", "date", "fillingDate", "rebalance_date"]
-    # The scaling reads the features twice; they are computed once.
-    staged = stage(rows.select(*keys, *[F.col(f"`{c}`") for c in kept]))
-    scaled = features.robust_scale(staged, kept, ["ordinal"]).withColumnRenamed("date", "report_date")
+    vector = F.concat(F.array(*[F.col(f"`{c}`").cast("double") for c in plain]).cast("array<double>"), F.col("features"))
+    # The scaling reads the vectors twice; they are computed once.
+    staged = stage_table(rows.select(*keys, vector.alias("features")), "ml-features")
+    scaled = features.robust_scale_vectors(staged, "features", len(names), ["ordinal"]).withColumnRenamed("date", "report_date")
     out = scaled.join(symbols.select("symbol", "industry", "sector"), "symbol")
     labels = rebalance.select(
         "symbol", F.col("as_of").alias("rebalance_date"), F.col("close").alias("price"), "volume_mul_price", "price_diff", "price_dev"
@@ -125,7 +132,14 @@ def ml_dataset(
     dataset = out.join(labels, ["symbol", "rebalance_date"])
     dataset = features.market_relative(dataset, "price_dev", ["ordinal"])
     dataset = features.sector_relative(dataset, "price_dev", ["ordinal"])
-    return out, dataset
+    if vectors:
+        return out, dataset, names
+    return _columns(out, names), _columns(dataset, names)
+
+
+def _columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The vector ``features`` as one column per name."""
+    return df.select(*[c for c in df.columns if c != "features"], *[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def write_dataset(df: DataFrame, path: str) -> None:

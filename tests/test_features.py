@@ -1,3 +1,4 @@
+import math
 from datetime import date
 
 import numpy as np
@@ -129,3 +130,41 @@ def test_autoregression():
     assert np.allclose(tsfeat.ar_coefficients(x, 2, (0, 1, 2))[0], [1, 0.5, -0.2])
     # Twelve points cannot carry order ten.
     assert np.isnan(tsfeat.ar_coefficients(np.array([WINDOWS[0]]))).all()
+
+
+def test_vectors_equal_the_expressions(spark):
+    """The batch program gives what the expressions and the solver give, for whole, short, flat and empty windows."""
+    rng = np.random.default_rng(4)
+    windows = [rng.standard_normal(12), np.full(12, 0.5), rng.integers(0, 3, 12).astype(float), rng.standard_normal(5), [2.0], [1.0, 3.0], []]
+    rows = [(i, "k", [float(v) for v in w]) for i, w in enumerate(windows)]
+    df = spark.createDataFrame(rows, "id int, kind string, v array<double>")
+    names = features.vector_names(filtered=False)
+    got = {r["id"]: r["features"] for r in features.feature_vectors(df, ["id", "kind"], "v", names).collect()}
+    want = features.array_features(df.where("size(v) > 0"), ["id", "kind"], "v", solver=True, filtered=False)
+    for r in want.collect():
+        for name, value in zip(names, got[r["id"]], strict=True):
+            if r[name] is None or math.isnan(r[name]):
+                assert value is None, (r["id"], name)
+            else:
+                assert value == pytest.approx(r[name], rel=1e-9, abs=1e-9), (r["id"], name)
+    assert got[6] == [None] * len(names)
+
+
+def test_vector_scaling_takes_either_path(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i % 3 if i % 7 else None, i, [None if rng.random() < 0.2 else float(rng.normal()) for _ in range(70)] + [4.0, None]) for i in range(200)]
+    df = spark.createDataFrame(rows, "cohort int, id int, v array<double>")
+    plain = features.robust_scale(df.select("cohort", "id", *[df["v"][i].alias(f"c{i}") for i in range(72)]), [f"c{i}" for i in range(72)], ["cohort"])
+    want = {r["id"]: [r[f"c{i}"] for i in range(72)] for r in plain.collect()}
+    for rows_at_once in (10_000, 40):
+        monkeypatch.setattr(features, "COHORT_ROWS", rows_at_once)
+        for r in features.robust_scale_vectors(df, "v", 72, ["cohort"]).collect():
+            assert r["v"] == [None if v is None else pytest.approx(v, abs=1e-9) for v in want[r["id"]]]
+
+
+def test_vectors_wide_keep_a_place_for_missing_kinds(spark):
+    df = spark.createDataFrame([(1, "a", [1.0, 2.0]), (2, "b", [3.0, None])], "id int, kind string, features array<double>")
+    got = {r["id"]: r["features"] for r in features.vectors_wide(df, ["id"], ["a", "b"], 2).collect()}
+    assert got == {1: [1.0, 2.0, None, None], 2: [None, None, 3.0, None]}
+    long = features.vectors_long(df, ["id"], ["x", "y"]).collect()
+    assert [(r["id"], r["name"], r["value"]) for r in sorted(long)] == [(1, "x", 1.0), (1, "y", 2.0), (2, "x", 3.0), (2, "y", None)]
