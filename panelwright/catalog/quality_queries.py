@@ -86,6 +86,24 @@ def _(t):
     )
 
 
+_HEAVY = ("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "gap", "flat")
+
+
+@query(
+    "d4_heavy_values",
+    "column:s top_share:f",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CASE WHEN max(n) / sum(n) >= 0.125 THEN max(n) / sum(n) END AS top_share FROM (
+              SELECT count(*) AS n FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS gap, 7 AS flat FROM orders) GROUP BY {c})"""
+        for c in _HEAVY
+    ),
+)
+def _(t):
+    """By sketch and one counting pass: the share where it is an eighth or more."""
+    gap = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey"))
+    return quality.heavy_value_shares(t.raw("orders").withColumns({"gap": gap, "flat": F.lit(7)}).select(*_HEAVY))
+
+
 @query(
     "d5_drop_sparse_rows",
     "symbol:i date:d revenue:f netDebt:f",

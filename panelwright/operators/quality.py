@@ -16,6 +16,7 @@ from panelwright.operators.ordered import (
     positions,
     with_group_stats,
 )
+from panelwright.session import stage_table
 
 _NUMERIC = ("double", "float", "bigint", "int", "smallint", "tinyint")
 
@@ -65,18 +66,58 @@ def drop_sparse_columns(df: DataFrame, limit: float = 0.8, keep: Sequence[str] =
 
 
 def top_value_shares(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Share of the most frequent value per column; null counts as a value."""
+    """Share of the most frequent value per column, however small; null counts as a value.  Every distinct value is shuffled."""
     columns = list(columns or df.columns)
     text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
     counts = text.unpivot([], columns, "column", "value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
     return counts.groupBy("column").agg((F.max("c") / F.sum("c")).alias("top_share"))
 
 
+# A frequent-items sketch of this many values counts each to within 3.5 / TRACKED of the rows, in a few KB a column.
+TRACKED = 256
+LEAST_SHARE = 1 / 8
+
+
+def heavy_value_shares(df: DataFrame, columns: Sequence[str] | None = None, least: float = LEAST_SHARE) -> DataFrame:
+    """D4 ``(column, top_share)``: the exact share of the most frequent value where it covers at least ``least`` of the rows, else null.
+
+    Two passes that shuffle one row per task.  The first merges one bounded
+    sketch of frequent values per column, whose candidates hold every value of
+    that share; the second counts each candidate exactly.  Null counts as a value.
+    """
+    if least < LEAST_SHARE:
+        raise ValueError(f"the sketch is sure of shares of {LEAST_SHARE} and more")
+    columns = list(columns or df.columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, top_share double")
+    value = lambda c: F.col(f"`{c}`").cast("string")
+    text = df.select(*[F.when(value(c).isNotNull(), F.xxhash64(value(c))).alias(f"__{i}") for i, c in enumerate(columns)])
+    names = text.columns
+    # Whatever the sketch may put before a value of that share is nearly as frequent.
+    most = int(1 / (least - 3.5 / TRACKED)) + 1
+    sketch = text.agg(*[F.expr(f"approx_top_k({c}, {most}, {TRACKED})").getField("item").alias(c) for c in names])
+    candidates = stage_table(sketch, "heavy-values")
+    # At most a few dozen values a column: a row of literals for the second pass.
+    found = candidates.first()
+    counts = []
+    for c in names:
+        hits = [F.count_if(F.col(c) == F.lit(v)) for v in found[c] or [] if v is not None]
+        counts.append(F.greatest(F.count_if(F.col(c).isNull()), F.lit(0), *hits).alias(c))
+    wide = text.agg(F.count(F.lit(1)).alias("__rows"), *counts)
+    long = wide.unpivot("__rows", names, "__name", "__count")
+    table = F.array(*[F.lit(c) for c in columns])
+    share = F.try_divide("__count", "__rows")
+    return long.select(
+        F.element_at(table, F.substring("__name", 3, 12).cast("int") + 1).alias("column"), F.when(share >= least, share).alias("top_share")
+    )
+
+
 def drop_constant_columns(
     df: DataFrame, limit: float = 0.95, keep: Sequence[str] = ()
 ) -> tuple[DataFrame, list[str]]:
     """Drop columns whose most frequent value covers more than ``limit`` of the rows."""
-    rows = top_value_shares(df).where(F.col("top_share") > limit).collect()
+    shares = heavy_value_shares(df) if limit >= LEAST_SHARE else top_value_shares(df)
+    rows = shares.where(F.col("top_share") > limit).collect()
     dropped = [r["column"] for r in rows if r["column"] not in keep]
     return df.drop(*dropped), dropped
 

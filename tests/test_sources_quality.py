@@ -152,3 +152,19 @@ def test_symbol_master_variants(spark):
     last = {r.symbol: str(r.delistedDate) for r in views.symbol_master(listed, gone, profile, kind="stock", keep="last").collect()}
     assert first == {"a": None, "b": None}
     assert last == {"a": "2020-01-01"}
+
+
+def test_heavy_values_are_found_by_one_sketch(spark, monkeypatch):
+    """One value among many distinct ones, in every part of the table, and no cell value in an exchange."""
+    df = spark.range(20_000, numPartitions=8).selectExpr(
+        "if(id % 100 < 13, 'often', concat('x', id)) AS a", "if(id % 2 = 0, NULL, id) AS `b.c`", "id AS d", "if(id < 19000, 1.5, id) AS e", "id % 8 AS f"
+    )
+    plans, staged = [], quality.stage_table
+    monkeypatch.setattr(quality, "stage_table", lambda x, label: plans.append(x._jdf.queryExecution().executedPlan().toString()) or staged(x, label))
+    out = quality.heavy_value_shares(df)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {r["column"]: r["top_share"] for r in out.collect()} == {"a": 0.13, "b.c": 0.5, "d": None, "e": 0.95, "f": 0.125}
+    exchanges = [line for plan in plans for line in plan.splitlines() if "Exchange" in line]
+    assert exchanges and all("SinglePartition" in line for line in exchanges)
+    assert quality.drop_constant_columns(df, 0.9)[1] == ["e"]
+    assert quality.heavy_value_shares(df.limit(0)).where("top_share IS NOT NULL").count() == 0
