@@ -103,6 +103,28 @@ def _(t):
     return stats.rank_by_mutual_info(sample(t), _MI, "ret", ["id"], 3, continuous=True)
 
 
+def _digamma_sql(n: str) -> str:
+    x = f"({n} + 8.0)"
+    series = f"ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} ** 2) + 1 / (120 * {x} ** 4) - 1 / (252 * {x} ** 6)"
+    return f"({series} - {' - '.join(f'1 / ({n} + {i}.0)' for i in range(8))})"
+
+
+@query(
+    "i2_neighbour_info",
+    "feature:s score:f",
+    f"""WITH l AS (SELECT id, up, unnest([{", ".join(f"'{c}'" for c in _MI)}]) AS feature, unnest([{", ".join(_MI)}])::DOUBLE AS x FROM {SAMPLE_SQL}),
+      c AS (SELECT *, count(*) OVER (PARTITION BY feature, up) AS n,
+              list_sort(list_filter([{", ".join(f"x - lag(x, {i}) OVER w, lead(x, {i}) OVER w - x" for i in (1, 2, 3))}], lambda d: d IS NOT NULL)) AS away
+            FROM l WINDOW w AS (PARTITION BY feature, up ORDER BY x, id)),
+      r AS (SELECT *, least(3, n - 1) AS near, away[least(3, n - 1)] * (1 - 1e-9) AS radius FROM c WHERE n > 1),
+      m AS (SELECT *, count(*) OVER (PARTITION BY feature ORDER BY x RANGE BETWEEN radius PRECEDING AND radius FOLLOWING) AS inside FROM r)
+      SELECT feature, greatest(0, {_digamma_sql("count(*)")} + avg({_digamma_sql("near")}) - avg({_digamma_sql("n")}) - avg({_digamma_sql("inside")})) AS score
+      FROM m GROUP BY feature ORDER BY score DESC, feature LIMIT 3""",
+)
+def _(t):
+    return stats.rank_by_neighbour_info(sample(t), _MI, "up", ["id"], 3)
+
+
 @query(
     "i3_rank_by_f_test",
     "feature:s score:g",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelwright.operators.ordered import join_stats, positions, running_sums
+from panelwright.session import stage_table
 
 LOWER_IS_BETTER = ("rmse", "mae", "loss")
 METRIC_PREFERENCE = ("accuracy", "f1", "rmse")
@@ -87,7 +88,7 @@ def rank_by_mutual_info(
 ) -> DataFrame:
     """Mutual information of binned features and the target (binned when continuous), best k.
 
-    A binned estimate by design; the reference's library uses nearest neighbours.
+    The quick, binned estimate; :func:`rank_by_neighbour_info` uses nearest neighbours.
     """
     if continuous:
         label = binned(df, [target], ids, bins=bins).select(*ids, F.col("bin").alias("__y"))
@@ -108,6 +109,88 @@ def rank_by_mutual_info(
     return scores.orderBy(F.col("score").desc(), "feature").limit(k)
 
 
+# Rows of a class that one task looks at for neighbours, besides k of them on either side.
+NEIGHBOUR_ROWS = 50_000
+# Rounding: nearer than the k-th neighbour means nearer by more than this share of its distance.
+NEARER = 1e-9
+
+
+def digamma(n: Column) -> Column:
+    """The digamma function of whole numbers from one on, by its asymptotic series from n + 8."""
+    x = n + F.lit(8.0)
+    series = F.ln(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    for i in range(8):
+        series = series - 1 / (n + F.lit(float(i)))
+    return series
+
+
+def neighbour_radius(long: DataFrame, group: Sequence[str], value: str, ids: Sequence[str], k: int) -> DataFrame:
+    """Rows with ``n`` (rows of their group), ``near`` (neighbours asked for) and ``radius``, the distance to the last of them.
+
+    Positions come from a range sort, so a group may hold any share of the
+    rows; it is then cut into runs of rows, each with a halo of the ``k`` rows
+    before and after it, and neighbours are among those.  A group of one row
+    has no neighbour and is left out.
+    """
+    placed = positions(long, list(group), [(value, True), *[(i, True) for i in ids]]).where(F.col("n") > 1)
+    run, at = F.floor(F.col("pos") / NEIGHBOUR_ROWS), F.pmod(F.col("pos"), F.lit(NEIGHBOUR_ROWS))
+    halo = F.array(run, F.when(at < k, run - 1), F.when(at >= NEIGHBOUR_ROWS - k, run + 1))
+    runs = placed.withColumn("__own", run).withColumn("__run", F.explode(F.array_compact(halo)))
+    w = Window.partitionBy(*group, "__run").orderBy("pos")
+    x = F.col(value)
+    away = [x - F.lag(value, i).over(w) for i in range(1, k + 1)] + [F.lead(value, i).over(w) - x for i in range(1, k + 1)]
+    sorted_away = F.array_sort(F.array_compact(F.array(*away)))
+    near = F.least(F.lit(k).cast("long"), F.col("n") - 1)
+    found = runs.withColumn("near", near).withColumn("radius", F.get(sorted_away, F.col("near").cast("int") - 1))
+    return found.where(F.col("__run") == F.col("__own")).drop("__run", "__own", "pos")
+
+
+def count_within(rows: DataFrame, group: Sequence[str], value: str, radius: Column, ids: Sequence[str], name: str = "within") -> DataFrame:
+    """``(group, ids, name)``: how many rows of the group lie within ``radius`` of each row, itself included.
+
+    The ends of each row's interval are sorted among the rows, and running
+    counts are read off at both ends: no join on a range.
+    """
+    group, ids = list(group), list(ids)
+    x = F.col(value)
+    # An interval starts before the rows at its lower end and stops behind those at its upper end.
+    marks = F.array(
+        F.struct((x - radius).alias("__at"), F.lit(0).alias("__kind"), F.lit(0).alias("__one")),
+        F.struct(x.alias("__at"), F.lit(1).alias("__kind"), F.lit(1).alias("__one")),
+        F.struct((x + radius).alias("__at"), F.lit(2).alias("__kind"), F.lit(0).alias("__one")),
+    )
+    ends = rows.select(*group, *ids, F.inline(marks))
+    order = [("__at", True), ("__kind", True), *[(i, True) for i in ids]]
+    counted = running_sums(ends, group, order, {"__upto": "__one"})
+    sign = F.when(F.col("__kind") == 0, -F.col("__upto")).when(F.col("__kind") == 2, F.col("__upto"))
+    return counted.groupBy(*group, *ids).agg(F.sum(sign).alias(name))
+
+
+def rank_by_neighbour_info(df: DataFrame, columns: Sequence[str], target: str, ids: Sequence[str], k: int, neighbours: int = 3) -> DataFrame:
+    """Mutual information of numbers and a class by nearest neighbours (Ross 2014), best k.
+
+    For each row the distance to its ``neighbours``-th neighbour of the same
+    class, and how many rows of any class are nearer than that.  Negative
+    estimates count as zero, classes of one row are left out.
+    """
+    ids = list(ids)
+    long = df.select(*ids, F.col(target).alias("__y"), *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [*ids, "__y"], list(columns), "feature", "value"
+    )
+    have = long.where(F.col("value").isNotNull() & F.col("__y").isNotNull())
+    near = stage_table(neighbour_radius(have, ["feature", "__y"], "value", ids, neighbours), "neighbour-radius")
+    within = count_within(near, ["feature"], "value", F.col("radius") * (1 - NEARER), ids)
+    per_class = near.groupBy("feature", "__y").agg(F.count(F.lit(1)).alias("n"), F.first("near").alias("near"))
+    classes = per_class.groupBy("feature").agg(
+        F.sum("n").alias("rows"), F.sum(F.col("n") * (digamma(F.col("near")) - digamma(F.col("n")))).alias("known")
+    )
+    counts = within.groupBy("feature", "within").agg(F.count(F.lit(1)).alias("c"))
+    spread = counts.groupBy("feature").agg(F.sum(F.col("c") * digamma(F.col("within"))).alias("spread"))
+    score = digamma(F.col("rows")) + (F.col("known") - F.col("spread")) / F.col("rows")
+    scores = classes.join(spread, "feature").select("feature", F.greatest(score, F.lit(0.0)).alias("score"))
+    return scores.orderBy(F.col("score").desc(), "feature").limit(k)
+
+
 def rank_by_f_test(df: DataFrame, columns: Sequence[str], target: str, k: int, continuous: bool = False) -> DataFrame:
     """ANOVA F for classes, regression F (from r squared) for numbers, best k."""
     columns = list(columns)

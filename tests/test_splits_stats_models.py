@@ -168,3 +168,29 @@ def test_imputing_family_scores_every_row(learnable):
     fitted = jobs.train_classifiers(holed, ["x", "noise"], "y", jobs.classifier_family(2, (2,), 2))
     out = jobs.score_family(fitted, holed, "p")
     assert out.count() == 600 and out.where("p0 IS NULL OR p1 IS NULL").count() == 0
+
+
+def test_neighbour_information_matches_brute_force(spark, monkeypatch):
+    """Runs of a few rows, so that most neighbours lie in a halo; ties, gaps, and a class of one row."""
+    monkeypatch.setattr(stats, "NEIGHBOUR_ROWS", 7)
+    rng = np.random.default_rng(8)
+    y = [*(["a"] * 120), *(["b"] * 60), "c", "c", "alone"]
+    x = {"tied": rng.integers(0, 20, len(y)) + 5 * (np.array(y) == "b"), "free": rng.normal(size=len(y)) + (np.array(y) == "a"), "noise": rng.normal(size=len(y))}
+    rows = [(i, c, *[None if (i + j) % 17 == 0 else float(x[f][i]) for j, f in enumerate(x)]) for i, c in enumerate(y)]
+    df = spark.createDataFrame(rows, "id int, y string, tied double, free double, noise double")
+    got = {r["feature"]: r["score"] for r in stats.rank_by_neighbour_info(df, list(x), "y", ["id"], 9).collect()}
+
+    def digamma(n):
+        return sum(1 / i for i in range(1, n)) - 0.5772156649015329
+
+    for j, f in enumerate(x):
+        have = [(r[1], r[2 + j]) for r in rows if r[2 + j] is not None]
+        size = {c: sum(a == c for a, _ in have) for c, _ in have}
+        have = [(c, v) for c, v in have if size[c] > 1]
+        total = 0.0
+        for i, (c, v) in enumerate(have):
+            near = min(3, size[c] - 1)
+            radius = sorted(abs(v - w) for h, (b, w) in enumerate(have) if b == c and h != i)[near - 1]
+            inside = sum(abs(v - w) <= radius * (1 - 1e-9) for _, w in have)
+            total += digamma(near) - digamma(size[c]) - digamma(inside)
+        assert got[f] == pytest.approx(max(0.0, digamma(len(have)) + total / len(have)), abs=1e-9)
