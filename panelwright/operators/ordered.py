@@ -87,6 +87,58 @@ def positions(
     return out.drop(_SLICE, _SEQ, "__shift", "__size")
 
 
+# Rows a bucket should hold, and keys that are drawn to find where buckets end: about KEY_SAMPLE, at most twice as many.
+BUCKET_ROWS = 200_000
+KEY_SAMPLE = 16_384
+
+
+def bucket_positions(df: DataFrame, order: Sequence[str], position: str = "pos", size: str = "n") -> DataFrame:
+    """0-based position of every row under a total ascending order (nulls last), and the number of rows.
+
+    Only keys are looked at ahead: a sample of them gives the ends of the
+    buckets, an exact count how many rows lie before each.  Both are one small
+    staged table, so a bucket is the same function of a key in every branch
+    and after any loss.  The rows themselves are shuffled once, to be ranked
+    inside their bucket, and never staged.
+    """
+    order = list(order)
+    keys = df.select(*order)
+    n = keys.count()
+    buckets = max(1, min(-(-n // BUCKET_ROWS), KEY_SAMPLE // 4))
+    # Null keys sort last: a flag in front of each.
+    key = F.struct(*[f for i, c in enumerate(order) for f in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"k{i}"))])
+    drawn = keys.where(F.pmod(F.xxhash64(*order), F.lit(max(1, n // KEY_SAMPLE))) == 0).limit(2 * KEY_SAMPLE)
+    sorted_keys = F.array_sort(F.collect_list(key))
+    cuts = drawn.agg(sorted_keys.alias("__all")).select(
+        F.filter(
+            F.transform(F.sequence(F.lit(1), F.lit(buckets)), lambda i: F.get("__all", F.floor(i * F.size("__all") / F.lit(buckets)).cast("int"))),
+            lambda c: c.isNotNull(),
+        ).alias("__cuts")
+    )
+    cuts = stage_table(cuts, "splitters")
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        steps = F.sequence(F.lit(buckets.bit_length()), F.lit(0), F.lit(-1))
+        ends = F.col("__ends")
+
+        # Binary search: how many cuts lie at or below the key.
+        def step(low: Column, bit: Column) -> Column:
+            up = low + F.pow(F.lit(2), bit).cast("int")
+            return F.when((up <= F.size(ends)) & (F.get(ends, up - 1) <= key), up).otherwise(low)
+
+        found = rows.withColumn("__ends", cuts.select("__cuts").scalar())
+        return found.withColumn("__bucket", F.aggregate(steps, F.lit(0), step)).drop("__ends")
+
+    counts = bucketed(keys).groupBy("__bucket").agg(F.count(F.lit(1)).alias("__rows"))
+    # One row per bucket.
+    before = Window.partitionBy(F.lit(1)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = stage_table(counts.select("__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__base")), "buckets")
+    inside = Window.partitionBy("__bucket").orderBy(*_sort_columns([], [(c, True) for c in order]))
+    ranked = bucketed(df).withColumn("__rank", F.row_number().over(inside) - 1)
+    placed = join_stats(ranked, bases, ["__bucket"])
+    return placed.select(*df.columns, (F.col("__base") + F.col("__rank")).alias(position), F.lit(n).cast("long").alias(size))
+
+
 def _join_carry(sliced: DataFrame, carry: DataFrame, group: Sequence[str]) -> DataFrame:
     keys = [*group, _SLICE]
     renamed = carry.select(
@@ -152,6 +204,47 @@ def value_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def tie_counts(df: DataFrame, group: Sequence[str], value: str, ascending: bool = True) -> DataFrame:
+    """Every row with ``n_before`` and ``n_equal``: rows of its group before its value in the order, and with its value.
+
+    Ranks are written where the rows lie: they are range-sorted by group and
+    value, told apart by a hash, so one value may take many ranges.  A range
+    counts its own ties; the first and last value of each range, with their
+    counts, travel with the carry, so ties that cross a border are counted
+    together.  No join on the value.  Null values come last, with null counts.
+    """
+    group = list(group)
+    spread = df.withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    sliced = range_slices(spread, group, [(value, ascending), ("__tie", True)]).drop("__tie")
+    v = F.col(value)
+    tie = Window.partitionBy(_SLICE, *group, value)
+    inside = sliced.withColumns({"__low": F.min(_SEQ).over(tie), "__ties": F.count(F.lit(1)).over(tie)})
+    here = F.struct(_SEQ, v.alias("v"), "__low", "__ties")
+    parts = inside.groupBy(*group, _SLICE).agg(
+        F.count(F.lit(1)).alias("__rows"), F.min(_SEQ).alias("__start"), F.min(here).alias("__a"), F.max(here).alias("__b")
+    )
+    by_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
+    upto = by_group.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range and group from here on: where each range starts, then where its border values start and how many there are.
+    bases = parts.withColumn("__shift", F.coalesce(F.sum("__rows").over(upto), F.lit(0)) - F.col("__start"))
+    edge = lambda name: F.struct(F.col(f"{name}.v").alias("v"), (F.col("__shift") + F.col(f"{name}.__low")).alias("at"), F.col(f"{name}.__ties").alias("n"))
+    alone = F.col("__a.v").eqNullSafe(F.col("__b.v"))
+    both = F.when(alone, F.array(edge("__a"))).otherwise(F.array(edge("__a"), edge("__b")))
+    edges = bases.select(*group, _SLICE, "__shift", F.explode(both).alias("__e")).select("*", "__e.*")
+    same = Window.partitionBy(*group, "v")
+    edges = edges.withColumns({"__from": F.min("at").over(same), "__all": F.sum("n").over(same)})
+    carry = edges.groupBy(*group, _SLICE).agg(
+        F.max("__shift").alias("__shift"), F.collect_list(F.struct("v", F.col("__from").alias("at"), F.col("__all").alias("n"))).alias("__edges")
+    )
+    joined = _join_carry(inside, carry, group)
+    border = F.get(F.filter("__edges", lambda e: e["v"].eqNullSafe(v)), F.lit(0))
+    counted = joined.withColumn("__border", border)
+    own = F.struct((F.col("__shift") + F.col("__low")).alias("at"), F.col("__ties").alias("n"))
+    found = F.coalesce(F.when(F.col("__border").isNotNull(), F.struct(F.col("__border.at").alias("at"), F.col("__border.n").alias("n"))), own)
+    out = counted.withColumn("__found", F.when(v.isNotNull(), found))
+    return out.select(*df.columns, F.col("__found.at").alias("n_before"), F.col("__found.n").alias("n_equal"))
+
+
 def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Attach one-row-per-key statistics; null keys match each other.
 

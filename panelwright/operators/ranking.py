@@ -12,8 +12,8 @@ from panelwright.operators.ordered import (
     exact_percentiles,
     first_per_key,
     join_stats,
+    tie_counts,
     top_per_group,
-    value_ranks,
     with_group_stats,
 )
 
@@ -74,10 +74,9 @@ def plan_score(
     """
     group = list(group)
     if all_ranks:
-        ranks = value_ranks(df, group, key).select(*group, key, (F.col("n_above") + 1).alias("__rank"))
         known = df.groupBy(*group).agg(F.count(key).alias("__known"))
-        out = join_stats(join_stats(df, ranks, [*group, key], "left"), known, group)
-        out = out.withColumn("__rank", F.coalesce("__rank", F.col("__known") + 1)).drop("__known")
+        out = join_stats(tie_counts(df, group, key, ascending=False), known, group)
+        out = out.withColumn("__rank", F.coalesce("n_before", "__known") + 1).drop("__known", "n_before", "n_equal")
     else:
         leading = _leading_rows(df.select(*group, key), group, key, k)
         out = join_stats(df, _top_value_ranks(leading, group, key, k), [*group, key], "left")
@@ -170,13 +169,10 @@ def rank_columns(
     long = df.select(*group, *ids, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [*group, *ids], columns, "__column", "__value"
     )
-    ranks = value_ranks(long, [*group, "__column"], "__value").select(
-        *group, "__column", "__value", (F.col("n_above") + F.col("n_equal")).alias("__rank")
-    )
-    hit = join_stats(long, ranks, [*group, "__column", "__value"])
-    wide = hit.groupBy(*group, *ids).agg(
-        *[F.max(F.when(F.col("__column") == c, F.col("__rank"))).alias(f"{c}_rank") for c in columns]
-    )
+    # The rank lies with its row; only the row's own columns meet again.
+    hit = tie_counts(long.where(F.col("__value").isNotNull()), [*group, "__column"], "__value", ascending=False)
+    rank = F.col("n_before") + F.col("n_equal")
+    wide = hit.groupBy(*group, *ids).agg(*[F.max(F.when(F.col("__column") == c, rank)).alias(f"{c}_rank") for c in columns])
     return join_stats(df, wide, [*group, *ids], "left")
 
 

@@ -1,6 +1,6 @@
 """Time-ordered splits and validation windows.
 
-Row positions come from a range sort over the whole table; fold membership is
+Row positions come from counts per range of the order keys; fold membership is
 arithmetic on the position, so no fold table is joined.
 """
 
@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.operators.asof import covered_days
-from panelwright.operators.ordered import positions
+from panelwright.operators.ordered import bucket_positions
 
 
 def _tagged(df: DataFrame, order: Sequence[str], roles) -> DataFrame:
-    placed = positions(df, [], [(c, True) for c in order], "__pos", "__n")
+    placed = bucket_positions(df, order, "__pos", "__n")
 
     def named(role: str, folds: Column) -> Column:
         return F.transform(folds, lambda f: F.struct(f.cast("long").alias("fold"), F.lit(role).alias("role")))

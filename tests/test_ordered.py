@@ -65,6 +65,50 @@ def test_value_ranks(frame, skewed):
         assert row.n_below == (mine < v).sum()
 
 
+@pytest.mark.parametrize("ascending", [True, False])
+def test_tie_counts(spark, frame, skewed, ascending, monkeypatch, request):
+    """Ties over many ranges, without a join on the value."""
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.shuffle.partitions", partitions))
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    plans, staged = [], ordered.stage_table
+    monkeypatch.setattr(ordered, "stage_table", lambda df, label: plans.append(df) or staged(df, label))
+    out = ordered.tie_counts(frame, ["g"], "v", ascending)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in [*plans, out]]
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert joins and all("__slice" in line for line in joins)
+    got = out.toPandas().sort_values("id")
+    spread = ordered.range_slices(frame.withColumn("t", F.xxhash64("id")), ["g"], [("v", ascending), ("t", True)])
+    assert spread.where("g = 0 AND v = 1.0").select("__slice").distinct().count() > 1
+    by = skewed.groupby("g").v
+    low, high = by.rank(method="min", ascending=ascending), by.rank(method="max", ascending=ascending)
+    assert np.allclose(got.n_before, low - 1, equal_nan=True)
+    assert np.allclose(got.n_equal, high - low + 1, equal_nan=True)
+
+
+def test_tie_counts_of_one_value(spark):
+    df = spark.range(500, numPartitions=4).withColumn("v", F.when(F.col("id") >= 10, F.lit(2.0)))
+    rows = ordered.tie_counts(df, [], "v").collect()
+    assert {(r["n_before"], r["n_equal"]) for r in rows if r["v"]} == {(0, 490)}
+    assert all(r["n_before"] is None and r["n_equal"] is None for r in rows if not r["v"])
+
+
+def test_bucket_positions_stage_keys_only(spark, frame, skewed, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 300)
+    seen, staged = [], ordered.stage_table
+    monkeypatch.setattr(ordered, "stage_table", lambda df, label: seen.append(df.columns) or staged(df, label))
+    df = frame.withColumn("payload", F.repeat(F.lit("x"), 50))
+    got = ordered.bucket_positions(df, ["v", "id"], "pos", "n")
+    assert got.columns == [*df.columns, "pos", "n"]
+    got = got.toPandas().sort_values("id")
+    order = skewed.sort_values(["v", "id"], na_position="last").id.to_numpy()
+    want = np.empty(len(order), int)
+    want[order] = np.arange(len(order))
+    assert (got["pos"].to_numpy() == want).all() and (got["n"] == len(skewed)).all()
+    assert not any("payload" in columns for columns in seen)
+    assert ordered.bucket_positions(df.limit(0), ["v", "id"], "pos", "n").count() == 0
+
+
 def test_running_sums(frame, skewed):
     got = ordered.running_sums(frame, ["g"], [("v", True), ("id", True)], {"run": "v"}).toPandas().sort_values("id")
     want = skewed.sort_values(["v", "id"]).copy()
