@@ -214,6 +214,9 @@ def _(t):
 _STATS = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
 
 
+_ALL = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
 @query(
     "a10_table_stats",
     "table:s n_rows:i n_columns:i has_bytes:i",
@@ -229,12 +232,45 @@ def _(t):
 
 @query(
     "a10_list_tables",
-    "table:s n_files:i",
-    """SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents',
-                      'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) AS "table", 1 AS n_files""",
+    "table:s n_files:i n_rows:i",
+    " UNION ALL ".join(f"SELECT '{n}' AS \"table\", 1 AS n_files, count(*) AS n_rows FROM {n}" for n in _ALL),
+)
+def _(t):
+    """The tables found under the folder, each with its rows."""
+    listed = tables.list_tables(t.spark, t.sf_dir)
+    names = [r["table"] for r in listed.select("table").collect()]
+    return listed.drop("n_bytes").join(tables.table_stats(t.spark, {n: t.path(n) for n in names}), "table")
+
+
+@query(
+    "a10_footer_stats",
+    "column:s n_rows:i lowest:s highest:s",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS n_rows, CAST(min({c}) AS VARCHAR) AS lowest, CAST(max({c}) AS VARCHAR) AS highest FROM orders"""
+        for c in ("o_orderkey", "o_custkey")
+    ),
 )
 def _(t):
-    return tables.list_tables(t.spark, t.sf_dir)
+    return tables.footer_stats(t.spark, t.path("orders"), ["o_orderkey", "o_custkey"])
+
+
+@query(
+    "a10_table_info",
+    "table:s position:i column:s type:s",
+    " UNION ALL ".join(
+        f"""SELECT '{n}' AS "table", row_number() OVER () - 1 AS position, column_name AS "column",
+            CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(column_type) END AS type
+            FROM (DESCRIBE {n})"""
+        for n in ("documents", "embeddings", "lineitem", "conversations")
+    ),
+)
+def _(t):
+    """Columns and types as the files have them."""
+    parts = [tables.table_info(t.spark, t.path(n)).withColumn("table", F.lit(n)) for n in ("documents", "embeddings", "lineitem", "conversations")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query(

@@ -265,6 +265,29 @@ _KS = ("p0", "pred0", "amount", "shifted")
 _KS_SQL = "(SELECT *, CASE WHEN cohort < 7992 THEN p1 ELSE p1 + 0.05 END AS shifted FROM fx_prediction)"
 
 
+_DRIFT_WINDOWS = {w: (7984 + 2 * w, 7988 + 2 * w) for w in range(1, 6)}
+
+
+@query(
+    "i9_drift_by_window",
+    "window:i feature:s n_ref:i n_new:i ks_statistic:f",
+    " UNION ALL ".join(
+        f"""SELECT {w} AS "window", '{c}' AS feature, nr AS n_ref, nn AS n_new, max(d) AS ks_statistic FROM (
+            SELECT *, abs(sum(r) OVER w / nr - sum(s) OVER w / nn) AS d FROM (
+              SELECT {c} AS v, sum((cohort < 7986)::INT) AS r, sum((cohort >= {a} AND cohort < {b})::INT) AS s FROM fx_prediction GROUP BY 1),
+              (SELECT count(*) FILTER (cohort < 7986) AS nr, count(*) FILTER (cohort >= {a} AND cohort < {b}) AS nn FROM fx_prediction)
+            WINDOW w AS (ORDER BY v)) WHERE nn > 0 GROUP BY nr, nn"""
+        for w, (a, b) in _DRIFT_WINDOWS.items()
+        for c in ("p0", "amount")
+    ),
+)
+def _(t):
+    """Overlapping windows against one reference in one sorted pass."""
+    cohort = F.col("cohort")
+    windows = {w: (cohort >= a) & (cohort < b) for w, (a, b) in _DRIFT_WINDOWS.items()}
+    return stats.ks_drift_by_window(t.prediction, cohort < 7986, windows, ["p0", "amount"])
+
+
 @query(
     "i9_ks_drift",
     "feature:s n_ref:i n_new:i ks_statistic:f p_value:f drifted:i",

@@ -95,22 +95,24 @@ def best_worst_period(periods: DataFrame, ret: str = "return", by: Sequence[str]
     return out.select(*by, "best", F.col("__b.d").alias("best_period"), "worst", F.col("__w.d").alias("worst_period"))
 
 
+# Days before a date within which its trade date is looked for.
+TOLERANCE = 10
+
+
 def benchmark_return(prices: DataFrame, symbols: DataFrame, start: Date, end: Date) -> DataFrame:
     """Buy-and-hold return (a fraction) between two trade dates; 0 when a price is missing.
 
     An end date without a trade date within the tolerance takes the last price date.
     """
-    spark = prices.sparkSession
-    ends = spark.range(2).select(F.when(F.col("id") == 0, F.lit(start)).otherwise(F.lit(end)).alias("as_of"))
-    days = trading_days(prices)
-    found = trade_dates(ends, days)
-    first = found.where(F.col("as_of") == F.lit(start)).agg(F.max("trade_date")).scalar()
-    last = F.coalesce(
-        found.where(F.col("as_of") == F.lit(end)).agg(F.max("trade_date")).scalar(), days.agg(F.max("date")).scalar()
-    )
-    two = prices.where((F.col("date") == first) | (F.col("date") == last)).groupBy("symbol").agg(
-        F.max(F.when(F.col("date") == first, F.col("close"))).alias("start_price"),
-        F.max(F.when(F.col("date") == last, F.col("close"))).alias("end_price"),
+    # Only the days within the tolerance of either end are scanned; two dates come back.
+    near = lambda d: F.col("date").between(F.date_sub(F.lit(d), TOLERANCE), F.lit(d))
+    last_before = lambda d: F.max(F.when(near(d), F.col("date")))
+    first, last = prices.where(near(start) | near(end)).agg(last_before(start).alias("a"), last_before(end).alias("b")).first()
+    if last is None:
+        last = prices.agg(F.max("date")).first()[0]
+    two = prices.where(F.col("date").isin([d for d in {first, last} if d is not None])).groupBy("symbol").agg(
+        F.max(F.when(F.col("date") == F.lit(first), F.col("close"))).alias("start_price"),
+        F.max(F.when(F.col("date") == F.lit(last), F.col("close"))).alias("end_price"),
     )
     ret = F.try_divide(F.col("end_price") - F.col("start_price"), F.col("start_price"))
     return symbols.select("symbol").distinct().join(two, "symbol", "left").withColumn(

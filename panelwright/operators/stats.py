@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -291,23 +291,44 @@ def metric_summary(metrics: DataFrame, window: int = 10, limit: float = 0.1, by:
 
 
 def ks_drift(reference: DataFrame, new: DataFrame, columns: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p per feature; drifted when p < alpha.
+    """Two-sample Kolmogorov-Smirnov statistic and asymptotic p per feature; drifted when p < alpha."""
+    part = lambda df, flag: df.select(*columns, F.lit(flag).alias("__reference"))
+    both = part(reference, True).unionByName(part(new, False))
+    out = ks_drift_by_window(both, F.col("__reference"), {0: ~F.col("__reference")}, columns, alpha)
+    return out.drop("window")
 
-    Equal values are counted before the sort; the two distribution functions are
-    running sums over range slices, so no feature is gathered in one task.
+
+def ks_drift_by_window(
+    df: DataFrame, reference: Column, windows: Mapping[int, Column], columns: Sequence[str], alpha: float = 0.05
+) -> DataFrame:
+    """I9 for many samples against one: ``window, feature, n_ref, n_new, ks_statistic, p_value, drifted``.
+
+    ``reference`` and ``windows`` are conditions on the rows, which may overlap.
+    Equal values are counted before the sort, once for all samples; one range
+    sort per call carries a running count of every sample, so the reference is
+    neither copied nor sorted again for a window, and no feature is gathered in
+    one task.  Samples without a value of a feature give no row.
     """
-    columns = list(columns)
-    side = lambda df, flag: df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "feature", "value"
-    ).withColumn("__ref", F.lit(flag))
-    both = side(reference, 1).unionByName(side(new, 0)).where(F.col("value").isNotNull())
-    counts = both.groupBy("feature", "value").agg(
-        F.sum("__ref").alias("__r"), F.sum(1 - F.col("__ref")).alias("__s")
-    )
-    run = running_sums(counts, ["feature"], [("value", True)], {"__cr": "__r", "__cs": "__s"})
-    totals = run.groupBy("feature").agg(F.max("__cr").alias("n_ref"), F.max("__cs").alias("n_new"))
-    gap = F.abs(F.col("__cr") / F.col("n_ref") - F.col("__cs") / F.col("n_new"))
-    stat = run.join(totals, "feature").groupBy("feature", "n_ref", "n_new").agg(F.max(gap).alias("ks_statistic"))
+    columns, names = list(columns), list(windows)
+    counted = {"__ref": reference, **{f"__w{i}": windows[n] for i, n in enumerate(names)}}
+    flags = [F.coalesce(c, F.lit(False)).cast("int").alias(f) for f, c in counted.items()]
+    # Feature names may hold dots, which unpivot would read as field access.
+    plain = [f"__c{i}" for i in range(len(columns))]
+    values = [F.col(f"`{c}`").cast("double").alias(p) for c, p in zip(columns, plain, strict=True)]
+    wide = df.select(*values, *flags).where(F.greatest(*[F.col(f) for f in counted], F.lit(0)) > 0)
+    long = wide.unpivot(list(counted), plain, "__feature", "value").where(F.col("value").isNotNull())
+    counts = long.groupBy("__feature", "value").agg(*[F.sum(f).alias(f) for f in counted])
+    run = running_sums(counts, ["__feature"], [("value", True)], {f"__s{f}": f for f in counted})
+    totals = run.groupBy("__feature").agg(*[F.max(f"__s{f}").alias(f"__n{f}") for f in counted])
+    share = lambda f: F.try_divide(f"__s{f}", f"__n{f}")
+    gaps = [F.max(F.abs(share("__ref") - share(f))).alias(f"__g{f}") for f in list(counted)[1:]]
+    found = join_stats(run, totals, ["__feature"]).groupBy("__feature", *[f"__n{f}" for f in counted]).agg(*gaps)
+    # One row per feature from here on.
+    each = F.array(*[F.struct(F.lit(n).alias("window"), F.col(f"__n__w{i}").alias("n_new"), F.col(f"__g__w{i}").alias("ks_statistic")) for i, n in enumerate(names)])
+    table = F.array(*[F.lit(c) for c in columns])
+    stat = found.select(
+        F.get(table, F.substring("__feature", 4, 12).cast("int")).alias("feature"), F.col("__n__ref").alias("n_ref"), F.inline(each)
+    ).where((F.col("n_ref") > 0) & (F.col("n_new") > 0))
     lam = F.sqrt(F.col("n_ref") * F.col("n_new") / (F.col("n_ref") + F.col("n_new"))) * F.col("ks_statistic")
     terms = F.aggregate(
         F.sequence(F.lit(1), F.lit(100)),
@@ -315,7 +336,8 @@ def ks_drift(reference: DataFrame, new: DataFrame, columns: Sequence[str], alpha
         lambda a, k: a + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * F.col("__lam") * F.col("__lam")),
     )
     p = F.when(F.col("__lam") < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), terms)))
-    return stat.withColumn("__lam", lam).withColumn("p_value", p).withColumn("drifted", F.col("p_value") < alpha).drop("__lam")
+    tested = stat.withColumn("__lam", lam).withColumn("p_value", p).withColumn("drifted", F.col("p_value") < alpha)
+    return tested.select("window", "feature", "n_ref", "n_new", "ks_statistic", "p_value", "drifted")
 
 
 def classification_metrics(

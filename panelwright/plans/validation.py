@@ -113,12 +113,9 @@ def robust_walk_forward(
             parts.append(summary.select(F.lit(w["window"]).alias("window"), "*"))
         cv = reduce(DataFrame.unionByName, parts) if parts else None
     if monitor and len(bounds) > 1:
-        first = _slice(clean, date, bounds[0].test_start, bounds[0].test_end)
-        checks = [
-            stats.ks_drift(first, _slice(clean, date, w.test_start, w.test_end), chosen).select(F.lit(w["window"]).alias("window"), "*")
-            for w in bounds[1:]
-        ]
-        drift = reduce(DataFrame.unionByName, checks)
+        held = {w["window"]: (F.col(date) >= F.lit(w.test_start)) & (F.col(date) < F.lit(w.test_end)) for w in bounds}
+        reference = held.pop(bounds[0]["window"])
+        drift = stats.ks_drift_by_window(clean, reference, held, chosen)
     history = results.select(F.col("test_start").alias("period"), "metric", "value")
     return RobustResult(
         chosen,

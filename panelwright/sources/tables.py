@@ -103,6 +103,23 @@ def table_stats(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def footer_stats(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """A10: ``column, n_rows, lowest, highest`` of numeric and date columns from the file footers alone.
+
+    Count, minimum and maximum are pushed into the scan, which then reads no
+    page.  That is a matter of planning, so it has a session of its own.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    table = own.read.parquet(path)
+    ends = [f(F.col(f"`{c}`")) for c in columns for f in (F.min, F.max)]
+    n, *found = table.agg(F.count(F.lit(1)), *ends).first()
+    text = [None if v is None else str(v) for v in found]
+    rows = [(c, n, text[2 * i], text[2 * i + 1]) for i, c in enumerate(columns)]
+    return spark.createDataFrame(rows, "column string, n_rows long, lowest string, highest string")
+
+
 def table_info(spark: SparkSession, path: str) -> DataFrame:
     """A10: column names, types and nullability of one table."""
     fields = spark.read.parquet(path).schema.fields

@@ -1,9 +1,12 @@
 """Physical plans: what must not appear, and what must reach the scan."""
 
+from datetime import date
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from panelwright.operators import asof, ordered, quality
+from panelwright.operators import asof, ordered, portfolio, quality, stats
 from panelwright.sources import tables as stored
 
 QUERIES = entry.queries()
@@ -89,3 +92,36 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.checkpoint_dir(Session())
+
+
+def test_footer_statistics_read_no_page(spark, sf_dir, monkeypatch):
+    """Count, minimum and maximum are the scan's own."""
+    seen = []
+    kind = type(spark.range(1))
+    first = kind.first
+    monkeypatch.setattr(kind, "first", lambda df: seen.append(physical(df)) or first(df))
+    rows = stored.footer_stats(spark, f"{sf_dir}/orders.parquet", ["o_orderkey"]).collect()
+    assert rows[0]["n_rows"] == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert any("PushedAggregation: [COUNT(*), MIN(o_orderkey), MAX(o_orderkey)]" in plan for plan in seen)
+
+
+def test_drift_of_all_windows_is_one_sort(tables, monkeypatch):
+    """The number of range sorts and of rows sorted does not depend on the number of windows."""
+    sorts, staged = [], ordered.stage_table
+    monkeypatch.setattr(ordered, "stage_table", lambda df, label: sorts.append(df) or staged(df, label))
+    cohort = F.col("cohort")
+    counts = []
+    for n in (1, 6):
+        sorts.clear()
+        stats.ks_drift_by_window(tables.prediction, cohort < 7986, {w: cohort >= 7984 + w for w in range(n)}, ["p0"]).collect()
+        counts.append((len(sorts), sorts[0].count()))
+    assert counts[0][0] == counts[1][0] == 1 and counts[0][1] == counts[1][1]
+
+
+def test_benchmark_scans_days_near_the_ends_only(tables, monkeypatch):
+    plans = []
+    kind = type(tables.price)
+    first = kind.first
+    monkeypatch.setattr(kind, "first", lambda df: plans.append(physical(df)) or first(df))
+    portfolio.benchmark_return(tables.price, tables.symbol, date(1999, 1, 1), date(2000, 6, 1)).collect()
+    assert len(plans) == 1 and "1998-12-22" in plans[0] or "10583" in plans[0]
