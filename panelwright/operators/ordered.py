@@ -278,38 +278,61 @@ SKETCH_ACCURACY = 10_000
 BRACKET_ERRORS = 5
 
 
-def _brackets(values: DataFrame, group: Sequence[str], targets: Sequence[Column], fractions: Sequence[float]) -> DataFrame:
-    """Per group its size, the value bounds around each fraction, and whether they had to be opened.
+def _brackets(values: DataFrame, group: Sequence[str], fractions: Sequence[float]) -> DataFrame:
+    """Per group its size ``__n`` and value bounds around each fraction, drawn from a mergeable sketch.
 
-    The rows below and up to the bounds are counted.  A group with a target
-    outside all of its brackets has them opened, so all its values are sorted:
-    small groups, whose positions lie between two ranks of the sketch, and any
-    group in which the sketch was off.  Staged, as sketches vary with merge order.
+    A bound of null is open.  Groups whose positions may lie between two ranks
+    of the sketch have open brackets, so all their values are kept: they hold
+    at most ``SKETCH_ACCURACY`` rows.  Staged, as sketches vary with merge order.
     """
     width = BRACKET_ERRORS / SKETCH_ACCURACY
     low = [max(p - width, 0.0) for p in fractions]
     high = [min(p + width, 1.0) for p in fractions]
     quantiles = F.percentile_approx("__v", low + high, SKETCH_ACCURACY)
     sketch = values.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), quantiles.alias("__q"))
-    names, bounds = [], []
+    wide, out = F.col("__n") > SKETCH_ACCURACY, []
     for j, (a, b) in enumerate(zip(low, high, strict=True)):
         # An open side stands for the end of the group.
-        names += [f"__lo{j}", f"__hi{j}"]
-        bounds += [F.when(F.lit(a > 0), F.col("__q")[j]), F.when(F.lit(b < 1), F.col("__q")[len(low) + j])]
-    drawn = stage_table(sketch.select(*group, "__n", *[c.alias(n) for n, c in zip(names, bounds, strict=True)]), "brackets")
+        out += [F.when(wide & F.lit(a > 0), F.col("__q")[j]).alias(f"__lo{j}")]
+        out += [F.when(wide & F.lit(b < 1), F.col("__q")[len(low) + j]).alias(f"__hi{j}")]
+    return stage_table(sketch.select(*group, "__n", *out), "brackets")
+
+
+def _placed(values: DataFrame, info: DataFrame, group: Sequence[str], brackets: int) -> DataFrame:
+    """One pass over the values: ``(group, __v, __c)`` inside a bracket, and one row per group (null ``__v``) for all others.
+
+    ``__o{j}`` counts the others below bracket ``j``.
+    """
     v = F.col("__v")
-    counts = join_stats(values, drawn, group).groupBy(*group).agg(
-        *[F.count_if(v < F.col(f"__lo{j}")).alias(f"__under{j}") for j in range(len(low))],
-        *[F.count_if(F.col(f"__hi{j}").isNull() | (v <= F.col(f"__hi{j}"))).alias(f"__upto{j}") for j in range(len(low))],
+    above = [F.col(f"__lo{j}").isNull() | (v >= F.col(f"__lo{j}")) for j in range(brackets)]
+    below = [F.col(f"__hi{j}").isNull() | (v <= F.col(f"__hi{j}")) for j in range(brackets)]
+    inside = F.lit(False)
+    for a, b in zip(above, below, strict=True):
+        inside = inside | (a & b)
+    kept = join_stats(values, info, group).select("*", inside.alias("__in"))
+    return kept.groupBy(*group, F.when(F.col("__in"), v).alias("__v")).agg(
+        F.count(F.lit(1)).alias("__c"),
+        *[F.count_if(~F.col("__in") & ~a).alias(f"__o{j}") for j, a in enumerate(above)],
     )
+
+
+def _missed(counts: DataFrame, info: DataFrame, group: Sequence[str], targets: Sequence[Column], brackets: int) -> DataFrame:
+    """The groups with a target outside all of their brackets, found from what was placed."""
+    v, c = F.col("__v"), F.col("__c")
+    sums = []
+    for j in range(brackets):
+        skipped, lo, hi = F.sum(f"__o{j}"), F.col(f"__lo{j}"), F.col(f"__hi{j}")
+        sums.append((skipped + F.sum(F.when(v < lo, c).otherwise(0))).alias(f"__under{j}"))
+        # What lies up to a bracket's end is below the bracket or inside one.
+        sums.append((skipped + F.sum(F.when(v.isNotNull() & (hi.isNull() | (v <= hi)), c).otherwise(0))).alias(f"__upto{j}"))
+    checked = join_stats(counts, info, group).groupBy(*group, "__n").agg(*sums)
     missed = F.lit(False)
     for at in targets:
         held = F.lit(False)
-        for j in range(len(low)):
+        for j in range(brackets):
             held = held | ((at >= F.col(f"__under{j}")) & (at < F.col(f"__upto{j}")))
         missed = missed | ((at >= 0) & (at < F.col("__n")) & ~held)
-    checked = join_stats(drawn, counts, group).withColumn("__open", missed)
-    return stage_table(checked.select(*group, "__n", "__open", *[F.when(~F.col("__open"), F.col(n)).alias(n) for n in names]), "brackets")
+    return checked.where(missed).select(*group, F.lit(True).alias("__missed"))
 
 
 def order_statistics(
@@ -319,28 +342,32 @@ def order_statistics(
 
     A target is an expression of ``__n``; a position outside the group gives
     null.  Nulls are left out.  ``fractions`` says where in a group the targets
-    lie.  Groups of every size are first narrowed to the values around them by
-    a quantile sketch, whose counts below keep positions exact, so a fraction of
-    a percent of a large group is sorted; where a bracket misses a target, the
-    whole group is.  Of its sorted ranges only those that hold a target are looked into.
+    lie.  The rows are read twice: once for a quantile sketch that brackets the
+    wanted positions, once to count the values inside the brackets and those
+    before them, which keeps positions exact.  The counts show whether a
+    bracket missed its target; such a group is read again with open brackets.
+    Of the sorted ranges only those that hold a target are looked into.
     """
+    group = list(group)
     values = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("__v"))
     fractions = sorted(set(fractions))
-    info = _brackets(values, group, list(targets.values()), fractions)
+    n_brackets = len(fractions)
+    info = _brackets(values, group, fractions)
+    counts = stage_table(_placed(values, info, group, n_brackets), "placed")
+    missed = stage_table(_missed(counts, info, group, list(targets.values()), n_brackets), "missed")
+    if not missed.isEmpty():
+        bounds = [c for c in info.columns if c.startswith(("__lo", "__hi"))]
+        if group:
+            marked = join_stats(info, missed, group, "left")
+            again = join_stats(values, missed, group).drop("__missed")
+            counts = join_stats(counts, missed, group, "left").where(F.col("__missed").isNull()).drop("__missed")
+        else:
+            marked, again, counts = info.withColumn("__missed", F.lit(True)), values, counts.limit(0)
+        info = stage_table(marked.select(*group, "__n", *[F.when(F.col("__missed").isNull(), F.col(c)).alias(c) for c in bounds]), "brackets")
+        counts = counts.unionByName(_placed(again, info, group, n_brackets))
     v = F.col("__v")
-    above = [F.col(f"__lo{j}").isNull() | (v >= F.col(f"__lo{j}")) for j in range(len(fractions))]
-    below = [F.col(f"__hi{j}").isNull() | (v <= F.col(f"__hi{j}")) for j in range(len(fractions))]
-    inside = F.lit(False)
-    for a, b in zip(above, below, strict=True):
-        inside = inside | (a & b)
-    # One pass: values inside a bracket are counted each, all others fall into one row per group.
-    placed = join_stats(values, info, group).select("*", inside.alias("__in"))
-    counts = placed.groupBy(*group, F.when(F.col("__in"), v).alias("__v")).agg(
-        F.count(F.lit(1)).alias("__c"),
-        *[F.count_if(~F.col("__in") & ~a).alias(f"__o{j}") for j, a in enumerate(above)],
-    )
     ranges = range_slices(counts, group, [("__v", True)])
-    skips = [f"__o{j}" for j in range(len(fractions))]
+    skips = [f"__o{j}" for j in range(n_brackets)]
     left_out = ranges.where(F.col("__v").isNull()).select(*group, *skips)
     if not group:
         left_out = left_out.agg(*[F.max(c).alias(c) for c in skips])
@@ -353,7 +380,10 @@ def order_statistics(
         *group, _SLICE, F.coalesce(F.sum("__rows").over(upto), F.lit(0)).alias("__base"), "__rows"
     )
     carry = join_stats(carry, known, group)
-    needed = ~F.col("__open")
+    # With brackets that are not open a range may hold a target anywhere in what was left out before it.
+    needed = F.lit(False)
+    for j in range(n_brackets):
+        needed = needed | F.col(f"__lo{j}").isNotNull() | F.col(f"__hi{j}").isNotNull()
     for at in targets.values():
         needed = needed | ((at >= F.col("__base")) & (at < F.col("__base") + F.col("__rows")))
     hit = _join_carry(sliced, carry.where(needed).drop("__rows"), group)
@@ -364,8 +394,8 @@ def order_statistics(
     )
     # Rows left out below a value: those below the last bracket that starts at or under it.
     skipped = F.lit(0)
-    for j in range(len(fractions)):
-        skipped = F.when(above[j], F.col(f"__o{j}")).otherwise(skipped)
+    for j in range(n_brackets):
+        skipped = F.when(F.col(f"__lo{j}").isNull() | (v >= F.col(f"__lo{j}")), F.col(f"__o{j}")).otherwise(skipped)
     end = F.col("__base") + F.sum("__c").over(local) + skipped
     located = hit.withColumn("__end", end)
     picks = [

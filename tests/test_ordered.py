@@ -136,12 +136,21 @@ def test_sketch_brackets_keep_positions_exact(frame, skewed, monkeypatch, accura
     assert np.allclose(list(whole), flat)
 
 
-def test_missed_brackets_are_opened(frame, monkeypatch):
-    values = frame.where("v is not null").select("g", F.col("v").alias("__v"))
-    middle = [F.floor(0.5 * (F.col("__n") - 1)), F.ceil(0.5 * (F.col("__n") - 1))]
-    assert not ordered._brackets(values, [], middle, [0.5]).head()["__open"]
-    wrong = ordered._brackets(values, [], middle, [0.01]).head()
-    assert wrong["__open"] and wrong["__lo0"] is None and wrong["__hi0"] is None
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_missed_brackets_are_opened(frame, skewed, monkeypatch, group):
+    """Brackets drawn around the wrong fraction: the counts show it, and only those groups are read again."""
+    monkeypatch.setattr(ordered, "SKETCH_ACCURACY", 100)
+    monkeypatch.setattr(ordered, "BRACKET_ERRORS", 1)
+    labels, staged = [], ordered.stage_table
+    monkeypatch.setattr(ordered, "stage_table", lambda df, label: labels.append(label) or staged(df, label))
+    middle = {"mid": F.floor(F.col("__n") / 2)}
+    for fraction, reads in ((0.5, 1), (0.01, 2)):
+        labels.clear()
+        rows = ordered.order_statistics(frame.withColumn("w", F.col("id") * 1.0), group, "w", middle, [fraction]).collect()
+        assert labels.count("brackets") == reads
+        for r in rows:
+            own = np.sort(skewed.id[skewed.g == r["g"]] if group else skewed.id)
+            assert r["mid"] == own[len(own) // 2]
 
 
 def test_percentiles_of_one_group_of_many_rows(spark, duck):
