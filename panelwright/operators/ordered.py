@@ -354,8 +354,9 @@ def order_statistics(
     n_brackets = len(fractions)
     info = _brackets(values, group, fractions)
     counts = stage_table(_placed(values, info, group, n_brackets), "placed")
-    missed = stage_table(_missed(counts, info, group, list(targets.values()), n_brackets), "missed")
+    missed = _missed(counts, info, group, list(targets.values()), n_brackets)
     if not missed.isEmpty():
+        missed = stage_table(missed, "missed")
         bounds = [c for c in info.columns if c.startswith(("__lo", "__hi"))]
         if group:
             marked = join_stats(info, missed, group, "left")
