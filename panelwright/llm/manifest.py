@@ -255,7 +255,8 @@ def leaves(docs: DataFrame) -> DataFrame:
 
 def build(docs: DataFrame) -> Manifest:
     """Logs of all trees; texts are read once and not shuffled, only their digests are."""
-    rows = leaves(docs).withColumn("known", F.col("doc_id").isNotNull())
+    # Written before they are sorted, as the range sort reads its input twice.
+    rows = written(leaves(docs), "manifest-digests").withColumn("known", F.col("doc_id").isNotNull())
     numbered = written(positions(rows, ["lang"], [("known", True), ("doc_id", True), ("leaf", True)], "idx", "n"), "manifest-leaves")
     langs = numbered.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("known", F.col("lang").isNotNull())
     trees = written(positions(langs, [], [("known", True), ("lang", True)], "tree", "n_trees").select("lang", "tree", "n_trees"), "manifest-trees")
