@@ -157,6 +157,39 @@ def _(t):
     return jobs.cross_validate(rows_of(t), ["likely"], "up", _tree(), ["date", "id"], 3)[0]
 
 
+def _watched(t, family, label):
+    """Default families on the older cohorts, watched on the newest fifth of them."""
+    train, _ = _parts(t)
+    grown = jobs.train_watched(train, _ORDINARY, label, ["date", "id"], family)
+    losses = F.col("losses")
+    # Growing stops at the first round that does not lower the loss on the watched rows.
+    falling = F.forall(F.sequence(F.lit(1), F.size(losses)), lambda i: (i == 1) | (F.get(losses, i - 1) < F.get(losses, i - 2)))
+    return grown.report.select(
+        "member", "asked", "n_grown", "n_watched", (F.col("kept") <= F.col("asked")).alias("not_longer"), falling.alias("falling"),
+        (F.size(losses) == F.when(F.col("n_watched") > 0, F.col("kept")).otherwise(0)).alias("watched_each"),
+    )
+
+
+def _watched_sql(boosted: int, forests: int) -> str:
+    late = f"(SELECT count(*) AS n, CAST(floor(count(*) * 0.2) AS BIGINT) AS late FROM {_ROWS} WHERE cohort < {_SPLIT})"
+    return f"""SELECT member, 100 AS asked, CASE WHEN member < {boosted} THEN n - late ELSE n END AS n_grown, CASE WHEN member < {boosted} THEN late ELSE 0 END AS n_watched,
+          1 AS not_longer, 1 AS falling, 1 AS watched_each FROM {late}, range(0, {boosted + forests}) m(member)"""
+
+
+_ORDINARY = ["p0", "p1", "p2", "p3", "amount"]
+_WATCHED_COLUMNS = "member:i asked:i n_grown:i n_watched:i not_longer:i falling:i watched_each:i"
+
+
+@query("j1_watched_family", _WATCHED_COLUMNS, _watched_sql(3, 1))
+def _(t):
+    return _watched(t, jobs.classifier_family(), "up")
+
+
+@query("j2_watched_family", _WATCHED_COLUMNS, _watched_sql(2, 0))
+def _(t):
+    return _watched(t, jobs.regressor_family(), "move")
+
+
 def _spread(keys: str) -> str:
     """Sum of squares between the cells of ``keys``."""
     return f"(SELECT sum(n * m * m) - sum(n) * pow(sum(n * m) / sum(n), 2) FROM (SELECT count(*) AS n, avg(move) AS m FROM {_ROWS} GROUP BY {keys}))"
@@ -219,6 +252,26 @@ def _(t):
     ).results
 
 
+_FOLDED = f"""(SELECT *, row_number() OVER (PARTITION BY "window" ORDER BY date, id) - 1 AS pos, count(*) OVER (PARTITION BY "window") AS n FROM (
+    SELECT i + 1 AS "window", CAST(DATE '1995-01-01' + to_months(CAST(18 * i AS INTEGER)) AS DATE) AS train_start,
+      CAST(DATE '1995-01-01' + to_months(CAST(18 * i + 24 AS INTEGER)) AS DATE) AS train_end, CAST(DATE '1995-01-01' + to_months(CAST(18 * i + 30 AS INTEGER)) AS DATE) AS test_end
+    FROM range(0, 50) r(i)) JOIN {_ROWS} ON date >= train_start AND date < train_end WHERE test_end <= DATE '2001-07-01')"""
+
+
+@query(
+    "h7_robust_cross_validation",
+    "window:i metric:s mean:f std:f",
+    f"""SELECT "window", metric, avg(value) AS mean, stddev_pop(value) AS std FROM (
+          SELECT "window", fold, {_METRICS_SQL} FROM {_FOLDED} JOIN range(1, 4) f(fold) ON pos >= n - (4 - fold) * (n // 4) AND pos < n - (3 - fold) * (n // 4)
+          JOIN (SELECT "window", fold, likely, avg(up) >= 0.5 AS hit FROM {_FOLDED} JOIN range(1, 4) f(fold) ON pos < n - (4 - fold) * (n // 4) GROUP BY ALL)
+          USING ("window", fold, likely) GROUP BY "window", fold) GROUP BY "window", metric""",
+)
+def _(t):
+    return validation.robust_walk_forward(
+        rows_of(t), ["likely"], "up", _tree(), Date(1995, 1, 1), Date(2001, 7, 1), 24, 6, 18, selection=None, monitor=False, use_cv=True
+    ).cross_validation
+
+
 # Sparse and constant features are pruned, and one tree of each kind on the rest is left for SQL to state.
 _PANEL = ["likely %", "flat0", "gappy"]
 _SCORED_SQL = f"""(SELECT r.* EXCLUDE (p0, p1, p2, p3, pred0, pred1), a.p AS p0, b.p AS p1, a.p AS p2, b.p AS p3, a.m AS pred0, b.m AS pred1 FROM {_ROWS} r

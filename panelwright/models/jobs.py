@@ -12,8 +12,10 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.operators import quality, splits, stats
-from panelwright.session import checkpoint_dir
+from panelwright.session import checkpoint_dir, stage_table
 
 SEED = 42
 # The depths of the classifier and regressor families.
@@ -33,6 +35,10 @@ CLASSIFIER_DEPTHS = (8, 9, 10)
 REGRESSOR_DEPTHS = (8, 10)
 # Ranges of the parameter search.
 SEARCH_SPACE = {"maxDepth": (6, 12), "stepSize": (0.01, 0.3), "maxIter": (500, 2000), "subsamplingRate": (0.6, 1.0)}
+# Independent fits that run side by side.
+PARALLEL_FITS = 4
+# Share of the rows, the newest, on which boosted models are watched while they grow.
+WATCHED_SHARE = 0.2
 
 
 def _vector(features: Sequence[str], impute: bool) -> list:
@@ -55,6 +61,73 @@ def _numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
+def concurrently(spark: SparkSession, tasks: Sequence[Callable[[], Any]], parallelism: int = PARALLEL_FITS) -> list:
+    """Results of independent Spark jobs, in order, at most ``parallelism`` at a time.
+
+    Each worker names a scheduler pool of its own, so that with
+    ``spark.scheduler.mode=FAIR`` a long fit does not hold back the others.
+    """
+    if len(tasks) < 2 or parallelism < 2:
+        return [task() for task in tasks]
+
+    def run(i: int) -> Any:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fits-{i % parallelism}")
+        return tasks[i]()
+
+    pool = ThreadPool(min(parallelism, len(tasks)))
+    try:
+        return pool.map(inheritable_thread_target(spark)(run), range(len(tasks)), chunksize=1)
+    finally:
+        pool.close()
+
+
+@dataclass(frozen=True)
+class Vectors:
+    """Feature vectors written once, read by any number of fits."""
+
+    rows: DataFrame
+    label: str
+    stages: tuple
+
+    def fit(self, estimator: Any, where: Column | None = None) -> PipelineModel:
+        """Fit on the rows of a condition; the result takes rows with plain columns, like that of ``fit``."""
+        rows = self.rows if where is None else self.rows.where(where)
+        own = estimator.copy().setFeaturesCol("__features").setLabelCol(self.label)
+        return PipelineModel([*self.stages, own.fit(rows)])
+
+    def score(self, models: Sequence[PipelineModel], names: Sequence[str], where: Column | None = None) -> DataFrame:
+        """The staged rows with each model's output, without going through the plain columns again."""
+        out = self.rows if where is None else self.rows.where(where)
+        for model, name in zip(models, names, strict=True):
+            last = model.stages[-1]
+            made = [last.getPredictionCol()]
+            value = F.col(last.getPredictionCol())
+            if last.hasParam("probabilityCol"):
+                value = vector_to_array(F.col(last.getProbabilityCol()))[1]
+                made += [last.getProbabilityCol(), last.getRawPredictionCol()]
+            out = last.transform(out).withColumn(name, value).drop(*made)
+        return out.drop("__features")
+
+
+def stage_vectors(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = (), impute: bool = False) -> Vectors:
+    """Turn the rows with a label (and, without imputing, with all features) into vectors, in one written table.
+
+    ``keep`` names columns that stay beside label and vector, such as a fold.
+    """
+    checkpoint_dir(df.sparkSession)
+    rows = df.where(F.col(label).isNotNull()) if impute else quality.complete_cases(df, [*features, label])
+    beside = [c for c in dict.fromkeys(keep) if c != label]
+    named = {c: f"__x{i}" for i, c in enumerate(features)}
+    plain = _numeric(rows.select(*features, label), [*features, label]) if impute else None
+    ready = Pipeline(stages=_vector(features, impute)).fit(plain) if impute else PipelineModel(_vector(features, impute))
+    # Features are read as numbers; a kept column of the same name stays as it is.
+    kept = {c: f"__k{i}" for i, c in enumerate(beside)}
+    wide = rows.select(*[F.col(c).alias(k) for c, k in kept.items()], F.col(label).cast("double").alias("__label"), *[F.col(c).cast("double").alias(x) for c, x in named.items()])
+    wide = wide.withColumnsRenamed({x: c for c, x in named.items()})
+    made = ready.transform(wide).select(*[F.col(k).alias(c) for c, k in kept.items()], F.col("__label").alias(label), "__features")
+    return Vectors(stage_table(made, "vectors"), label, tuple(ready.stages))
+
+
 def fit(df: DataFrame, features: Sequence[str], estimator: Any, label: str, impute: bool = False) -> PipelineModel:
     """Fit on the rows with a label (and, without imputing, with all features)."""
     checkpoint_dir(df.sparkSession)
@@ -108,6 +181,49 @@ def train_regressors(df: DataFrame, features: Sequence[str], label: str, family:
     return [fit(df, features, e, label, impute=True) for e in (family or regressor_family())]
 
 
+@dataclass(frozen=True)
+class Watched:
+    """A boosted family that stopped growing on the newest rows, and how each member got there."""
+
+    models: list[PipelineModel]
+    report: DataFrame
+
+
+def train_watched(
+    df: DataFrame, features: Sequence[str], label: str, order: Sequence[str], family: Sequence[Any] | None = None, share: float = WATCHED_SHARE, impute: bool = True
+) -> Watched:
+    """Grow each boosted member on the older rows until its loss on the newest ``share`` no longer falls.
+
+    A member without rounds, such as a forest, grows on all rows.  Missing
+    features take the median of all rows.  The vectors are written once with
+    the flag, and the members grow side by side.  The report has a row per
+    member: trees asked for and kept, rows grown and watched on, and the loss
+    on the watched rows after each kept tree.
+    """
+    rows = df.where(F.col(label).isNotNull()) if impute else quality.complete_cases(df, [*features, label])
+    vectors = stage_vectors(splits.time_holdout(rows, order, share, "__late"), features, label, ["__late"], impute)
+    late = F.col("__late")
+    n_rows, n_late = vectors.rows.agg(F.count(F.lit(1)), F.count_if(late)).first()
+
+    def grow(estimator: Any) -> tuple[PipelineModel, tuple]:
+        if not estimator.hasParam("validationIndicatorCol"):
+            model = vectors.fit(estimator)
+            trees = model.stages[-1].getNumTrees if hasattr(model.stages[-1], "getNumTrees") else 1
+            return model, (trees, trees, n_rows, 0, [])
+        model = vectors.fit(estimator.copy().setValidationIndicatorCol("__late") if n_late else estimator)
+        last, watched = model.stages[-1], vectors.rows.where(late)
+        losses = []
+        if n_late:
+            losses = last.evaluateEachIteration(watched) if last.hasParam("probabilityCol") else last.evaluateEachIteration(watched, "squared")
+        return model, (estimator.getMaxIter(), last.getNumTrees, n_rows - n_late, n_late, [float(v) for v in losses])
+
+    grown = concurrently(df.sparkSession, [lambda e=e: grow(e) for e in (family or classifier_family())])
+    report = df.sparkSession.createDataFrame(
+        [(i, *row) for i, (_, row) in enumerate(grown)], "member int, asked int, kept int, n_grown long, n_watched long, losses array<double>"
+    )
+    return Watched([model for model, _ in grown], report)
+
+
 def score_family(models: Sequence[PipelineModel], df: DataFrame, prefix: str) -> DataFrame:
     """All models side by side: ``{prefix}0``, ``{prefix}1``, ..."""
     return reduce(lambda out, im: score(im[1], out, f"{prefix}{im[0]}"), enumerate(models), df)
@@ -230,25 +346,37 @@ META_LEARNERS = {
 }
 
 
-def held_out(df: DataFrame, features: Sequence[str], label: str, base: Sequence[Any], folds: int, ids: Sequence[str]) -> DataFrame:
-    """Out-of-fold base predictions ``base0``, ``base1``, ...; the fold of a row is a hash of its ids."""
-    rows = quality.complete_cases(df, [*features, label]).withColumn("__fold", F.pmod(F.xxhash64(*ids), F.lit(folds)))
-    parts = []
-    for f in range(folds):
-        train, rest = rows.where(F.col("__fold") != f), rows.where(F.col("__fold") == f)
-        models = [fit(train, features, e, label) for e in base]
-        parts.append(score_family(models, rest, "base"))
+def _out_of_fold(vectors: Vectors, base: Sequence[Any], folds: int) -> DataFrame:
+    """Each staged row with the outputs of the models that did not see its ``__fold``."""
+    fold, names = F.col("__fold"), [f"base{i}" for i in range(len(base))]
+    tasks = [lambda e=e, f=f: vectors.fit(e, fold != f) for f in range(folds) for e in base]
+    models = concurrently(vectors.rows.sparkSession, tasks)
+    parts = [vectors.score(models[f * len(base) : (f + 1) * len(base)], names, fold == f) for f in range(folds)]
     return reduce(DataFrame.unionByName, parts).drop("__fold")
 
 
+def _with_fold(df: DataFrame, folds: int, ids: Sequence[str]) -> DataFrame:
+    return df.withColumn("__fold", F.pmod(F.xxhash64(*ids), F.lit(folds)))
+
+
+def held_out(df: DataFrame, features: Sequence[str], label: str, base: Sequence[Any], folds: int, ids: Sequence[str]) -> DataFrame:
+    """Out-of-fold base predictions ``base0``, ``base1``, ...; the fold of a row is a hash of its ids.
+
+    The rows are written once as vectors, and the fits of all folds read them side by side.
+    """
+    vectors = stage_vectors(_with_fold(df, folds, ids), features, label, [*df.columns, "__fold"])
+    return _out_of_fold(vectors, base, folds).select(*df.columns, *[f"base{i}" for i in range(len(base))])
+
+
 def stack(
     df: DataFrame, features: Sequence[str], label: str, base: Sequence[Any], meta: str = "logistic", folds: int = 5, ids: Sequence[str] = ("id",)
 ) -> Stack:
     """A meta-learner on held-out base predictions; a logistic one for classes."""
-    outputs = held_out(df, features, label, base, folds, ids)
+    vectors = stage_vectors(_with_fold(df, folds, ids), features, label, ["__fold"])
     names = [f"base{i}" for i in range(len(base))]
+    outputs = _out_of_fold(vectors, base, folds)
     learner = fit(outputs, names, META_LEARNERS[meta](), label)
-    return Stack([fit(df, features, e, label) for e in base], learner)
+    return Stack(concurrently(df.sparkSession, [lambda e=e: vectors.fit(e) for e in base]), learner)
 
 
 def predict_stack(fitted: Stack, df: DataFrame, output: str = "stacked") -> DataFrame:
@@ -298,9 +426,7 @@ def tune(
     """
     draws = draw_trials(space, trials)
     maps = [{estimator.getParam(n): v for n, v in draw.items()} for draw in draws]
-    rows = quality.complete_cases(df, [*features, label])
-    ready = _numeric(rows, [*features, label])
-    vectors = VectorAssembler(inputCols=list(features), outputCol="__features").transform(ready).select("__features", label)
+    vectors = stage_vectors(df, features, label).rows
     judge = (
         MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
         if classification
@@ -332,19 +458,21 @@ def _metrics(df: DataFrame, label: str, prediction: str, classification: bool) -
 def cross_validate(
     df: DataFrame, features: Sequence[str], label: str, estimator: Any, order: Sequence[str], folds: int = 3, classification: bool = True
 ) -> tuple[DataFrame, PipelineModel]:
-    """Time-ordered folds; mean and population std per metric, and a fit on everything."""
+    """Time-ordered folds; mean and population std per metric, and a fit on everything.
+
+    One table of vectors is written with the block of each row; a fold is a
+    filter on it, and the fits of all folds and of the whole run side by side.
+    """
     rows = quality.complete_cases(df, [*features, label])
-    tagged = splits.ts_folds(rows, folds, order)
-    parts = []
-    for f in range(1, folds + 1):
-        mine = tagged.where(F.col("fold") == f)
-        model = fit(mine.where(F.col("role") == "train"), features, estimator, label)
-        held = score(model, mine.where(F.col("role") == "validation"), "__p")
-        parts.append(_metrics(held, label, "__p", classification))
-    per_fold = reduce(DataFrame.unionByName, parts)
+    vectors = stage_vectors(splits.ts_blocks(rows, folds, order, "__block"), features, label, ["__block"])
+    block = F.col("__block")
+    tasks = [lambda f=f: vectors.fit(estimator, block < f) for f in range(1, folds + 1)]
+    *models, whole = concurrently(df.sparkSession, [*tasks, lambda: vectors.fit(estimator)])
+    held = [vectors.score([model], ["__p"], block == f) for f, model in enumerate(models, 1)]
+    per_fold = reduce(DataFrame.unionByName, [_metrics(rows, label, "__p", classification) for rows in held])
     long = per_fold.unpivot([], per_fold.columns, "metric", "value")
     summary = long.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return summary, fit(rows, features, estimator, label)
+    return summary, whole
 
 
 def feature_importance(model: PipelineModel, spark: SparkSession, n: int = 20) -> DataFrame:

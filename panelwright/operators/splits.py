@@ -45,6 +45,25 @@ def ts_folds(df: DataFrame, n_splits: int, order: Sequence[str]) -> DataFrame:
     return _tagged(df, order, [("train", train), ("validation", valid)])
 
 
+def ts_blocks(df: DataFrame, n_splits: int, order: Sequence[str], output: str = "block") -> DataFrame:
+    """The folds of ``ts_folds`` as one number per row: fold f trains on blocks below f and is validated on block f.
+
+    Each row comes once; with fewer than ``n_splits + 1`` rows all lie in block 0.
+    """
+    placed = bucket_positions(df, order, "__pos", "__n")
+    size = F.floor(F.col("__n") / (n_splits + 1))
+    into = F.col("__pos") - (F.col("__n") - n_splits * size)
+    block = F.when((size > 0) & (into >= 0), F.floor(into / size) + 1).otherwise(0)
+    return placed.select(*df.columns, block.cast("long").alias(output))
+
+
+def time_holdout(df: DataFrame, order: Sequence[str], share: float = 0.2, output: str = "late") -> DataFrame:
+    """Mark the last ``floor(n * share)`` rows in time order, the part a model is watched on while it grows."""
+    placed = bucket_positions(df, order, "__pos", "__n")
+    late = F.col("__pos") >= F.col("__n") - F.floor(F.col("__n") * share)
+    return placed.select(*df.columns, late.alias(output))
+
+
 def expanding_folds(df: DataFrame, initial: int, test: int, step: int | None, order: Sequence[str]) -> DataFrame:
     """H2: train ``[0, initial + (f-1)*step)``, test the next ``test`` rows, f = 1, 2, ..."""
     step = step or test

@@ -1,4 +1,4 @@
-"""Walk-forward validation (H6, H7): a driver loop over windows, each fit a Spark job."""
+"""Walk-forward validation (H6, H7): one fit per window over one staged table, several at a time."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from panelwright.models import jobs
 from panelwright.operators import quality, splits, stats
+from panelwright.session import stage_table
 
 
 def _slice(df: DataFrame, date: str, start: Date, end: Date) -> DataFrame:
@@ -21,24 +22,26 @@ def _slice(df: DataFrame, date: str, start: Date, end: Date) -> DataFrame:
 
 
 def walk_forward(
-    df: DataFrame, windows: DataFrame, train: jobs.TrainFn, evaluate: jobs.EvaluateFn, date: str = "date"
+    df: DataFrame, windows: DataFrame, train: jobs.TrainFn, evaluate: jobs.EvaluateFn, date: str = "date", parallelism: int = jobs.PARALLEL_FITS
 ) -> DataFrame:
     """H6: one row per window with its bounds, row counts and metrics in long form.
 
     Windows empty on either side are skipped; one pass counts all of them.
     Only the window table, its counts and one metric row per window reach the driver.
+    Windows are independent; ``parallelism`` of them run side by side.
     """
     spark = df.sparkSession
     tagged = splits.assign_windows(df.select(date), windows, date)
     counts = {(r["window"], r.role): r["count"] for r in tagged.groupBy("window", "role").count().collect()}
-    rows = []
-    for w in windows.orderBy("window").collect():
-        n_train, n_test = counts.get((w["window"], "train")), counts.get((w["window"], "test"))
-        if not n_train or not n_test:
-            continue
+    filled = [w for w in windows.orderBy("window").collect() if counts.get((w["window"], "train")) and counts.get((w["window"], "test"))]
+
+    def judged(w: Row) -> list[tuple]:
         past, ahead = _slice(df, date, w.train_start, w.train_end), _slice(df, date, w.test_start, w.test_end)
-        metrics = evaluate(train(past), ahead)
-        rows += [(*_bounds(w), n_train, n_test, name, float(v)) for name, v in metrics.items() if v is not None]
+        sizes = counts[w["window"], "train"], counts[w["window"], "test"]
+        return [(*_bounds(w), *sizes, name, float(v)) for name, v in evaluate(train(past), ahead).items() if v is not None]
+
+    per_window = jobs.concurrently(spark, [lambda w=w: judged(w) for w in filled], parallelism)
+    rows = [row for found in per_window for row in found]
     return spark.createDataFrame(rows, _RESULT)
 
 
@@ -91,6 +94,7 @@ def robust_walk_forward(
     """H7: features picked on the first twelve months, then H6 with optional CV, drift and degradation checks.
 
     Drift compares each test slice with the first one; the reference is explicit.
+    The complete rows are written once, in date order, so that a window reads its own part of them.
     """
     spark = df.sparkSession
     chosen = list(features)
@@ -100,7 +104,9 @@ def robust_walk_forward(
         if not early.isEmpty():
             chosen = jobs.select(early, features, label, selection, top_k, ids, continuous=not classification)
     windows = splits.walk_forward_windows(spark, start, end, train_months, test_months, every, anchored)
-    clean = quality.complete_cases(df, [*chosen, label])
+    used = dict.fromkeys([date, *ids, *chosen, label])
+    clean = quality.complete_cases(df.select(*used), [*chosen, label])
+    clean = stage_table(clean.repartitionByRange(date, *ids).sortWithinPartitions(date), "walk-forward")
     train, evaluate = jobs.model_functions(chosen, label, estimator, classification)
     results = walk_forward(clean, windows, train, evaluate, date)
     cv = drift = None
@@ -109,6 +115,8 @@ def robust_walk_forward(
         parts = []
         for w in bounds:
             past = _slice(clean, date, w.train_start, w.train_end)
+            if past.isEmpty():
+                continue
             summary, _model = jobs.cross_validate(past, chosen, label, estimator, [date, *ids], 3, classification)
             parts.append(summary.select(F.lit(w["window"]).alias("window"), "*"))
         cv = reduce(DataFrame.unionByName, parts) if parts else None

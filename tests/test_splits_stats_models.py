@@ -3,12 +3,13 @@ from datetime import date
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.sql import functions as F
 
 from panelwright.models import jobs
 from panelwright.operators import splits, stats
 from panelwright.plans import validation
+from panelwright.session import stage_table
 
 
 @pytest.fixture(scope="module")
@@ -144,6 +145,65 @@ def test_stack_learns_and_repeats(learnable):
     assert hit > 0.95
 
 
+def test_blocks_are_the_folds(learnable):
+    for rows, folds in [(learnable, 3), (learnable.where("id < 601 AND id % 7 != 0"), 4), (learnable.where("id < 2"), 3)]:
+        tagged = splits.ts_folds(rows, folds, ["date", "id"]).select("id", "fold", "role").collect()
+        blocks = splits.ts_blocks(rows, folds, ["date", "id"]).select("id", "block").collect()
+        want = {(r["id"], f, "train") for r in blocks for f in range(1, folds + 1) if r["block"] < f}
+        want |= {(r["id"], r["block"], "validation") for r in blocks if r["block"]}
+        assert {(r["id"], r["fold"], r["role"]) for r in tagged} == want
+
+
+def test_features_are_written_once_for_all_folds(learnable, monkeypatch):
+    made = []
+    monkeypatch.setattr(jobs, "stage_table", lambda df, label: made.append(df.columns) or stage_table(df, label))
+    summary, whole = jobs.cross_validate(learnable, ["x", "noise"], "y", tree(), ["date", "id"], 3)
+    assert made == [["__block", "y", "__features"]]
+    assert {r["metric"] for r in summary.collect()} >= {"accuracy", "f1"}
+    assert jobs.score(whole, learnable, "p").count() == 600
+    made.clear()
+    jobs.stack(learnable, ["x", "noise"], "y", [tree(), tree()], folds=3)
+    assert made == [["__fold", "y", "__features"]]
+
+
+def test_kept_columns_may_carry_a_feature_s_name(learnable):
+    out = jobs.held_out(learnable.withColumn("x", F.col("x").cast("string")), ["x", "noise"], "y", [tree()], 2, ["id"])
+    assert out.columns == [*learnable.columns, "base0"] and dict(out.dtypes)["x"] == "string" and out.count() == 600
+
+
+def test_concurrent_jobs_keep_their_order_and_errors(spark):
+    tasks = [lambda i=i: (i, spark.range(i + 1).count()) for i in range(9)]
+    assert jobs.concurrently(spark, tasks, 3) == [(i, i + 1) for i in range(9)]
+    assert jobs.concurrently(spark, [], 3) == []
+    with pytest.raises(ZeroDivisionError):
+        jobs.concurrently(spark, [lambda: 1, lambda: 1 // 0], 2)
+
+
+def test_watched_growth_stops_where_the_newest_rows_no_longer_gain(learnable):
+    noisy = learnable.withColumn("y", ((F.col("x") + F.rand(9)) > 1).cast("double"))
+    boosted = GBTClassifier(maxIter=25, maxDepth=3, stepSize=0.3, seed=1)
+    out = jobs.train_watched(noisy, ["x", "noise"], "y", ["date", "id"], [boosted, RandomForestClassifier(numTrees=3, seed=1)])
+    stopped, forest = out.report.orderBy("member").collect()
+    assert (forest.kept, forest.n_grown, forest.n_watched) == (3, 600, 0)
+    assert stopped.kept < stopped.asked == 25 and (stopped.n_grown, stopped.n_watched) == (480, 120)
+    # The same growth without an end, on the same older rows.
+    late = splits.time_holdout(noisy, ["date", "id"])
+    assert late.where("late").agg(F.min("id")).head()[0] == 480
+    vectors = jobs.stage_vectors(late, ["x", "noise"], "y", ["late"], impute=True)
+    full = vectors.fit(boosted, ~F.col("late")).stages[-1]
+    curve = full.evaluateEachIteration(vectors.rows.where("late"))
+    assert stopped.losses == pytest.approx(curve[: stopped.kept]) and stopped.losses[-1] <= curve[-1]
+    assert jobs.score_family(out.models, noisy, "p").count() == 600
+
+
+def test_watched_growth_with_gaps_and_too_few_rows(learnable):
+    holed = learnable.withColumn("noise", F.when(F.col("id") % 3 != 0, F.col("noise")))
+    few = jobs.train_watched(holed.where("id < 4"), ["x", "noise"], "y", ["date", "id"], [GBTClassifier(maxIter=2, maxDepth=1, seed=1)])
+    row = few.report.head()
+    assert (row.n_grown, row.n_watched, row.kept, row.losses) == (4, 0, 2, [])
+    assert jobs.score_family(few.models, holed, "p").where("p0 IS NOT NULL").count() == 600
+
+
 def test_search_is_seeded_and_inside_the_ranges():
     draws = jobs.draw_trials(jobs.SEARCH_SPACE, 20)
     assert draws == jobs.draw_trials(jobs.SEARCH_SPACE, 20)
