@@ -163,7 +163,7 @@ def _watched(t, family, label):
     grown = jobs.train_watched(train, _ORDINARY, label, ["date", "id"], family)
     losses = F.col("losses")
     # Growing stops at the first round that does not lower the loss on the watched rows.
-    falling = F.forall(F.sequence(F.lit(1), F.size(losses)), lambda i: (i == 1) | (F.get(losses, i - 1) < F.get(losses, i - 2)))
+    falling = F.forall(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(losses))), lambda i: (i == 1) | (F.get(losses, i - 1) < F.get(losses, i - 2)))
     return grown.report.select(
         "member", "asked", "n_grown", "n_watched", (F.col("kept") <= F.col("asked")).alias("not_longer"), falling.alias("falling"),
         (F.size(losses) == F.when(F.col("n_watched") > 0, F.col("kept")).otherwise(0)).alias("watched_each"),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelwright.catalog.registry import query
 from panelwright.functions.names import clean_names, key_columns_first
-from panelwright.operators import views
+from panelwright.operators import features, views
 from panelwright.session import scratch_path
-from panelwright.sources import tables
+from panelwright.sources import bucketed, tables
 
 
 def symbol_sources(t):
@@ -231,3 +232,45 @@ def _(t):
     path = scratch_path(t.spark, "price_by_year")
     tables.write_by_year(t.price, path, "date")
     return views.load_years(t.spark.read.parquet(path), 2000, 2000)
+
+
+def bucketed_statements(t):
+    """The three statements written in buckets by symbol and read back."""
+    parts = {"income": t.income, "balance": t.balance, "cashflow": t.cashflow}
+    return bucketed.load_bucketed(t.spark, [bucketed.save_bucketed(df, name) for name, df in parts.items()])
+
+
+@query("b4_statement_view_bucketed", _STATEMENT, _statement_sql("JOIN"))
+def _(t):
+    return views.statement_view(*bucketed_statements(t), how="inner")
+
+
+@query("b5_metrics_view_bucketed", "symbol:i date:d priceToCost:f debtGrowth:f dcf:f", _METRIC.format("LEFT JOIN", "LEFT JOIN"))
+def _(t):
+    income, balance, cashflow = bucketed_statements(t)
+    key = income.select("symbol", "date", (F.col("revenue") / F.col("cost")).alias("priceToCost"))
+    growth = balance.select("symbol", "date", (F.col("netDebt") / 1000).alias("debtGrowth"))
+    dcf = cashflow.select("symbol", "date", (F.col("freeCashFlow") / 12).alias("dcf"))
+    return key.join(growth, ["symbol", "date"], "left").join(dcf, ["symbol", "date"], "left")
+
+
+@query(
+    "e1_price_change_bucketed",
+    "symbol:i date:d close:f marketCap:f diff1_close:f diff5_close:f n_days:i",
+    """SELECT symbol, date, close, marketCap, CASE WHEN p1 > 0 THEN (close - p1) / p1 END AS diff1_close, CASE WHEN p5 > 0 THEN (close - p5) / p5 END AS diff5_close, n_days
+       FROM (SELECT *, lag(close) OVER w AS p1, lag(close, 5) OVER w AS p5, count(*) OVER (PARTITION BY symbol) AS n_days
+             FROM fx_price LEFT JOIN fx_marketcap USING (symbol, date) WINDOW w AS (PARTITION BY symbol ORDER BY date))""",
+)
+def _(t):
+    names = [bucketed.save_bucketed(df, name) for name, df in {"price": t.price, "marketcap": t.marketcap}.items()]
+    price, cap = bucketed.load_bucketed(t.spark, names)
+    return bucketed_changes(price, cap)
+
+
+def bucketed_changes(price, cap):
+    """Join, per-symbol lags and per-symbol counts over one layout."""
+    by = Window.partitionBy("symbol").orderBy("date")
+    joined = price.join(cap, ["symbol", "date"], "left")
+    joined = joined.withColumns({"prev1_close": F.lag("close", 1).over(by), "prev5_close": F.lag("close", 5).over(by)})
+    days = price.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_days"))
+    return features.pct_change(joined, ["close"], [1, 5]).join(days, "symbol")

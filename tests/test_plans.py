@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from panelwright.catalog import view_queries
 from panelwright.operators import asof, ordered, portfolio, quality, stats
+from panelwright.sources import bucketed
 from panelwright.sources import tables as stored
 
 QUERIES = entry.queries()
@@ -125,3 +127,26 @@ def test_benchmark_scans_days_near_the_ends_only(tables, monkeypatch):
     monkeypatch.setattr(kind, "first", lambda df: plans.append(physical(df)) or first(df))
     portfolio.benchmark_return(tables.price, tables.symbol, date(1999, 1, 1), date(2000, 6, 1)).collect()
     assert len(plans) == 1 and "1998-12-22" in plans[0] or "10583" in plans[0]
+
+
+@pytest.mark.parametrize("small", ["10MB", "-1"])
+def test_bucketed_views_meet_without_a_shuffle(tables, spark, small):
+    parts = {"income": tables.income, "balance": tables.balance, "price": tables.price, "marketcap": tables.marketcap}
+    income, balance, price, cap = bucketed.load_bucketed(spark, [bucketed.save_bucketed(df, name) for name, df in parts.items()])
+    income.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    for df in (income.join(balance, ["symbol", "date"]), view_queries.bucketed_changes(price, cap)):
+        plan = physical(df)
+        assert "Exchange hashpartitioning" not in plan
+        if small == "-1":
+            assert "Exchange" not in plan and "Bucketed: true" in plan and "SortMergeJoin" in plan
+        assert df.count() > 0
+
+
+def test_bucketed_tables_can_be_replaced(spark, tmp_path):
+    """A hot symbol, null symbols, an empty table and a second write in the same place."""
+    rows = spark.range(300).select(F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 50 != 1, F.col("id")).alias("symbol"), F.col("id").alias("date"))
+    for df in (rows, rows.limit(0), rows.where("date < 7")):
+        name = bucketed.save_bucketed(df, "replaced", buckets=3, path=str(tmp_path / "b"))
+        (back,) = bucketed.load_bucketed(spark, [name])
+        assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    spark.sql("DROP TABLE replaced")
