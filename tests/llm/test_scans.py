@@ -1,6 +1,7 @@
 """Secret and personal-data scans against plain Python over whole texts."""
 
 import hashlib
+import random as random_numbers
 import re
 
 import pytest
@@ -98,3 +99,26 @@ def test_card_beside_a_number_is_added(spark, documents):
     rows = {r.doc_id: r for r in pii.result(documents.select("doc_id", "text").unionByName(extra)).collect()}
     assert rows[10_001].n_card == 0 and "card:21:37" in rows[10_001].spans
     assert rows[10_002].spans == ""
+
+
+def test_best_of_a_chain_leaves_the_third(spark):
+    """A beats B, B would beat C: C overlaps nothing that stays, and stays."""
+    chain = [(-0.9, 0, 0, 10), (-0.8, 8, 1, 20), (-0.7, 18, 0, 30), (-0.7, 25, 2, 40), (-0.1, 60, 3, 61)]
+    df = spark.createDataFrame([(chain,), ([],)], "added array<struct<p:double,s:bigint,k:int,e:bigint>>")
+    got = [[tuple(x) for x in r[0]] for r in df.select(pii.best_spans(pii.F.col("added"))).collect()]
+    assert got == [[(0, 0, 10), (18, 0, 30), (60, 3, 61)], []]
+
+
+def test_best_spans_match_plain_selection(spark):
+    rng = random_numbers.Random(3)
+    rows = []
+    for _ in range(60):
+        spans = [(-rng.randint(1, 4) / 4, s := rng.randint(0, 60), rng.randint(0, 3), s + rng.randint(1, 15)) for _ in range(rng.randint(0, 25))]
+        rows.append((sorted(set(spans), key=lambda _: rng.random()),))
+    df = spark.createDataFrame(rows, "added array<struct<p:double,s:bigint,k:int,e:bigint>>")
+    for r in df.select("added", pii.best_spans(pii.F.col("added")).alias("best")).collect():
+        want = []
+        for x in sorted(tuple(a) for a in r.added):
+            if all(x[3] <= y[1] or y[3] <= x[1] for y in want):
+                want.append(x)
+        assert [tuple(x) for x in r.best] == sorted(x[1:] for x in want)
