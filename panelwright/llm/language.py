@@ -8,10 +8,10 @@ answer is marked as rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ sent_by_value(__name__)
 
 # The bounded sample: per language at most SAMPLE_DOCS distinct texts (smallest hashes, texts of at most SAMPLE_CHARS first), DICTIONARY_BYTES in all.
 SAMPLE_DOCS = 200
+SAMPLE_PARTS = 16
 SAMPLE_CHARS = 8_192
 DICTIONARY_BYTES = 112 * 1024
 LEVEL = 6
@@ -34,11 +35,12 @@ BLOCK = 8_192
 MIN_MARGIN = 0.005
 FOLDS = 5
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Marks (vowel signs, accents) belong to the letter before them.
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def _letters(text: str) -> bytes:
-    """Runs of letters in lower case, joined by spaces: what a language shows itself in."""
+    """Runs of letters with their marks in lower case, joined by spaces: what a language shows itself in."""
     return " ".join(_LETTERS.findall(text.lower())).encode("utf-8", "replace")
 
 
@@ -51,8 +53,12 @@ def train(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionary content per language from rows ``(text, lang)``; null texts and languages are left out."""
     rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     key = rows.select("lang", (F.length("text") > SAMPLE_CHARS).alias("long"), F.xxhash64("text").alias("h"))
-    # Distinct by hash: a group of copies of any size is one sample.
-    ranked = top_per_group(key.distinct(), ["lang"], [("long", True), ("h", True)], SAMPLE_DOCS)
+    # Distinct by hash: a group of copies of any size is one sample.  Each of the parts a language is dealt to keeps its
+    # best, so what meets in one task is bounded by SAMPLE_DOCS * SAMPLE_PARTS rows however many tasks read the texts.
+    key = key.distinct().withColumn("part", F.pmod(F.col("h"), F.lit(SAMPLE_PARTS)))
+    order = [("long", True), ("h", True)]
+    thinned = top_per_group(key, ["lang", "part"], order, SAMPLE_DOCS).select("lang", "long", "h")
+    ranked = top_per_group(thinned, ["lang"], order, SAMPLE_DOCS)
     chosen = written(ranked.select("lang", "h", "rn"), "language-sample")
     texts = rows.withColumn("h", F.xxhash64("text")).join(chosen, ["lang", "h"]).dropDuplicates(["lang", "h"])
     content: dict[str, bytearray] = {}
@@ -117,8 +123,8 @@ def classified(docs: DataFrame, dictionaries: Mapping[str, bytes]) -> DataFrame:
 def result(docs: DataFrame) -> DataFrame:
     """Train on the documents that are not held out, predict all of them.
 
-    Empty texts and texts without a letter are ``und`` with score 0; with no
-    labelled text at all everything is ``und``.  Repeated rows keep a row each.
+    Empty texts and texts without a letter (marks alone are none) are ``und``
+    with score 0; with no labelled text at all everything is ``und``.  Repeated rows keep a row each.
     """
     model = train(docs.where(~held_out()).select("text", "lang"))
     return classified(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
