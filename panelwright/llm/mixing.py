@@ -102,7 +102,17 @@ def budgets(leaf_tokens: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _order(mix: Mix, epoch: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), F.col("__id")))
+
+
+def _identity() -> list[Column]:
+    """``__id``, by which a document is drawn, and ``__x``, which tells apart rows that share it.
+
+    Rows without an id are drawn by their text, so they spread over the buckets.
+    """
+    text = F.coalesce("text", F.lit(""))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(text)))
+    return [own.alias("__id"), F.xxhash64(text).alias("__x")]
 
 
 @dataclass(frozen=True)
@@ -115,14 +125,14 @@ def plan(docs: DataFrame, mix: Mix) -> Plan:
     """Budgets and cuts for ``docs``."""
     keys = ["__domain", "__lang", "__source"]
     tokens = F.size(words(F.col("text"))).cast("long")
-    narrow = written(docs.select("doc_id", *[c.alias(n) for n, c in leaves_of(mix).items()], tokens.alias("__n")), "mix-tokens")
+    narrow = written(docs.select(*_identity(), *[c.alias(n) for n, c in leaves_of(mix).items()], tokens.alias("__n")), "mix-tokens")
     narrow = narrow.where(F.col("__n") > 0)
     totals = narrow.groupBy(*keys).agg(F.sum("__n").cast(_TOKENS).alias("tokens"))
     shares = budgets(totals, mix).withColumns(
         {"__whole": F.expr("budget div tokens").cast("int"), "__rest": (F.col("budget") % F.col("tokens")).cast("long")}
     )
     shares = written(shares, "mix-shares")
-    placed = narrow.join(shares, keys).select(*keys, "doc_id", "__n", "__rest", _order(mix, F.col("__whole")).alias("__o"))
+    placed = narrow.join(shares, keys).select(*keys, "__x", "__n", "__rest", _order(mix, F.col("__whole")).alias("__o"))
     placed = written(placed.where(F.col("__rest") > 0).withColumn("__b", F.substring("__o", 1, 4)), "mix-order")
     buckets = placed.groupBy(*keys, "__rest", "__b").agg(F.sum("__n").alias("n"))
     # At most 65,536 buckets per leaf.
@@ -132,12 +142,12 @@ def plan(docs: DataFrame, mix: Mix) -> Plan:
     leaves = written(shares.join(cut, keys, "left"), "mix-leaves")
     # Only the documents of one bucket per leaf are sorted.
     inside = placed.join(leaves.select(*keys, "__cut", "__base"), keys).where(F.col("__b") == F.col("__cut"))
-    running = Window.partitionBy(*keys).orderBy("__o", "doc_id", "__n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy(*keys).orderBy("__o", "__n", "__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     left = F.col("__rest") - (F.col("__base") + F.sum("__n").over(running) - F.col("__n"))
     cuts = inside.withColumn("__take", F.greatest(F.least(F.col("__n"), left), F.lit(0)))
-    # Rows that repeat id and leaf share one order value: each takes the part of its own place among them.
-    nth = Window.partitionBy(*keys, "__o", "__n").orderBy(F.desc("__take"))
-    cuts = cuts.withColumn("__nth", F.row_number().over(nth)).select(*keys, "__o", "__n", "__nth", "__take")
+    # Rows that repeat id, text and leaf share one order value: each takes the part of its own place among them.
+    nth = Window.partitionBy(*keys, "__o", "__n", "__x").orderBy(F.desc("__take"))
+    cuts = cuts.withColumn("__nth", F.row_number().over(nth)).select(*keys, "__o", "__n", "__x", "__nth", "__take")
     return Plan(leaves, written(cuts, "mix-cuts"))
 
 
@@ -155,7 +165,7 @@ def mixed(docs: DataFrame, mix: Mix, columns: list[str] | None = None, cut_text:
     extra = [c for c in ("text",) if cut_text and c not in columns]
     rows = docs.select(
         *[F.col(f"`{c}`") for c in dict.fromkeys([*columns, *extra])],
-        *([] if "doc_id" in columns else ["doc_id"]),
+        *_identity(),
         *[c.alias(n) for n, c in leaves_of(mix).items()],
         F.size(words(F.col("text"))).cast("long").alias("__n"),
     ).where(F.col("__n") > 0)
@@ -166,9 +176,9 @@ def mixed(docs: DataFrame, mix: Mix, columns: list[str] | None = None, cut_text:
         "*", F.col("__whole").alias("epoch"), F.col("__n").alias("taken")
     )
     at_cut = rows.where((F.col("__rest") > 0) & (bucket == F.col("__cut")))
-    same = Window.partitionBy(*keys, "__o", "__n").orderBy(F.lit(1))
+    same = Window.partitionBy(*keys, "__o", "__n", "__x").orderBy(F.lit(1))
     numbered = at_cut.withColumn("__nth", F.row_number().over(same))
-    partly = numbered.join(made.cuts, [*keys, "__o", "__n", "__nth"]).where(F.col("__take") > 0)
+    partly = numbered.join(made.cuts, [*keys, "__o", "__n", "__x", "__nth"]).where(F.col("__take") > 0)
     partly = partly.select(*rows.columns, F.col("__whole").alias("epoch"), F.col("__take").alias("taken"))
     out = whole.unionByName(before).unionByName(partly)
     if cut_text:
@@ -191,7 +201,7 @@ def oracle_sql(mix: Mix) -> str:
         return f"CASE {column} " + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in values.items()) + f" ELSE {lit(default)} END"
 
     ctes = [
-        "t AS (SELECT doc_id, lang, source, coalesce(lang, '') AS k1, coalesce(source, '') AS k2, "
+        "t AS (SELECT doc_id, text, lang, source, coalesce(lang, '') AS k1, coalesce(source, '') AS k2, "
         f"{case('source', mix.domains, mix.other_domain)} AS k0, "
         r"CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS n FROM documents)",
         f"leaf AS (SELECT k0, k1, k2, CAST(sum(n) AS HUGEINT) AS tokens, CAST(sum(n) AS HUGEINT) * {mix.max_epochs} AS cap FROM t WHERE n > 0 GROUP BY ALL)",
@@ -213,7 +223,7 @@ def oracle_sql(mix: Mix) -> str:
         ]
     ctes += [
         "s AS (SELECT k0, k1, k2, CAST(total // tokens AS INTEGER) AS whole, CAST(total % tokens AS BIGINT) AS rest FROM b3)",
-        f"p AS (SELECT *, md5('{mix.seed}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS o FROM t JOIN s USING (k0, k1, k2) WHERE n > 0)",
+        f"p AS (SELECT *, md5('{mix.seed}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS o FROM t JOIN s USING (k0, k1, k2) WHERE n > 0)",
         "c AS (SELECT *, rest - (sum(n) OVER (PARTITION BY k0, k1, k2 ORDER BY o, doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n) AS room FROM p)",
     ]
     select = "SELECT doc_id, lang, source, k0 AS domain, CAST({e} AS INTEGER) AS epoch, n AS n_tokens, CAST({t} AS BIGINT) AS taken FROM {f}"
