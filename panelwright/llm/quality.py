@@ -7,8 +7,9 @@ order, and a quantile is off by less than one percent of its value.  Quartiles
 of the sketch give fences that take the place of fixed cutoffs; documents are
 then joined to the fences of their group and filtered.
 
-Groups of fewer than ``MIN_GROUP`` documents use the sketch merged over their
-language, or over everything where that is small as well.
+Quartiles of a group are drawn towards those of the sketch merged over its
+language, and these towards those over everything, with the weight of
+``PRIOR`` documents: a group's own share grows smoothly with its size.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from panelwright.llm.common import SPACE_CLASS, WORD_CHAR, let, words, written
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
-MIN_GROUP = 50
+# Documents that the wider group counts for beside a group's own.
+PRIOR = 50
 # A fence lies this many spreads outside the quartiles.
 FENCE = 3
 # Ratios in thousandths: (name, least spread, is there a lower fence).
@@ -150,10 +152,14 @@ def fences(rows: DataFrame) -> DataFrame:
         own.join(renamed(by_lang, "lang"), ["__lang", "ratio"]).join(renamed(overall, "all"), ["ratio"])
     )
 
-    def chosen(c: str) -> Column:
-        return F.when(F.col("size") >= MIN_GROUP, F.col(c)).when(F.col("lang_size") >= MIN_GROUP, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
+    def drawn(size: str, own: Column, wider: Column) -> Column:
+        n = F.col(size).cast("double")
+        return F.floor((n * own + F.lit(float(PRIOR)) * wider) / (n + PRIOR))
 
-    resolved = joined.select("__lang", "__source", "ratio", chosen("q1").alias("q1"), chosen("q3").alias("q3"))
+    def settled(c: str) -> Column:
+        return drawn("size", F.col(c), drawn("lang_size", F.col(f"lang_{c}"), F.col(f"all_{c}")))
+
+    resolved = joined.select("__lang", "__source", "ratio", settled("q1").alias("q1"), settled("q3").alias("q3"))
     bounds = []
     for i, (name, least, lower) in enumerate(RATIOS):
         spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
@@ -228,8 +234,7 @@ b AS (SELECT lang, source, ratio, v - v % CAST(pow(10, greatest(length(CAST(v AS
 q AS (SELECT lang, source, ratio, count(*) AS size, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL),
 ql AS (SELECT lang, ratio, count(*) AS size, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL),
 qa AS (SELECT ratio, quantile_disc(bucket, 0.25) AS q1, quantile_disc(bucket, 0.75) AS q3 FROM b GROUP BY ALL),
-res AS (SELECT q.lang, q.source, q.ratio, CASE WHEN q.size >= {MIN_GROUP} THEN q.q1 WHEN ql.size >= {MIN_GROUP} THEN ql.q1 ELSE qa.q1 END AS q1,
-               CASE WHEN q.size >= {MIN_GROUP} THEN q.q3 WHEN ql.size >= {MIN_GROUP} THEN ql.q3 ELSE qa.q3 END AS q3
+res AS (SELECT lang, source, ratio, {", ".join(f"CAST(floor((CAST(q.size AS DOUBLE) * q.{c} + {PRIOR}.0::DOUBLE * floor((CAST(ql.size AS DOUBLE) * ql.{c} + {PRIOR}.0::DOUBLE * qa.{c}) / (CAST(ql.size AS DOUBLE) + {PRIOR}))) / (CAST(q.size AS DOUBLE) + {PRIOR})) AS BIGINT) AS {c}" for c in ("q1", "q3"))}
         FROM q JOIN ql USING (lang, ratio) JOIN qa USING (ratio)),
 lim AS (SELECT lang, source,
                max(CASE WHEN ratio = 0 THEN q1 - {FENCE} * greatest(q3 - q1, {RATIOS[0][1]}) END) AS low0,

@@ -3,6 +3,8 @@
 import random
 
 import pytest
+import regex
+import zstandard
 
 import corpus_pipeline
 from panelwright.llm import archive, chat, decontaminate, language, mixing, neardup, quality
@@ -118,6 +120,35 @@ def test_language_accuracy_and_edges(spark, documents, odd_docs, no_docs):
     assert language.result(no_docs).collect() == []
 
 
+def test_language_keeps_marks():
+    assert language._letters("हिन्दी में लिखा 12 e\u0301te\u0301").decode() == "हिन्दी में लिखा e\u0301te\u0301"
+    assert language._letters("\u0301\u0902 12 ² _") == b""
+
+
+def test_language_matches_plain_compression(spark, documents):
+    """Every whole text against zstandard used plainly: block by block, per dictionary, the smallest sum."""
+    model = language.train(documents.where(~language.held_out()).select("text", "lang"))
+    assert all(0 < len(d) <= language.DICTIONARY_BYTES + language.SAMPLE_DOCS for d in model.values())
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.classified(documents, model).collect()}
+    coders = {
+        (lang, level): zstandard.ZstdCompressor(
+            level=level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False
+        )
+        for lang, d in model.items()
+        for level in (language.LEVEL, language.FINE_LEVEL)
+    }
+    for r in documents.collect():
+        raw = " ".join(regex.findall(r"\p{L}[\p{L}\p{M}]*", (r.text or "").lower())).encode()
+        if not raw:
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        for level in (language.LEVEL, language.FINE_LEVEL):
+            sizes = sorted((sum(len(coders[lang, level].compress(raw[i : i + language.BLOCK])) for i in range(0, len(raw), language.BLOCK)), lang) for lang in model)
+            if sizes[0][0] <= (1 - language.MIN_MARGIN) * sizes[1][0]:
+                break
+        assert got[r.doc_id] == (sizes[0][1], pytest.approx(1 - sizes[0][0] / sizes[1][0])), r.doc_id
+
+
 def test_archive_edges(spark):
     long = "<p>x</p>" * 100
     pages = spark.createDataFrame(
@@ -215,6 +246,31 @@ def test_budgets_fill_siblings_before_ancestors(spark):
         assert sum(got.values()) == min(sum(leaves.values()) * percent // 100, sum(leaves.values()) * epochs)
 
 
+def test_mixing_draws_rows_without_an_id_by_their_text(spark):
+    """Many null ids, texts of one length, repeated rows: what is cut does not depend on where rows lie."""
+    rows = [(None if i % 3 else i, f"w{i // 2} a b c", "en", "s") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mix = mixing.Mix(budget_percent=37)
+    drawn = [sorted((str(r.doc_id), r.text, r.taken) for r in mixing.mixed(d, mix, ["doc_id", "text"]).collect()) for d in (df, df.repartition(7, "text"), df.orderBy("text").coalesce(1))]
+    assert drawn[0] == drawn[1] == drawn[2]
+    assert sum(t for _, _, t in drawn[0]) == 4 * 300 * 37 // 100
+
+
+def test_quality_fences_move_smoothly_with_the_size_of_a_group(spark):
+    """One document more never throws a group from its language's fences to its own."""
+    prose = "some plain words of text that go on for quite a while and say nothing at all about any thing in the world today"
+
+    def high(n):
+        wide = [(f"{prose} {i}", "en", "wide") for i in range(200)]
+        own = [(f"{prose} {'#' * 60} {i}", "en", "own") for i in range(n)]
+        df = spark.createDataFrame(wide + own, "text string, lang string, source string")
+        (row,) = quality.fences(quality.measured(df, [])).where("__source = 'own'").collect()
+        return row["__high_symbols"]
+
+    at = [high(n) for n in (1, 49, 50, 150)]
+    assert at[0] < at[1] <= at[2] < at[3] and at[2] - at[1] < (at[3] - at[0]) / 20
+
+
 def test_mixing_takes_each_leaf_budget(documents, odd_docs, no_docs):
     made = mixing.plan(documents, MIX).leaves.collect()
     want = {(r["__domain"], r["__lang"], r["__source"]): r.budget for r in made}
