@@ -13,7 +13,7 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import let, written
@@ -140,12 +140,12 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def with_control_conversation(turns: DataFrame) -> DataFrame:
-    spark: SparkSession = turns.sparkSession
     narrow = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
         F.col("text").cast("string").alias("text"),
     )
-    extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], narrow.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = turns.sparkSession.range(0, 2, 1, 1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     return narrow.unionByName(extra)
 
 
