@@ -1,8 +1,10 @@
 """SimHash clusters and line runs against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -201,26 +203,31 @@ def test_forest_loses_no_link(spark, monkeypatch):
 
 
 def plain_lines(docs, min_lines):
-    """Delete later copies: windows of min_lines lines, and single lines of ten words or more."""
+    """Delete later copies: windows of min_lines lines, single lines of ten words or more, and common ones of four; count maximal repeated runs."""
     seen, out = {}, {}
     seqs = []
     for d, text in sorted(docs, key=lambda r: r[0]):
         all_lines = (text or "").split("\n")
         full = [i for i, line in enumerate(all_lines) if re.search("[^\x20\x09-\x0d]", line)]
         seqs.append((d, all_lines, full))
+    in_docs = Counter(line for _, all_lines, full in seqs for line in {all_lines[i] for i in full})
+    windows = Counter(tuple(a[i] for i in f[s:e]) for _, a, f in seqs for s in range(len(f)) for e in range(s + 1, len(f) + 1))
     for d, all_lines, full in seqs:
         gone = set()
+        reach = [max((e - s for e in range(s + 1, len(full) + 1) if windows[tuple(all_lines[i] for i in full[s:e])] > 1), default=0) for s in range(len(full))]
+        runs = [n for s, n in enumerate(reach) if n >= min_lines and (s == 0 or reach[s - 1] <= n)]
         for width in {1, min_lines}:
             for s in range(len(full) - width + 1):
                 w = tuple(all_lines[i] for i in full[s : s + width])
                 if w in seen:
-                    long = width == 1 and len([x for x in re.split(SPACES, w[0]) if x]) >= lines.MIN_WORDS
-                    if width == min_lines or long:
+                    n_words = len([x for x in re.split(SPACES, w[0]) if x])
+                    long = n_words >= lines.MIN_WORDS or (n_words >= lines.COMMON_WORDS and in_docs[w[0]] >= lines.COMMON_DOCS)
+                    if width == min_lines or (width == 1 and long):
                         gone |= set(full[s : s + width])
                 else:
                     seen[w] = d
         kept = "\n".join(line for i, line in enumerate(all_lines) if i not in gone)
-        out[d] = (len(full), len(gone), hashlib.md5(kept.encode()).hexdigest())
+        out[d] = (len(full), len(gone), len(runs), max(runs, default=0), hashlib.md5(kept.encode()).hexdigest())
     return out
 
 
@@ -228,17 +235,37 @@ def plain_lines(docs, min_lines):
 def test_line_runs_match_brute_force(spark, min_lines):
     rng = random.Random(min_lines)
     pool = [f"line {i}" for i in range(6)] + [" ".join(f"word{j}" for j in range(i, i + 12)) for i in range(4)] + ["", " \t"]
+    pool += ["a line that is common"] + [f"some line of five {i}" for i in range(40)]
     docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 25)))) for i in range(60)]
+    docs += [(60 + i, docs[i][1] if i % 2 else docs[i][1] + "\n" + docs[i + 1][1]) for i in range(8)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.n_lines, r.n_deleted, r.text_md5) for r in lines.report(df, min_lines).collect()}
-    assert got == plain_lines(docs, min_lines)
+    want = plain_lines(docs, min_lines)
+    assert {r.doc_id: tuple(r)[1:] for r in lines.report(df, min_lines).collect()} == want
+    kept = {r.doc_id: hashlib.md5(r.text.encode()).hexdigest() for r in lines.deduplicated(df, min_lines).collect()}
+    assert kept == {d: w[-1] for d, w in want.items()}
 
 
 def test_maximal_runs(spark):
     run = "\n".join(f"shared {i}" for i in range(7))
     docs = spark.createDataFrame([(1, f"own a\n{run}\nown b"), (2, f"own c\nown d\n{run}"), (3, "own e")], "doc_id long, text string")
     _, runs = lines.deletions(docs)
-    assert [(r["__d"], r.start, r.n_lines) for r in runs.collect()] == [(2, 2, 7)]
+    assert sorted((r["__d"], r.start, r.n_lines, r.later) for r in runs.collect()) == [(1, 1, 7, False), (2, 2, 7, True)]
+
+
+def test_suffix_array_is_sorted(spark):
+    rng = random.Random(4)
+    docs = [(i, "\n".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))) for i in range(30)]
+    at = lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    order, levels = lines.suffix_array(at)
+    rows = at.orderBy("p").collect()
+    # Compared by the identities; an end is smaller than any line.
+    suffix = {r.p: [(x["__h"], x["__g"]) for x in rows[r.p :] if x.run == r.run] for r in rows}
+    found = lines.common_prefixes(order, levels).orderBy("r").collect()
+    assert [r.r for r in found] == list(range(len(rows)))
+    assert [suffix[r.p] for r in found] == sorted(suffix.values())
+    for a, b in zip(found, found[1:]):
+        pairs = zip(suffix[a.p], suffix[b.p])
+        assert b.before == a.p and b.lcp == len(list(itertools.takewhile(lambda x: x[0] == x[1], pairs)))
 
 
 def test_line_edges(odd_docs, no_docs):
