@@ -44,8 +44,6 @@ CUES = (
     r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|karte|tarjeta|carte)\b",
     r"(?i)\b(?:phone|tel|telefon|mobile|cell|fax|call|sms)\b",
 )
-# The labelled sample is bounded: about SAMPLE candidates by hash, never more than twice that, each with a spoilt twin.
-SAMPLE = 4_000
 PRECISION = 0.98
 TREES, DEPTH = 10, 3
 
@@ -125,7 +123,7 @@ def features() -> dict[str, Column]:
 
 
 def weak_label() -> Column:
-    """What the checkable part of a format says: the label of a sampled candidate."""
+    """What the checkable part of a format says: the label of a candidate."""
     m, k = F.col("m"), F.col("k")
     email = m.rlike(r"[.\])]\x20?[A-Za-z]{2,12}$")
     ip = F.when(m.contains(":"), F.size(F.split(m, ":")) == 8).otherwise(_parts_fit(m))
@@ -160,26 +158,34 @@ def _assembled(rows: DataFrame, names) -> DataFrame:
     return VectorAssembler(inputCols=list(names), outputCol="features").transform(rows.withColumns({n: known[n] for n in names}))
 
 
+def labelled(rows: DataFrame) -> DataFrame:
+    """Every distinct candidate row and its spoilt twin as ``(k, label, fold, *features, n)``; those alike in all of it are one row with their number ``n``."""
+    both = rows.select("k", "m", "before", "after").distinct()
+    both = both.select("k", F.explode(F.array(F.col("m"), _spoilt(F.col("m"), F.col("k")))).alias("m"), "before", "after")
+    known = features()
+    fold = F.pmod(F.xxhash64("m", "before"), F.lit(3))
+    told = both.select("k", weak_label().cast("double").alias("label"), fold.alias("fold"), *[c.alias(n) for n, c in known.items()])
+    return told.groupBy("k", "label", "fold", *known).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
 def train(rows: DataFrame) -> Model | None:
-    """Fit trees on a bounded labelled sample of candidate rows; ``None`` where a class is missing.
+    """Fit trees on all candidate rows; ``None`` where a class is missing.
 
-    Two thirds of the sample grow trees; on the rest each kind gets the lowest
-    threshold at which its precision stays at or above ``PRECISION``.
+    Candidates of equal features are weighted by their number, so the trees
+    read few rows however many candidates there are.  Two thirds of the
+    candidates grow trees; on the rest each kind gets the lowest threshold at
+    which its precision stays at or above ``PRECISION``.
     """
-    one_in = max(1, rows.count() // SAMPLE)
-    drawn = F.xxhash64("m", "before", "after", "k")
-    sample = rows.select("k", "m", "before", "after").where(F.pmod(drawn, F.lit(one_in)) == 0).distinct()
-    sample = sample.orderBy(drawn, "m", "before", "after").limit(2 * SAMPLE)
-    both = sample.select("k", F.explode(F.array(F.col("m"), _spoilt(F.col("m"), F.col("k")))).alias("m"), "before", "after")
-    labelled = written(both.withColumn("label", weak_label().cast("double")).withColumn("fold", F.pmod(F.xxhash64("m", "before"), F.lit(3))), "pii-sample")
-    grown = labelled.where("fold > 0")
+    told = written(labelled(rows), "pii-labelled")
+    grown = told.where("fold > 0")
     if grown.select("label").distinct().count() < 2:
         return None
     names = tuple(features())
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1).fit(_assembled(grown, names).select("features", "label"))
-    scored = trees.transform(_assembled(labelled.where("fold = 0"), names)).select("k", "label", vector_to_array("probability")[1].alias("p"))
-    # At most SAMPLE * 4 rows.
-    by_p = scored.groupBy("k", "p").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
+    vectors = VectorAssembler(inputCols=list(names), outputCol="features")
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1, weightCol="n").fit(vectors.transform(grown).select("features", "label", "n"))
+    scored = trees.transform(vectors.transform(told.where("fold = 0"))).select("k", "label", "n", vector_to_array("probability")[1].alias("p"))
+    by_p = scored.groupBy("k", "p").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n"))
+    # One row per kind and distinct probability, of which few trees have few.
     upto = Window.partitionBy("k").orderBy(F.desc("p"))
     sums = by_p.select("k", "p", (F.sum("good").over(upto) / F.sum("n").over(upto)).alias("precision"))
     found = sums.where(F.col("precision") >= PRECISION).groupBy("k").agg(F.min("p").alias("p")).collect()

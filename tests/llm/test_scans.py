@@ -101,6 +101,16 @@ def test_card_beside_a_number_is_added(spark, documents):
     assert rows[10_002].spans == ""
 
 
+def test_every_candidate_is_learned_from(spark):
+    """A kind of few candidates among very many others is learned too: all are counted, none drawn."""
+    phones = [(3, f"0049{i:08d}", "tel ", "") for i in range(20_000)]
+    hosts = [(1, f"10.0.0.{i}", "host ", "") for i in range(8)]
+    rows = spark.createDataFrame(phones + hosts + hosts, "k int, m string, before string, after string")
+    assert set(pii.train(rows).thresholds) == {1, 3}
+    told = pii.labelled(rows).collect()
+    assert sum(r.n for r in told) == 2 * 20_008 and len(told) < 100
+
+
 def test_best_of_a_chain_leaves_the_third(spark):
     """A beats B, B would beat C: C overlaps nothing that stays, and stays."""
     chain = [(-0.9, 0, 0, 10), (-0.8, 8, 1, 20), (-0.7, 18, 0, 30), (-0.7, 25, 2, 40), (-0.1, 60, 3, 61)]
