@@ -35,16 +35,26 @@ def _sort_columns(group: Sequence[str], order: Order) -> list[Column]:
     return cols
 
 
-def range_slices(df: DataFrame, group: Sequence[str], order: Order) -> DataFrame:
+# Rows of a range where their number is known: a task holds these, however well they compress.
+SLICE_ROWS = 300_000
+
+
+def slices_for(rows: int) -> int:
+    """How many ranges, or shuffle partitions, hold so many rows."""
+    return max(1, -(-rows // SLICE_ROWS))
+
+
+def range_slices(df: DataFrame, group: Sequence[str], order: Order, slices: int | None = None) -> DataFrame:
     """Rows sorted across range partitions, with frozen ``__slice`` and ``__seq``.
 
     ``order`` must be total within a group, or equal rows stay together in one
     range.  The result is staged: range bounds are sampled, so they must not be
-    computed twice.
+    computed twice.  Without a number of ``slices`` the adaptive planner sizes
+    them by bytes after compression.
     """
     sort = _sort_columns(group, order)
     numbered = (
-        df.repartitionByRange(*sort)
+        (df.repartitionByRange(slices, *sort) if slices else df.repartitionByRange(*sort))
         .sortWithinPartitions(*sort)
         .withColumn("__mid", F.monotonically_increasing_id())
     )
@@ -62,9 +72,10 @@ def positions(
     order: Order,
     position: str = "pos",
     size: str | None = "n",
+    slices: int | None = None,
 ) -> DataFrame:
     """0-based position of every row within its group, and the group size."""
-    sliced = range_slices(df, group, order)
+    sliced = range_slices(df, group, order, slices)
     # One row per range and group: the carry of row counts.
     parts = sliced.groupBy(*group, _SLICE).agg(
         F.count(F.lit(1)).alias("__rows"), F.min(_SEQ).alias("__first")
@@ -152,10 +163,10 @@ def _join_carry(sliced: DataFrame, carry: DataFrame, group: Sequence[str]) -> Da
 
 
 def running_sums(
-    df: DataFrame, group: Sequence[str], order: Order, sums: Mapping[str, str]
+    df: DataFrame, group: Sequence[str], order: Order, sums: Mapping[str, str], slices: int | None = None
 ) -> DataFrame:
     """Inclusive running sum of columns along the order of each group."""
-    sliced = range_slices(df, group, order)
+    sliced = range_slices(df, group, order, slices)
     local = (
         Window.partitionBy(_SLICE, *group)
         .orderBy(_SEQ)
@@ -171,7 +182,7 @@ def running_sums(
         _SLICE,
         *[F.coalesce(F.sum(f"__t_{out}").over(upto), F.lit(0)).alias(f"__b_{out}") for out in sums],
     )
-    inside = sliced.select(
+    inside = (sliced.repartition(slices, _SLICE) if slices else sliced).select(
         "*", *[F.coalesce(F.sum(c).over(local), F.lit(0)).alias(f"__l_{out}") for out, c in sums.items()]
     )
     joined = _join_carry(inside, carry, group)

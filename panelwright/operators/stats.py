@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.operators.ordered import join_stats, positions, running_sums
+from panelwright.operators.ordered import join_stats, positions, running_sums, slices_for
 from panelwright.session import stage_table
 
 LOWER_IS_BETTER = ("rmse", "mae", "loss")
@@ -132,10 +132,11 @@ def neighbour_radius(long: DataFrame, group: Sequence[str], value: str, ids: Seq
     before and after it, and neighbours are among those.  A group of one row
     has no neighbour and is left out.
     """
-    placed = positions(long, list(group), [(value, True), *[(i, True) for i in ids]]).where(F.col("n") > 1)
+    slices = slices_for(long.count())
+    placed = positions(long, list(group), [(value, True), *[(i, True) for i in ids]], slices=slices).where(F.col("n") > 1)
     run, at = F.floor(F.col("pos") / NEIGHBOUR_ROWS), F.pmod(F.col("pos"), F.lit(NEIGHBOUR_ROWS))
     halo = F.array(run, F.when(at < k, run - 1), F.when(at >= NEIGHBOUR_ROWS - k, run + 1))
-    runs = placed.withColumn("__own", run).withColumn("__run", F.explode(F.array_compact(halo)))
+    runs = placed.withColumn("__own", run).withColumn("__run", F.explode(F.array_compact(halo))).repartition(slices, *group, "__run")
     w = Window.partitionBy(*group, "__run").orderBy("pos")
     x = F.col(value)
     away = [x - F.lag(value, i).over(w) for i in range(1, k + 1)] + [F.lead(value, i).over(w) - x for i in range(1, k + 1)]
@@ -161,9 +162,12 @@ def count_within(rows: DataFrame, group: Sequence[str], value: str, radius: Colu
     )
     ends = rows.select(*group, *ids, F.inline(marks))
     order = [("__at", True), ("__kind", True), *[(i, True) for i in ids]]
-    counted = running_sums(ends, group, order, {"__upto": "__one"})
+    slices = slices_for(3 * rows.count())
+    counted = running_sums(ends, group, order, {"__upto": "__one"}, slices)
     sign = F.when(F.col("__kind") == 0, -F.col("__upto")).when(F.col("__kind") == 2, F.col("__upto"))
-    return counted.groupBy(*group, *ids).agg(F.sum(sign).alias(name))
+    # Dealt by a number of partitions too, so that what a task adds up is bounded by rows.
+    marked = counted.where(F.col("__kind") != 1).repartition(slices, *group, *ids)
+    return marked.groupBy(*group, *ids).agg(F.sum(sign).alias(name))
 
 
 def rank_by_neighbour_info(df: DataFrame, columns: Sequence[str], target: str, ids: Sequence[str], k: int, neighbours: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, Ran
 from pyspark.sql import functions as F
 
 from panelwright.models import jobs
-from panelwright.operators import splits, stats
+from panelwright.operators import ordered, splits, stats
 from panelwright.plans import validation
 from panelwright.session import stage_table
 
@@ -230,6 +230,24 @@ def test_imputing_family_scores_every_row(learnable):
     assert out.count() == 600 and out.where("p0 IS NULL OR p1 IS NULL").count() == 0
 
 
+def test_neighbour_ranges_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Ranges follow the number of rows, not their bytes: long runs of like rows, which compress to nothing, are split."""
+    sizes, staged = [], ordered.stage_table
+
+    def counted(df, label):
+        out = staged(df, label)
+        if label == "slices":
+            sizes.append(max(r["count"] for r in out.groupBy("__slice").count().collect()))
+        return out
+
+    monkeypatch.setattr(ordered, "stage_table", counted)
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 1_000)
+    df = spark.range(20_000).select("id", (F.col("id") % 2).alias("y"), (F.col("id") / 7).alias("x"))
+    (row,) = stats.rank_by_neighbour_info(df, ["x"], "y", ["id"], 1).collect()
+    assert row["feature"] == "x"
+    assert len(sizes) == 2 and max(sizes) < 3_000
+
+
 def test_neighbour_information_matches_brute_force(spark, monkeypatch):
     """Runs of a few rows, so that most neighbours lie in a halo; ties, gaps, and a class of one row."""
     monkeypatch.setattr(stats, "NEIGHBOUR_ROWS", 7)
