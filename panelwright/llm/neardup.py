@@ -1,6 +1,6 @@
 """Groups of near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of ``BANDS`` keys of ``ROWS`` min-hashes each; a pair at
+Candidates have SimHash fingerprints that the forest of :mod:`simhash` links, or share one of ``BANDS`` keys of ``ROWS`` min-hashes each; a pair at
 similarity 0.8 has no key in common with probability (1 - 0.8 ** 4) ** 20, or
 3 in 100,000, and less above.  Every link is confirmed on the whole sets.
 
@@ -21,7 +21,8 @@ travels once per key and block, not once per pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -89,23 +90,24 @@ def _text_hash(text: str | None) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"))).view(np.int64))
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch], fingerprint: Callable[[str | None], int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for t in batch.column(1):
             text = t.as_py()
             shingles = shingle_set(text)
-            for col, value in zip(out, (set_key(shingles), len(shingles), _text_hash(text), band_keys(shingles)), strict=True):
+            own = int(np.uint64(fingerprint(text)).view(np.int64))
+            for col, value in zip(out, (set_key(shingles), len(shingles), _text_hash(text), band_keys(shingles), own), strict=True):
                 col.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
         columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp", "size", "t", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp", "size", "t", "bands", "print"])
 
 
-def set_keys(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` (name of the shingle set), ``size``, ``t`` (hash of the text) and ``bands`` of each row."""
+def set_keys(docs: DataFrame, fingerprint: Callable[[str | None], int]) -> DataFrame:
+    """``doc_id``, ``fp`` (name of the shingle set), ``size``, ``t`` (hash of the text), ``bands`` and ``print`` (the text's fingerprint as a signed long) of each row."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_keyed, "doc_id long, fp long, size long, t long, bands array<long>")
+    return narrow.mapInArrow(partial(_keyed, fingerprint=fingerprint), "doc_id long, fp long, size long, t long, bands array<long>, print long")
 
 
 def _sets(docs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -263,17 +265,18 @@ def _crowd_links(entries: DataFrame, members: DataFrame, marks: DataFrame, uniqu
     return rows.groupBy("key", "a", "b").applyInPandas(_block_links, "u long, v long").distinct()
 
 
-def links(docs: DataFrame, unique: DataFrame) -> DataFrame:
-    """Links ``(u, v)``, ``u > v``, that join the sets ``fp`` of ``unique`` to their groups."""
+def links(docs: DataFrame, unique: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Links ``(u, v)``, ``u > v``, that join the sets ``fp`` of ``unique`` to their groups; ``proposed`` are pairs found by other means."""
     members = written(unique.select("fp", "size", F.explode("bands").alias("key")), "near-keys")
     paired = written(_pivots(members), "near-members")
-    found = paired.select("fp").union(paired.select("v")).distinct()
+    found = paired.select("fp").union(paired.select("v")).union(proposed.select("u")).union(proposed.select("v")).distinct()
     candidates = written(unique.select("fp", "t").join(found, "fp", "left_semi"), "near-candidates")
     sets = written(_sets(docs, candidates), "near-sets")
     good, open_rows = None, None
-    for _ in range(ROUNDS):
-        first = paired.where(_fits("size", "v_size")).select(F.col("fp").alias("u"), "v").distinct()
-        confirmed = written(_confirmed(first, sets), "near-links")
+    for i in range(ROUNDS):
+        first = paired.where(_fits("size", "v_size")).select(F.col("fp").alias("u"), "v")
+        first = first.unionByName(proposed) if i == 0 else first
+        confirmed = written(_confirmed(first.distinct(), sets), "near-links")
         good = confirmed if good is None else good.unionByName(confirmed)
         left = written(_unconfirmed(paired, confirmed), "near-left")
         open_rows = left if open_rows is None else open_rows

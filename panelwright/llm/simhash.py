@@ -121,8 +121,8 @@ def route(x: np.ndarray, nodes: list, mask: np.uint64, radius: int) -> Iterator[
         todo += [(inside, own[d <= mu + radius]), (outside, own[d > mu])]
 
 
-def components_within(x: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """``(members, root)`` links that join each distinct value of ``x`` to one root per component of the shard."""
+def components_within(x: np.ndarray, radius: int, direct: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(members, root)`` links that join each distinct value of ``x`` to one root per component of the shard; ``direct`` ones, to a member within the radius."""
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     todo = [x]
     while todo:
@@ -143,17 +143,20 @@ def components_within(x: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray,
             root, frontier, unvisited = unvisited[0], unvisited[:1], unvisited[1:]
             while len(frontier) and len(unvisited):
                 step, frontier = frontier[:64], frontier[64:]
-                near = np.zeros(len(unvisited), bool)
+                near, by = np.zeros(len(unvisited), bool), np.full(len(unvisited), root)
                 for v in step:
-                    near |= np.bitwise_count(unvisited ^ v) <= radius
+                    hit = np.bitwise_count(unvisited ^ v) <= radius
+                    if direct:
+                        by[hit & ~near] = v
+                    near |= hit
                 if near.any():
                     found = unvisited[near]
-                    yield found, np.full(len(found), root)
+                    yield found, by[near]
                     frontier, unvisited = np.concatenate((frontier, found)), unvisited[~near]
 
 
-def links(unique: DataFrame) -> DataFrame:
-    """Links ``(u, v)``, ``u > v``, between distinct fingerprints ``fp`` that span each shard's components."""
+def links(unique: DataFrame, direct: bool = False) -> DataFrame:
+    """Links ``(u, v)``, ``u > v``, between distinct fingerprints ``fp`` that span each shard's components, as stars or ``direct``."""
     n = unique.count()
     one_in = max(SAMPLE_ONE_IN, n // SAMPLE)
     sample = unique.where(F.pmod(F.xxhash64("fp"), F.lit(one_in)) == 0).orderBy(F.xxhash64("fp"), "fp").limit(2 * SAMPLE).select("fp").collect()
@@ -173,7 +176,7 @@ def links(unique: DataFrame) -> DataFrame:
                     )
 
     def within(shard: pd.DataFrame) -> pd.DataFrame:
-        out = [(m, r) for m, r in components_within(shard["fp"].to_numpy().view(np.uint64), RADIUS)]
+        out = [(m, r) for m, r in components_within(shard["fp"].to_numpy().view(np.uint64), RADIUS, direct)]
         if not out:
             return pd.DataFrame({"u": np.array([], np.int64), "v": np.array([], np.int64)})
         a = np.concatenate([m for m, _ in out]).view(np.int64)
@@ -221,12 +224,26 @@ def _named(unique: DataFrame, edges: DataFrame) -> DataFrame:
     return written(rooted.join(smallest, "root").select("fp", "component_id", "root"), "fingerprints-named")
 
 
+def fingerprint_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)``, ``u > v``, of shingle sets ``fp`` by their fingerprints ``print``: each set with the first one of its fingerprint, and first ones along the links of the forest."""
+    held = written(rows.where("size > 0").select("print", "fp").distinct(), "near-prints")
+    first = written(held.groupBy("print").agg(F.min("fp").alias("first")), "near-prints-first")
+    same = held.join(first, "print").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    ends = [first.select(F.col("print").alias(end), F.col("first").alias(name)) for end, name in (("u", "a"), ("v", "b"))]
+    across = links(first.select(F.col("print").alias("fp")), direct=True).join(ends[0], "u").join(ends[1], "v").select("a", "b")
+    pairs = same.unionByName(across).where(F.col("a") != F.col("b"))
+    return written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "near-print-pairs")
+
+
 def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, Callable]:
-    """``(doc_id, fp, component_id)`` of each row by the rule of :mod:`neardup`, and ``(fp, component_id, root)`` of each shingle set, and what names texts."""
-    rows = written(neardup.set_keys(docs), "near-rows")
+    """``(doc_id, fp, component_id)`` of each row by the rule of :mod:`neardup`, and ``(fp, component_id, root)`` of each shingle set, and what names texts.
+
+    Fingerprints linked by the forest and shared min-hash keys propose pairs; whole sets confirm them.
+    """
+    rows = written(neardup.set_keys(docs, fingerprint), "near-rows")
     unique = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.min("t").alias("t"), F.min("size").alias("size"), F.min("bands").alias("bands"))
     unique = written(unique, "near-unique")
-    named = _named(unique.select("fp", "first_id"), neardup.links(docs, unique))
+    named = _named(unique.select("fp", "first_id"), neardup.links(docs, unique, fingerprint_pairs(rows)))
     return rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id"), named, _set_names
 
 

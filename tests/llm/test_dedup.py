@@ -110,6 +110,17 @@ def test_near_copies_match_brute_force(spark):
     assert len(far) >= 10
 
 
+def test_linked_fingerprints_propose_near_copies(spark, monkeypatch):
+    """Without a common min-hash key the forest still finds edited copies, and only those that the whole sets confirm are grouped."""
+    monkeypatch.setattr(neardup, "band_keys", lambda shingles: [])
+    texts = edited_copies(random.Random(5), 150)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = [simhash.fingerprint(t) for t in texts]
+    want = {i for i in range(1, 300, 2) if plain_jaccard(texts[i - 1], texts[i]) >= 0.8 and (prints[i - 1] ^ prints[i]).bit_count() <= 4}
+    kept = {r.doc_id for r in simhash.one_per_group(docs, simhash.near_copies).collect()}
+    assert len(want) >= 10 and kept == set(range(300)) - want
+
+
 def one_frame(n, edits, words=120):
     """Texts that share a frame, with ``edits`` words of their own each."""
     rng = random.Random(edits)
