@@ -204,6 +204,26 @@ def test_watched_growth_with_gaps_and_too_few_rows(learnable):
     assert jobs.score_family(few.models, holed, "p").where("p0 IS NOT NULL").count() == 600
 
 
+def test_members_grow_on_partitions_of_bounded_rows_and_forests_alone(learnable, monkeypatch):
+    seen, growing = [], []
+    for kind in (GBTClassifier, RandomForestClassifier):
+
+        def watched(self, rows, plain=kind._fit):
+            seen.append((type(self).__name__, len(growing), rows.rdd.glom().map(len).collect()))
+            growing.append(self)
+            model = plain(self, rows)
+            growing.remove(self)
+            return model
+
+        monkeypatch.setattr(kind, "_fit", watched)
+    monkeypatch.setattr(jobs, "FIT_ROWS", 100, raising=False)
+    boosted = [GBTClassifier(maxIter=2, maxDepth=d, seed=1) for d in (1, 2)]
+    out = jobs.train_watched(learnable, ["x", "noise"], "y", ["date", "id"], [RandomForestClassifier(numTrees=3, seed=1), *boosted])
+    assert [(r.member, r.asked, r.n_grown) for r in out.report.orderBy("member").collect()] == [(0, 3, 600), (1, 2, 480), (2, 2, 480)]
+    assert all(sum(sizes) == 600 and max(sizes) <= 110 for _, _, sizes in seen)
+    assert seen[-1][:2] == ("RandomForestClassifier", 0) and len(seen) == 3
+
+
 def test_search_is_seeded_and_inside_the_ranges():
     draws = jobs.draw_trials(jobs.SEARCH_SPACE, 20)
     assert draws == jobs.draw_trials(jobs.SEARCH_SPACE, 20)
